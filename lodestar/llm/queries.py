@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sharding, simhash
+from . import decontamination, packing, sharding, simhash
 from .shared import table
 
 
@@ -23,9 +23,19 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.verdicts(found)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_packing": op3_packing, "op5_sharding": op5_sharding}
+    return {
+        "op1_simhash": op1_simhash,
+        "op3_packing": op3_packing,
+        "op5_sharding": op5_sharding,
+        "op7_decontamination": op7_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": decontamination.ORACLE}
