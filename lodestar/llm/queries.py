@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, sharding, simhash
+from . import decontamination, langid, packing, sharding, simhash
 from .shared import table
 
 
@@ -28,12 +28,17 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.verdicts(found)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_packing": op3_packing,
         "op5_sharding": op5_sharding,
         "op7_decontamination": op7_decontamination,
+        "op8_langid": op8_langid,
     }
 
 
