@@ -27,7 +27,9 @@ END_ID = 1
 CHUNK_ROWS = 1024
 #: Slots beyond this are joined by a shuffle instead of a broadcast.
 BROADCAST_SLOTS = 50_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
+#: ASCII punctuation but the apostrophe; the tokenizer always parts it from a letter before it.
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds:
@@ -44,14 +46,34 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
+    def encode(self, words: set[bytes]) -> None:
+        """Put words into the cache, encoded in one call."""
         texts = [w.decode("utf-8", "replace") for w in words]
         done = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         at = np.fromiter((a for a, _ in done.offsets), np.int64, len(done.ids))
         bounds = np.searchsorted(at, starts) * 4
         ids = np.array(done.ids, "<u4").tobytes()
-        self.cache.update((w, ids[a:b]) for w, a, b in zip(words, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+        parts = zip(words, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
+        self.cache.update((w, ids[a:b]) for w, a, b in parts)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Words share the ids of their lower-cased stem and of the punctuation after it."""
+        parts = {}
+        for w in words:
+            if b"<|" in w:  # may be a special token, which counts as written
+                parts[w] = (w,)
+                continue
+            low = w.lower()
+            stem = low.rstrip(PUNCTUATION)
+            if stem and len(stem) < len(low) and b"'" not in low and stem.decode("utf-8", "replace")[-1].isalpha():
+                parts[w] = (stem, low[len(stem) :])
+            else:
+                parts[w] = (low,)
+        cache = self.cache
+        if new := {p for ps in parts.values() for p in ps if p not in cache}:
+            self.encode(new)
+        cache.update((w, b"".join([cache[p] for p in ps])) for w, ps in parts.items() if ps != (w,))
 
     def ids(self, text: bytes | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
