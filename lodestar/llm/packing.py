@@ -28,6 +28,8 @@ CHUNK_ROWS = 1024
 #: Slots beyond this are joined by a shuffle instead of a broadcast.
 BROADCAST_SLOTS = 50_000
 CACHED_WORDS = 800_000
+#: Bytes of text whose unknown words are encoded in one call.
+TOGETHER = 1 << 18
 #: ASCII punctuation but the apostrophe; the tokenizer always parts it from a letter before it.
 PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -45,46 +47,80 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.letters = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def encode(self, words: set[bytes]) -> None:
-        """Put words into the cache, encoded in one call."""
+    def encode(self, words: list[bytes]) -> None:
+        """Put words into the cache, encoded in one call.
+
+        Words of letters alone are one run each to the tokenizer, and the last token of a run
+        says so; where that can't tell the words apart, offsets do.
+        """
         texts = [w.decode("utf-8", "replace") for w in words]
         done = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        at = np.fromiter((a for a, _ in done.offsets), np.int64, len(done.ids))
-        bounds = np.searchsorted(at, starts) * 4
-        ids = np.array(done.ids, "<u4").tobytes()
-        parts = zip(words, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-        self.cache.update((w, ids[a:b]) for w, a, b in parts)
+        ids = np.array(done.ids, "<u4")
+        bounds = np.flatnonzero(self.ends[ids]) + 1
+        if len(bounds) == len(words) and all(map(str.isalpha, texts)):
+            bounds = np.append(0, bounds) * 4
+        else:
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            at = np.fromiter((a for a, _ in done.offsets), np.int64, len(ids))
+            bounds = np.searchsorted(at, starts) * 4
+        whole, bounds = ids.tobytes(), bounds.tolist()
+        self.cache.update(zip(words, [whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
 
     def learn(self, words: set[bytes]) -> None:
         """Words share the ids of their lower-cased stem and of the punctuation after it."""
-        parts = {}
+        cache, letters = self.cache, self.letters
+        whole, stems, other, shared = [], set(), set(), []
         for w in words:
             if b"<|" in w:  # may be a special token, which counts as written
-                parts[w] = (w,)
+                whole.append(w)
                 continue
             low = w.lower()
             stem = low.rstrip(PUNCTUATION)
-            if stem and len(stem) < len(low) and b"'" not in low and stem.decode("utf-8", "replace")[-1].isalpha():
-                parts[w] = (stem, low[len(stem) :])
+            if len(stem) == len(low) or not stem or b"'" in low:
+                tail = b""
+                stem = low
+            elif stem[-1] in letters or stem.decode("utf-8", "replace")[-1].isalpha():
+                tail = low[len(stem) :]
+                if tail not in cache:
+                    other.add(tail)
             else:
-                parts[w] = (low,)
-        cache = self.cache
-        if new := {p for ps in parts.values() for p in ps if p not in cache}:
-            self.encode(new)
-        cache.update((w, b"".join([cache[p] for p in ps])) for w, ps in parts.items() if ps != (w,))
+                tail = b""
+                stem = low
+            if stem not in cache:
+                stems.add(stem)
+            if tail or stem != w:
+                shared.append((w, stem, tail))
+        plain = [w for w in stems if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
+        other |= stems.difference(plain)
+        for some in (plain, [*other], whole):
+            if some:
+                self.encode(some)
+        for w, stem, tail in shared:
+            cache[w] = cache[stem] + cache[tail] if tail else cache[stem]
+
+    def many(self, texts: list[bytes | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; unknown words are learned together."""
+        lines = [(text or b"").split() for text in texts]
+        get = self.cache.get
+        found = [list(map(get, words)) for words in lines]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        new = {words[i] for words, at in zip(lines, gaps, strict=True) for i in at}
+        if len(self.cache) + len(new) > CACHED_WORDS:
+            self.cache.clear()
+        if new:
+            self.learn(new)
+        for words, ids, at in zip(lines, found, gaps, strict=True):
+            for i in at:
+                ids[i] = self.cache[words[i]]
+            yield b"".join(ids)
 
     def ids(self, text: bytes | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = (text or b"").split()
-        cache = self.cache
-        if new := {w for w in words if w not in cache}:
-            if len(cache) + len(new) > CACHED_WORDS:
-                cache.clear()
-                new = set(words)
-            self.learn(new)
-        return b"".join([cache[w] for w in words])
+        return next(self.many([text]))
 
 
 @lru_cache(maxsize=2)
@@ -106,15 +142,27 @@ def pieces(
     ids themselves as ``ids array<int>``.
     """
 
+    end = np.array([END_ID], "<u4").tobytes()
+
+    def coded(texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids and the end id, some texts at a time."""
+        held: list[bytes | None] = []
+        size_held = 0
+        for text in [*texts, ...]:
+            if text is ... or size_held > TOGETHER:
+                yield from (ids + end for ids in word_ids(tokenizer_path).many(held))
+                held, size_held = [], 0
+            if text is not ...:
+                held.append(text.as_py())
+                size_held += len(held[-1] or b"")
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = word_ids(tokenizer_path).ids(text.as_py()) + end
+            for doc, ids in zip(b.column(0).to_pylist(), coded(b.column(1)), strict=True):
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     part = ids[4 * start : 4 * (start + size)]
