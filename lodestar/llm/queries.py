@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, packing, sharding, simhash, toxicity
+from . import decontamination, langid, packing, secrets, sharding, simhash, toxicity, urlfilter
 from .shared import table
 
 
@@ -36,14 +36,36 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+#: host, path, verdict
+URL_RULES = (
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+)
+
+
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ", ".join(map(str, URL_RULES))
+    rules = spark.sql(f"SELECT * FROM VALUES {rows} AS rules(host, path, verdict)")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
         "op3_packing": op3_packing,
         "op4_toxicity": op4_toxicity,
         "op5_sharding": op5_sharding,
+        "op6_urlfilter": op6_urlfilter,
         "op7_decontamination": op7_decontamination,
         "op8_langid": op8_langid,
+        "op10_secrets": op10_secrets,
     }
 
 
