@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, packing, secrets, sharding, simhash, toxicity, urlfilter
+from . import decontamination, htmltext, langid, packing, secrets, sharding, simhash, toxicity, urlfilter
 from .shared import table
 
 
@@ -52,6 +52,10 @@ def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), rules)
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
 
@@ -65,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_urlfilter": op6_urlfilter,
         "op7_decontamination": op7_decontamination,
         "op8_langid": op8_langid,
+        "op9_html": op9_html,
         "op10_secrets": op10_secrets,
     }
 
