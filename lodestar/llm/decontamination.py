@@ -122,7 +122,7 @@ def _search(docs: DataFrame, phrases: Phrases, id_col: str) -> DataFrame:
     """Add one block's spans and items to those that ``docs`` already has."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(phrases)
+        shard, kind = Shard(phrases), None
 
         def done() -> pa.RecordBatch:
             found = []
@@ -130,13 +130,14 @@ def _search(docs: DataFrame, phrases: Phrases, id_col: str) -> DataFrame:
                 old = [[s["start"], s["end"]] for s in spans]
                 found.append((doc, text, merged(old, new) if old else new, sorted({*items, *names}), n))
             columns = list(zip(*found, strict=True))
-            kinds = [pa.int64(), pa.binary(), SPANS, pa.list_(pa.string()), pa.int64()]
+            kinds = [kind, pa.binary(), SPANS, pa.list_(pa.string()), pa.int64()]
             spans = [[{"start": a, "end": b} for a, b in x] for x in columns[2]]
             values = [columns[0], columns[1], spans, columns[3], columns[4]]
             arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, [id_col, "text", "spans", "items", "n_words"])
 
         for batch in batches:
+            kind = batch.column(0).type
             for doc, text, spans, items in zip(*(batch.column(i) for i in range(4)), strict=True):
                 shard.add((doc.as_py(), text.as_py(), spans.as_py(), items.as_py()), text.as_py())
                 if shard.size >= SHARD_WORDS:
@@ -145,7 +146,8 @@ def _search(docs: DataFrame, phrases: Phrases, id_col: str) -> DataFrame:
         if shard.rows:
             yield done()
 
-    kinds = f"`{id_col}` long, text binary, spans array<struct<start:long,end:long>>, items array<string>, n_words long"
+    kind_of = docs.schema[id_col].dataType.simpleString()
+    kinds = f"`{id_col}` {kind_of}, text binary, spans array<struct<start:long,end:long>>, items array<string>, n_words long"
     own = docs.select(id_col, "text", "spans", "items")
     return own.mapInArrow(searched, kinds)
 
@@ -175,7 +177,7 @@ def contamination(
     size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     found = docs.select(
-        F.col(id_col).cast("long").alias(id_col),
+        F.col(id_col).alias(id_col),
         F.col(text_col).cast("string").cast("binary").alias("text"),
         F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"),
         F.expr("cast(array() as array<string>)").alias("items"),

@@ -229,15 +229,14 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
 def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text"):
     """``docs`` with every secret in ``text_col`` replaced by ``MASK``; rows without secrets are unchanged.
 
-    Secrets are found once per row id and text, and joined back on both, ids null-safely.
+    Only rows with candidates take part in a join: their secrets are joined back on id and
+    digest of the text, ids null-safely.
     """
-    own = docs.select(
-        F.struct("*").alias("row"),
-        F.col(id_col).alias("doc"),
-        F.col(text_col).alias("text"),
-        F.md5(F.col(text_col)).alias("digest"),
-    )
-    found = judge(candidates(own, "doc", "text", ["doc", "digest"]), model).where("secret")
+    some = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
+    own = docs.where(some).select(F.struct(*docs.columns).alias("row"), F.md5(F.col(text_col)).alias("digest"))
+    doc, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
+    known = own.select(doc.alias("doc"), text.alias("text"), "digest")
+    found = judge(candidates(known, "doc", "text", ["doc", "digest"]), model).where("secret")
     spans = found.select("doc", "digest", "start", "length").distinct().groupBy("doc", "digest")
     spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
     spans = settle(spans.withColumnsRenamed({"doc": "s_doc", "digest": "s_digest"}), "secret-spans")
@@ -246,6 +245,8 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str
         " + get(spans, i - 1).length, 0)) + 1, int(s.start - coalesce(get(spans, i - 1).start + get(spans, i - 1).length, 0))),"
         f" '{MASK}')), ''), substring(text, int(element_at(spans, -1).start + element_at(spans, -1).length) + 1))"
     )
-    joined = own.join(spans, F.col("doc").eqNullSafe(F.col("s_doc")) & (F.col("digest") == F.col("s_digest")), "left")
+    joined = own.join(spans, doc.eqNullSafe(F.col("s_doc")) & (F.col("digest") == F.col("s_digest")), "left")
+    joined = joined.withColumn("text", text)
     new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(parts)
-    return joined.select(*(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+    changed = joined.select(*(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+    return docs.where(~some).union(changed)

@@ -5,8 +5,6 @@ import zlib
 from collections import defaultdict
 from itertools import combinations
 
-import numpy as np
-
 from lodestar.llm import toxicity as tox
 
 INSULTS = ["blockhead", "nitwit", "buffoon", "scoundrel", "dimwit"]
@@ -28,10 +26,7 @@ def plain_kernel(a, b):
 def test_kernel_equals_plain_sums():
     some = ["nitwit", "nit.wit"[:3], "banana", "bananas", "dimwit", "a", "zz"]
     kernel = tox.Kernel("".join(sorted(set("".join(some)))))
-    word, code, weight, norm = kernel.subsequences(some)
-    dense = np.zeros((1 << 18, len(some)), np.float32)
-    dense[code, word] = weight / np.maximum(norm, 1e-12)[word]
-    got = kernel.vectors(some, dense)
+    got = kernel.vectors(some, *kernel.dense(some))
     for i, a in enumerate(some):
         for j, b in enumerate(some):
             assert abs(got[i, j] - plain_kernel(a, b)) < 1e-5
