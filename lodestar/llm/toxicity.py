@@ -25,19 +25,22 @@ from pyspark.sql import functions as F
 from .shared import settle
 
 DECAY = 0.6
+#: Three letters of six bits each.
+CODES = 1 << 18
 SPAN = 6
 #: Labelled rows that the machine is fitted on: about so many of each label, by hash of the id.
 TOXIC_ROWS = 4000
 OTHER_ROWS = 8000
 LANDMARKS = 256
-INSTANCES = 20_000
+INSTANCES = 8000
 #: Nats by which a telling word's counts must be likelier under its own rate than under the common one.
 MIN_GAIN = 15.0
 ROUNDS = 3
 COST = 10.0
 CACHED_WORDS = 400_000
-#: Characters whose words are scored at a time.
-BLOCK = 1 << 20
+#: Characters whose words are scored at a time, and words compared at a time.
+BLOCK = 1 << 19
+TOGETHER = 4000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
@@ -97,18 +100,31 @@ class Kernel:
         norm = np.sqrt(np.bincount(key >> 18, weight**2, minlength=len(some)))
         return key >> 18, key & 0x3FFFF, weight, norm
 
-    def vectors(self, some: list[str], dense: np.ndarray) -> np.ndarray:
-        """Inner products of normalised words with the columns of ``dense`` (subsequence by column)."""
-        out = np.zeros((len(some), dense.shape[1]), np.float64)
-        for start in range(0, len(some), 500):
-            part = some[start : start + 500]
+    def dense(self, some: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised words as columns over the subsequences that any of them has, and the row of each subsequence.
+
+        Row 0 is empty and stands for all other subsequences.
+        """
+        word, code, weight, norm = self.subsequences(some)
+        held = np.unique(code)
+        row = np.zeros(CODES, np.int32)
+        row[held] = np.arange(1, len(held) + 1)
+        dense = np.zeros((len(held) + 1, len(some)))
+        dense[row[code], word] = weight / np.maximum(norm, 1e-12)[word]
+        return dense, row
+
+    def vectors(self, some: list[str], dense: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Inner products of normalised words with the columns of ``dense``."""
+        out = np.zeros((len(some), dense.shape[1]))
+        for start in range(0, len(some), 200):
+            part = some[start : start + 200]
             word, code, weight, norm = self.subsequences(part)
-            rows = dense[code] * weight[:, None]
+            rows = dense[row[code]] * weight[:, None]
             total = np.zeros((len(part), dense.shape[1]))
             if len(word):
                 first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
                 total[word[first]] = np.add.reduceat(rows, first)
-            out[start : start + 500] = total / np.maximum(norm, 1e-12)[:, None]
+            out[start : start + 200] = total / np.maximum(norm, 1e-12)[:, None]
         return out
 
 
@@ -142,8 +158,9 @@ class Scorer:
     def prepare(self, seen: set[str]) -> None:
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        if new := [w for w in seen if w not in self.cache]:
-            self.learn(new)
+        new = [w for w in seen if w not in self.cache]
+        for start in range(0, len(new), TOGETHER):
+            self.learn(new[start : start + TOGETHER])
 
     def margin(self, text: str | None) -> float:
         """The margin of a text's worst word; the bias without words."""
@@ -274,12 +291,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     chosen = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < rate * 1_000_000)
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    sample = settle(texts.join(chosen, id_col).select("text", "toxic"), "toxicity-sample")
+    # The chosen rows are bounded by the two parameters, so no text is shuffled to find them.
+    sample = settle(texts.join(F.broadcast(chosen), id_col).select("text", "toxic"), "toxicity-sample")
     counts = settle(_word_counts(sample), "word-counts")
     telling, plain = _telling(counts)
     if not telling or not plain:
         share = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
-        return Model("", np.zeros(1 << 18), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return Model("", np.zeros(CODES), 0.0, 0.0, float(np.log(share / (1 - share))))
     marks = telling + plain[: LANDMARKS // 4]
     tally = pd.Series(list("".join(marks))).value_counts()
     letters = "".join(sorted(tally.index, key=lambda c: (-tally[c], c))[:61])
@@ -291,15 +309,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             taken = hard.orderBy(F.desc("margin"), "word").limit(INSTANCES).collect()
             plain = [*dict.fromkeys([*plain, *(f for r in taken for f in forms(r.word))])]
             marks = [*dict.fromkeys([*marks, *(r.word for r in taken[: LANDMARKS // 4])])]
-        word, code, weight, norm = kernel.subsequences(marks)
-        dense = np.zeros((1 << 18, len(marks)), np.float32)
-        dense[code, word] = weight / np.maximum(norm, 1e-12)[word]
-        value, vector = np.linalg.eigh(kernel.vectors(marks, dense))
+        dense, row = kernel.dense(marks)
+        value, vector = np.linalg.eigh(dense.T @ dense)
         root = vector / np.sqrt(np.maximum(value, 1e-3))
-        x = kernel.vectors(telling + plain, dense) @ root
+        x = kernel.vectors(telling + plain, dense, row) @ root
         y = np.where(np.arange(len(x)) < len(telling), 1.0, -1.0)
         w = _newton_svm(x, y, np.where(y > 0, COST * 10, COST))
-        model = Model(letters, dense @ (root @ w[:-1]), float(w[-1]))
+        model = Model(letters, (dense @ (root @ w[:-1]))[row], float(w[-1]))
     rows = margins(sample, model).select("margin", "toxic").toPandas()
     model.slope, model.offset = _logistic(rows.margin.to_numpy(), rows.toxic.to_numpy())
     return model
