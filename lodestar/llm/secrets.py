@@ -44,6 +44,18 @@ DICTIONARY = (
 NEGATIVE_WORDS = r"commit|revision|sha\d*|md5|checksum|digest|hash|uuid|guid|version|release|build|isbn|order|invoice|phone|tel|card|ip|address|example|placeholder|dummy|sample"
 
 
+#: What begins a key form, and what a key block holds.
+MARKS = ("AKIA", "ASIA", "gho_", "ghp_", "ghu_", "ghs_", "ghr_", "glpat-", "sk_live_", "sk-", "pk_live_", "xox", "AIza", "eyJ", "BEGIN ")
+
+
+def possible(text: Column) -> Column:
+    """Whether a text can hold a candidate at all: each has a digit, ``=``, ``:`` or one of ``MARKS``.
+
+    This is cheap beside the search for candidates, which other texts are spared.
+    """
+    return F.coalesce(reduce(Column.__or__, (F.contains(text, F.lit(m)) for m in MARKS), text.rlike("[0-9=:]")), F.lit(False))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None):
     """A row per candidate: the id (and ``keep``), ``start`` and ``length`` in characters, ``value`` and its surroundings.
 
@@ -52,7 +64,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.col(text_col)
     pattern = F.lit(CANDIDATE)
-    found = docs.select(*(keep or [id_col]), text.alias("_text")).where(F.col("_text").rlike(CANDIDATE))
+    found = docs.where(possible(text)).select(*(keep or [id_col]), text.alias("_text"))
     found = found.select(
         *(keep or [id_col]),
         F.regexp_extract_all("_text", pattern, F.lit(0)).alias("_hits"),
@@ -229,10 +241,10 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, id_col: str =
 def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str = "doc_id", text_col: str = "text"):
     """``docs`` with every secret in ``text_col`` replaced by ``MASK``; rows without secrets are unchanged.
 
-    Only rows with candidates take part in a join: their secrets are joined back on id and
+    Only rows that may have candidates take part in a join: their secrets are joined back on id and
     digest of the text, ids null-safely.
     """
-    some = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
+    some = possible(F.col(text_col))
     own = docs.where(some).select(F.struct(*docs.columns).alias("row"), F.md5(F.col(text_col)).alias("digest"))
     doc, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
     known = own.select(doc.alias("doc"), text.alias("text"), "digest")
