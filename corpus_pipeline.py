@@ -37,15 +37,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.near_duplicates(docs)
-    least = classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    least = settle(least.withColumnRenamed("doc_id", "kept_id"), "kept")
-    once, repeated = least.where("n = 1"), least.where("n > 1")
-    staying = docs.join(once, docs["doc_id"] == once["kept_id"], "left_semi").union(docs.where("doc_id is null"))
+    # Rows that go are far fewer than rows that stay, so they are what docs are joined with.
+    classes = simhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
+    classes = classes.agg(F.min("component_id").alias("least"), F.count("*").alias("n")).where("doc_id != least or n > 1")
+    others = settle(classes.withColumnRenamed("doc_id", "other_id"), "others")
+    staying = docs.join(others, docs["doc_id"] == others["other_id"], "left_anti")
+    repeated = others.where("other_id = least")
     if repeated.isEmpty():
         return staying
     row = F.struct(*docs.columns)
-    chosen = docs.join(repeated, docs["doc_id"] == repeated["kept_id"], "left_semi").groupBy("doc_id").agg(
+    chosen = docs.join(repeated, docs["doc_id"] == repeated["other_id"], "left_semi").groupBy("doc_id").agg(
         F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")
     )
     return staying.union(chosen.select("row.*"))
