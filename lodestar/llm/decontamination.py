@@ -32,7 +32,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_FOLD).split()
+    return bytes(text or b"").translate(_FOLD).split()
 
 
 class Phrases:
@@ -118,8 +118,8 @@ def merged(one: list, other: list) -> list:
     return out
 
 
-def _search(docs: DataFrame, phrases: Phrases, id_col: str) -> DataFrame:
-    """Add one block's spans and items to those that ``docs`` already has."""
+def _search(docs: DataFrame, phrases: Phrases, id_col: str, last: bool) -> DataFrame:
+    """Add one block's spans and items to those that ``docs`` already has; texts end with the last block."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, kind = Shard(phrases), None
@@ -128,7 +128,7 @@ def _search(docs: DataFrame, phrases: Phrases, id_col: str) -> DataFrame:
             found = []
             for (doc, text, spans, items), n, new, names in shard.results():
                 old = [[s["start"], s["end"]] for s in spans]
-                found.append((doc, text, merged(old, new) if old else new, sorted({*items, *names}), n))
+                found.append((doc, None if last else text, merged(old, new) if old else new, sorted({*items, *names}), n))
             columns = list(zip(*found, strict=True))
             kinds = [kind, pa.binary(), SPANS, pa.list_(pa.string()), pa.int64()]
             spans = [[{"start": a, "end": b} for a, b in x] for x in columns[2]]
@@ -184,7 +184,7 @@ def contamination(
     )
     for block in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).collect()
-        found = _search(found, Phrases([(r[0], None if r[1] is None else bytes(r[1])) for r in part], window), id_col)
+        found = _search(found, Phrases([(r[0], r[1]) for r in part], window), id_col, block == blocks - 1)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(id_col, "n_words", hit.alias("n_hit"), "spans", "items")
 

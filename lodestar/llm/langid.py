@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 NGRAM = 4
 SLOTS = 1 << 20
 HASHES = 3
@@ -145,7 +147,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["lang", "gram", "n"])
 
     grams = sample.select("lang", "text").mapInArrow(counted, "lang int, gram long, n long")
-    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = settle(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     total = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     totals = F.create_map(*(F.lit(x) for lang, n in total.items() for x in (lang, float(n)))) if total else None
     if totals is None:

@@ -1,34 +1,12 @@
-"""Tables in the shared folder, and what several operators need of a DataFrame."""
+"""Tables in the shared folder, as the operators here use them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestar.sources.tables import settle, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's own.
-
-    Only where neither is set, as in tests on one machine, a new folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again.
-
-    This cuts the lineage and survives lost executors; the work before it runs once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["settle", "shared_folder", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

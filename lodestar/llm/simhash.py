@@ -99,7 +99,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     distinct = settle(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
     found = components(ball_links(distinct), "a", "b").withColumnsRenamed({"node": "fp", "component": "root"})
     rooted = settle(distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Settled, so that a component of very many fingerprints is a plain join, which Spark can split.
+    ids = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "ids")
     classes = settle(rooted.select("fp", "root").join(ids, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select(
         id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
