@@ -27,7 +27,7 @@ END_ID = 1
 CHUNK_ROWS = 1024
 #: Slots beyond this are joined by a shuffle instead of a broadcast.
 BROADCAST_SLOTS = 50_000
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
 #: Bytes of text whose unknown words are encoded in one call.
 TOGETHER = 1 << 18
 #: ASCII punctuation but the apostrophe; the tokenizer always parts it from a letter before it.
@@ -35,7 +35,7 @@ PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordIds:
-    """Token ids of texts, with a bounded cache by word.
+    """Token ids of texts, with a bounded cache by word in two halves, an older and a newer.
 
     The tokenizer drops white space and never merges over it, so a text's ids are those of
     its words in turn; words are parted at ASCII white space. Words that the cache lacks are
@@ -47,11 +47,19 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.letters = frozenset(b"abcdefghijklmnopqrstuvwxyz")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
+    def kept(self, word: bytes) -> bool:
+        """Take a word over from the older half of the cache, if it is there."""
+        known = self.older.get(word)
+        if known is not None:
+            self.cache[word] = known
+        return known is not None
+
     def encode(self, words: list[bytes]) -> None:
         """Put words into the cache, encoded in one call.
 
@@ -73,9 +81,12 @@ class WordIds:
 
     def learn(self, words: set[bytes]) -> None:
         """Words share the ids of their lower-cased stem and of the punctuation after it."""
-        cache, letters = self.cache, self.letters
+        cache, older, letters = self.cache, self.older, self.letters
         whole, stems, other, shared = [], set(), set(), []
         for w in words:
+            if (known := older.get(w)) is not None:
+                cache[w] = known
+                continue
             if b"<|" in w:  # may be a special token, which counts as written
                 whole.append(w)
                 continue
@@ -86,12 +97,12 @@ class WordIds:
                 stem = low
             elif stem[-1] in letters or stem.decode("utf-8", "replace")[-1].isalpha():
                 tail = low[len(stem) :]
-                if tail not in cache:
+                if tail not in cache and not self.kept(tail):
                     other.add(tail)
             else:
                 tail = b""
                 stem = low
-            if stem not in cache:
+            if stem not in cache and not self.kept(stem):
                 stems.add(stem)
             if tail or stem != w:
                 shared.append((w, stem, tail))
@@ -110,8 +121,9 @@ class WordIds:
         found = [list(map(get, words)) for words in lines]
         gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
         new = {words[i] for words, at in zip(lines, gaps, strict=True) for i in at}
-        if len(self.cache) + len(new) > CACHED_WORDS:
-            self.cache.clear()
+        if len(self.cache) + len(new) > CACHED_WORDS // 2:
+            # Words met since the last turn outlive it; those not met again are forgotten at the next.
+            self.older, self.cache = self.cache, {}
         if new:
             self.learn(new)
         for words, ids, at in zip(lines, found, gaps, strict=True):
