@@ -236,6 +236,41 @@ def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _sentences(sample: DataFrame) -> DataFrame:
+    parted = F.split("text", r"(?<=[.!?])\s+|\n+")
+    return sample.select(F.explode(parted).alias("sentence"), "toxic").distinct()
+
+
+def _contexts(sample: DataFrame, wanted: list[str]) -> dict[str, int]:
+    """After how many different words each wanted word stands in toxic sentences.
+
+    Near copies of a sentence give a word many sentences, but always after the same word.
+    """
+    held = frozenset(wanted)
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = set()
+            for sentence in b.column(0).to_pylist():
+                line = sentence.lower().split()
+                for before, word in zip(["", *line], line, strict=False):
+                    found.update((f, before) for f in forms(word) if f in held)
+            rows = sorted(found)
+            arrays = [pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays(arrays, ["word", "before"])
+
+    pairs = _sentences(sample.where("toxic = 1")).select("sentence").mapInArrow(met, "word string, before string")
+    return {r.word: r["count"] for r in pairs.distinct().groupBy("word").count().collect()}
+
+
+def variants(word: str) -> list[str]:
+    """A word with a letter doubled or put in, at some places."""
+    out = []
+    for i in range(1, len(word), max(1, len(word) // 4)):
+        out += [word[:i] + word[i - 1] + word[i:], word[:i] + "x" + word[i:]]
+    return out
+
+
 def _word_counts(sample: DataFrame) -> DataFrame:
     """``word, toxic, other``: in how many different toxic and other sentences each word stands."""
 
@@ -249,13 +284,17 @@ def _word_counts(sample: DataFrame) -> DataFrame:
             arrays += [pa.array([n[i] for n in held.values()], pa.int64()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays(arrays, ["word", "toxic", "other"])
 
-    parted = F.split("text", r"(?<=[.!?])\s+|\n+")
-    sentences = sample.select(F.explode(parted).alias("sentence"), "toxic").distinct()
-    counts = sentences.mapInArrow(counted, "word string, toxic long, other long")
+    counts = _sentences(sample).mapInArrow(counted, "word string, toxic long, other long")
     return counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def _telling(counts: DataFrame) -> tuple[list[str], list[str]]:
+def _gain(toxic: float, other: float, rate: float) -> float:
+    """Nats by which the counts are likelier under their own rate than under the common one."""
+    both = toxic + other
+    return sum(n * np.log(n / (both * r)) for n, r in ((toxic, rate), (other, 1 - rate)) if n)
+
+
+def _telling(sample: DataFrame, counts: DataFrame) -> tuple[list[str], list[str]]:
     """Words that toxic sentences have far more of than chance allows, most telling first; common words."""
     total = counts.agg(F.sum("toxic"), F.sum("other")).first()
     toxic, other = float(total[0] or 0), float(total[1] or 0)
@@ -268,20 +307,21 @@ def _telling(counts: DataFrame) -> tuple[list[str], list[str]]:
         F.greatest("other", F.lit(1)) / (both * (1 - rate))
     )
     fit = counts.where(F.length("word").between(3, 40)).withColumn("gain", gain).withColumn("odds", odds)
-    telling = fit.where((F.col("gain") > MIN_GAIN) & (F.col("odds") > float(np.log(8))))
-    common = fit.where(F.col("odds") < float(np.log(2)))
-    return (
-        [r.word for r in telling.orderBy(F.desc("gain"), "word").limit(LANDMARKS * 3 // 4).collect()],
-        [r.word for r in common.orderBy(F.desc("other"), "word").limit(INSTANCES).collect()],
-    )
+    likely = fit.where((F.col("gain") > MIN_GAIN) & (F.col("odds") > float(np.log(8))))
+    likely = likely.orderBy(F.desc("gain"), "word").limit(LANDMARKS * 8).collect()
+    seen = _contexts(sample, [r.word for r in likely]) if likely else {}
+    gains = {r.word: _gain(min(seen.get(r.word, 0), r.toxic), r.other, rate) for r in likely}
+    telling = sorted((w for w, g in gains.items() if g > MIN_GAIN), key=lambda w: (-gains[w], w))
+    common = fit.where(F.col("odds") < float(np.log(2))).orderBy(F.desc("other"), "word").limit(INSTANCES)
+    return telling[: LANDMARKS * 3 // 4], [r.word for r in common.collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled rows (``labels``: the id and ``toxic`` 0 or 1); the caller leaves held-out rows out.
 
     About ``TOXIC_ROWS`` toxic and ``OTHER_ROWS`` other rows are taken by hash of the id. The
-    machine is fitted to telling against common words, and again with the words of other
-    sentences, common or rare, that it took for toxic. Without telling words every score is
+    machine is fitted to telling words and changed forms of them against common words, and
+    again with the words of other sentences, common or rare, that it took for toxic. Without telling words every score is
     the softened share of toxic rows.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -294,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # The chosen rows are bounded by the two parameters, so no text is shuffled to find them.
     sample = settle(texts.join(F.broadcast(chosen), id_col).select("text", "toxic"), "toxicity-sample")
     counts = settle(_word_counts(sample), "word-counts")
-    telling, plain = _telling(counts)
+    telling, plain = _telling(sample, counts)
     if not telling or not plain:
         share = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
         return Model("", np.zeros(CODES), 0.0, 0.0, float(np.log(share / (1 - share))))
@@ -302,6 +342,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     tally = pd.Series(list("".join(marks))).value_counts()
     letters = "".join(sorted(tally.index, key=lambda c: (-tally[c], c))[:61])
     kernel = Kernel(letters)
+    changed = [v for w in telling for v in variants(w)]
     model = None
     for _ in range(ROUNDS):
         if model is not None:
@@ -312,9 +353,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         dense, row = kernel.dense(marks)
         value, vector = np.linalg.eigh(dense.T @ dense)
         root = vector / np.sqrt(np.maximum(value, 1e-3))
-        x = kernel.vectors(telling + plain, dense, row) @ root
-        y = np.where(np.arange(len(x)) < len(telling), 1.0, -1.0)
-        w = _newton_svm(x, y, np.where(y > 0, COST * 10, COST))
+        x = kernel.vectors([*telling, *changed, *plain], dense, row) @ root
+        sizes_of = (len(telling), len(changed), len(plain))
+        y = np.repeat([1.0, 1.0, -1.0], sizes_of)
+        w = _newton_svm(x, y, np.repeat([COST * 30, COST * 3, COST], sizes_of))
         model = Model(letters, (dense @ (root @ w[:-1]))[row], float(w[-1]))
     rows = margins(sample, model).select("margin", "toxic").toPandas()
     model.slope, model.offset = _logistic(rows.margin.to_numpy(), rows.toxic.to_numpy())
