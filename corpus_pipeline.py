@@ -5,8 +5,9 @@ stage before it kept. All but the last return the columns of ``documents``.
 
 1. language_id: rows predicted ``und`` go, and so do rows predicted, with a score of
    ``REJECT_SCORE`` or more, to be in another language than they are labelled with.
-2. near_dedup: of each class of near-duplicates the row with the smallest doc_id stays (of
-   rows that share it, the one with the least text); rows without a doc_id stay.
+2. near_dedup: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are
+   linked; of each class the row with the smallest doc_id stays (of rows that share it, one);
+   rows without a doc_id stay.
 3. decontamination: rows with a twentieth of their words or more in benchmark windows go.
 4. secret_scan: secrets are replaced by a mask; no row goes.
 5. packing: all rows are tokenised and packed into sequences.
@@ -21,7 +22,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontamination, langid, packing, secrets, simhash
+from lodestar.llm import decontamination, jaccard, langid, packing, secrets
 from lodestar.llm.shared import settle, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,18 +38,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    key, doc = jaccard.key_of(F.col("text")), F.col("doc_id")
+    linked = jaccard.classes(docs).withColumnRenamed("key", "linked")
+    # Of each class the least of (doc_id, key) stays; a row is in a class of its own unless its text is linked.
+    rows = docs.where("doc_id is not null").select(doc.alias("id"), key.alias("key"))
+    classed = rows.join(linked, rows["key"] == linked["linked"], "left").withColumn("root", F.coalesce("root", "key"))
+    classed = settle(classed.select("id", "key", "root"), "classed")
+    best = classed.groupBy("root").agg(F.min(F.struct("id", "key")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    best = settle(best, "best")
     # Rows that go are far fewer than rows that stay, so they are what docs are joined with.
-    classes = simhash.near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
-    classes = classes.agg(F.min("component_id").alias("least"), F.count("*").alias("n")).where("doc_id != least or n > 1")
-    others = settle(classes.withColumnRenamed("doc_id", "other_id"), "others")
-    staying = docs.join(others, docs["doc_id"] == others["other_id"], "left_anti")
-    repeated = others.where("other_id = least")
-    if repeated.isEmpty():
-        return staying
+    others = settle(classed.join(best, "root").select("id", classed["key"].alias("other"), "best").distinct(), "others")
+    staying = docs.join(others, doc.eqNullSafe(others["id"]) & (key == others["other"]), "left_anti")
+    kept = best.select("best.id", F.col("best.key").alias("other"))
     row = F.struct(*docs.columns)
-    chosen = docs.join(repeated, docs["doc_id"] == repeated["other_id"], "left_semi").groupBy("doc_id").agg(
-        F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")
-    )
+    chosen = docs.join(kept, doc.eqNullSafe(kept["id"]) & (key == kept["other"]), "left_semi")
+    chosen = chosen.groupBy("doc_id", key).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
     return staying.union(chosen.select("row.*"))
 
 

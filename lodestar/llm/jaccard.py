@@ -1,0 +1,152 @@
+"""Near copies by the exact Jaccard similarity of their word shingles, found through prefixes.
+
+Shingles have one order. Two texts as similar as ``SIMILARITY`` share the first of their common
+shingles, and in each it is among the first ``n - ceil(SIMILARITY * n) + 1``. So texts that
+share a shingle of these prefixes are all the pairs there can be. The order puts shingles last
+that are common in a sample, which keeps what shares one small; which they are changes no result.
+
+Texts that share a shingle are compared with the least of them first. Only where that leaves
+several classes at a shingle are the texts of different classes compared with each other, so
+many copies of one text are not paired with each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .components import components
+from .shared import settle
+
+SHINGLE = 5
+#: As a fraction, so that it is compared in whole numbers.
+SIMILARITY = (4, 5)
+SEED = 42
+#: About so many texts are looked at for common shingles, which stand in so many of them; at most so many are told apart.
+SAMPLE_ROWS = 20_000
+COMMON = 3
+MOST_COMMON = 400_000
+
+
+def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    """The distinct shingles of a text in UTF-8 as hashes, sorted; a text of fewer words is one shingle."""
+    words = (text or b"").lower().split()
+    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words] or [1])
+    width = min(width, len(ends))
+    starts = np.concatenate(([0], ends[:-1]))[: len(ends) - width + 1]
+    digest = xxhash.xxh64_intdigest
+    hashes = [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)]
+    return np.unique(np.array(hashes, np.uint64).view(np.int64))
+
+
+def prefix(some: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles by order: those not among ``common`` (sorted), then by how often these were seen."""
+    p, q = SIMILARITY
+    keep = len(some) - -(-p * len(some) // q) + 1
+    if not len(common):
+        return some[:keep]
+    at = np.minimum(np.searchsorted(common, some), len(common) - 1)
+    seen = np.where(common[at] == some, times[at], 0)
+    return some[np.argsort(seen, kind="stable")[:keep]]
+
+
+def key_of(text: Column) -> Column:
+    """What tells texts apart."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """``key, shingles`` of rows ``key, text``."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([shingles(t.as_py(), width) for t in b.column(1)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), found], ["key", "shingles"])
+
+    return texts.select("key", F.col("text").cast("binary")).mapInArrow(cut, "key long, shingles array<long>")
+
+
+def _common(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles common in a sample of the texts, sorted, and in how many of these each stands."""
+    share = SAMPLE_ROWS / max(1, texts.count())
+    sample = texts.where(F.pmod("key", F.lit(1_000_000)) < share * 1_000_000).dropDuplicates(["key"])
+    each = _sets(sample, width).select(F.explode("shingles").alias("shingle")).groupBy("shingle").count()
+    found = each.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toPandas()
+    found = found.sort_values("shingle")
+    return found["shingle"].to_numpy(np.int64), found["count"].to_numpy(np.int64)
+
+
+def _prefixes(texts: DataFrame, width: int, common: np.ndarray, times: np.ndarray) -> DataFrame:
+    """``key, n, shingle``: every text's number of shingles and a row for each in its prefix."""
+    held = texts.sparkSession.sparkContext.broadcast((common, times))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, times = held.value
+        met: set[int] = set()
+        for b in batches:
+            # Copies within a partition are one text, so that very many of them are few rows a shingle.
+            new = [i for i, k in enumerate(b.column(0).to_pylist()) if k not in met and not met.add(k)]
+            b = b.take(pa.array(new, pa.int64()))
+            sets = [shingles(t.as_py(), width) for t in b.column(1)]
+            first = [prefix(s, common, times) for s in sets]
+            sizes = [len(f) for f in first]
+            keys = np.repeat(b.column(0).to_numpy(zero_copy_only=False), sizes)
+            counts = np.repeat(np.array([len(s) for s in sets], np.int32), sizes)
+            flat = np.concatenate(first) if first else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(flat)], ["key", "n", "shingle"])
+
+    return texts.select("key", F.col("text").cast("binary")).mapInArrow(cut, "key long, n int, shingle long")
+
+
+def _fits(n: str, m: str) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    p, q = SIMILARITY
+    return F.least(n, m) * q >= F.greatest(n, m) * p
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs ``a, b`` that are similar enough by all their shingles."""
+    p, q = SIMILARITY
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    own = settle(_sets(texts.join(wanted, "key", "left_semi").dropDuplicates(["key"]), width), "shingle-sets")
+    one, other = (own.withColumnsRenamed({"key": k, "shingles": f"set_{k}"}) for k in ("a", "b"))
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    enough = both * q >= (F.size("set_a") + F.size("set_b") - both) * p
+    return pairs.join(one, "a").join(other, "b").where(enough).select("a", "b")
+
+
+def classes(docs: DataFrame, text_col: str = "text", width: int = SHINGLE) -> DataFrame:
+    """``key, root``: the class of every text (``key_of``) that is similar to another; ``root`` is its least key.
+
+    Texts are linked where the Jaccard similarity of their shingles is ``SIMILARITY`` or more, and
+    classes are what links reach. A null text counts as empty; texts without words are equal.
+    """
+    texts = docs.select(key_of(F.col(text_col)).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    first = settle(_prefixes(texts, width, *_common(texts, width)), "prefixes")
+    # Copies of a text have one key, so they are one member of what shares a shingle.
+    node = F.struct("key", "n")
+    met = first.groupBy("shingle").agg(F.min(node).alias("x"), F.max(node).alias("y")).where("x.key != y.key")
+    met = settle(met, "shared-shingles")
+    members = settle(first.join(met.select("shingle", "x", "y"), "shingle").distinct(), "sharing")
+    stars = members.where(F.col("key") != F.col("x.key")).where(_fits("n", "x.n"))
+    pairs = settle(stars.select(F.col("x.key").alias("a"), F.col("key").alias("b")).distinct(), "star-pairs")
+    links = settle(_verified(pairs, texts, width), "star-links")
+    roots = components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "root"})
+    rooted = members.select("shingle", "key", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = settle(rooted, "rooted-shingles")
+    # Two classes at a shingle, one of them that of the least text, may still hold a pair that is similar.
+    mixed = rooted.groupBy("shingle").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p != q").select("shingle")
+    left = settle(rooted.join(mixed, "shingle", "left_semi"), "mixed-shingles")
+    one = left.withColumnsRenamed({"key": "a", "n": "n_a", "root": "root_a"})
+    other = left.withColumnsRenamed({"key": "b", "n": "n_b", "root": "root_b"})
+    rest = one.join(other, "shingle").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _fits("n_a", "n_b"))
+    rest = settle(rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), "other-pairs")
+    if not rest.isEmpty():
+        links = links.union(settle(_verified(rest, texts, width), "other-links"))
+        roots = components(links, "a", "b").withColumnsRenamed({"node": "key", "component": "root"})
+    return roots

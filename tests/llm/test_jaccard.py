@@ -1,0 +1,73 @@
+"""Classes by Jaccard similarity against brute force, and the pipeline's stage on edited copies."""
+
+import random
+
+import corpus_pipeline
+import pytest
+
+from lodestar.llm import jaccard
+
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def plain_classes(texts):
+    """The classes of more than one text, of the distinct texts."""
+    texts = sorted({t or "" for t in texts})
+    sets, root = [plain_shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[top(i)] = top(j)
+    found = {}
+    for i, t in enumerate(texts):
+        found.setdefault(top(i), set()).add(t)
+    return sorted((sorted(x) for x in found.values() if len(x) > 1))
+
+
+def corpus():
+    rng = random.Random(3)
+    texts, line = [], " ".join(f"c{i}" for i in range(30))
+    for _ in range(40):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.randrange(5, 300))]
+        for _ in range(rng.randrange(1, 9)):
+            texts.append(" ".join(words) + (" " + line if rng.random() < 0.3 else ""))
+            # Each copy is made from the one before, so that the ends of a class are far apart.
+            for _ in range(len(words) // 90 + 1):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(500)}"
+            words = words[: len(words) - rng.randrange(0, 1 + len(words) // 15)]
+    texts += [f"{line} a{i}" for i in range(30)] + [f"{line} " + " ".join(f"b{i}_{j}" for j in range(9)) for i in range(30)]
+    return [*texts, "", " ", None, "one", "ONE", "two words", "É é İ ß a b", *texts[:20]]
+
+
+@pytest.mark.parametrize("common", [1, 3, 10**9])
+def test_classes_match_brute_force(spark, monkeypatch, common):
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    texts = corpus()
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    keys = {r.key: r.text or "" for r in docs.select(jaccard.key_of(docs["text"]).alias("key"), "text").collect()}
+    found = {}
+    for r in jaccard.classes(docs).collect():
+        found.setdefault(r.root, set()).add(keys[r.key])
+    assert sorted(sorted(x) for x in found.values()) == plain_classes(texts)
+
+
+def test_edited_and_truncated_copies_go(spark):
+    words = [f"w{i * i % 977}" for i in range(200)]
+    edited = [*words[:50], "new", *words[51:120], "other", *words[121:]]
+    rows = [(1, " ".join(words)), (2, " ".join(edited)), (3, " ".join(words[:175])), (4, " ".join(words[:100]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 4]
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert jaccard.classes(docs).collect() == [] and corpus_pipeline.near_dedup(spark, docs, "").collect() == []
