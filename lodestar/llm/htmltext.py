@@ -47,12 +47,16 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|</{tag}\Z", re.I) for tag in RAW}
 
 SMOOTH = (0.25, 0.5, 0.25)
 THRESHOLD = 0.4
 HELD = 0.6
+#: The share of a page's text from which an element is no boilerplate by its class or id alone.
+BULK = 0.5
+#: How an element is marked: by its tag, role or being hidden, or only by a class or id.
+SURE, NAME = 1, 2
 
 
 @dataclass
@@ -62,6 +66,7 @@ class Block:
     kinds: tuple[str, ...]
     text: str
     linked: int
+    named: tuple[int, ...] = ()
     score: float = 0.0
     punctuation: int = field(init=False)
 
@@ -69,25 +74,28 @@ class Block:
         self.punctuation = len(PUNCTUATION.findall(self.text))
 
 
-def _marked(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its tag or attributes; ``inside`` an article, headers are not."""
+def _marked(tag: str, attributes: str, inside: bool) -> int:
+    """Whether and how an element is marked as boilerplate; ``inside`` an article, headers are not."""
     if tag in BOILERPLATE or (tag == "header" and not inside):
-        return True
+        return SURE
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return 0
+    found = 0
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if (name == "role" and value.lower() in ROLES) or (name in ("class", "id") and NAMED.search(value)):
-            return True
-    return False
+            return SURE
+        if name == "role" and value.lower() in ROLES:
+            return SURE
+        if name in ("class", "id") and NAMED.search(value):
+            found = NAME
+    return found
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order, without those of marked boilerplate."""
+    """The text blocks of a page in order, without those of surely marked boilerplate."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, number, marked
+    stack: list[tuple[str, int, int]] = [("#root", 0, 0)]  # tag, number, mark
     parts: list[str] = []
     count = at = linked = link_from = 0
     in_link = False
@@ -96,9 +104,10 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not stack[-1][2]:
+            if text and stack[-1][2] != SURE:
                 tags = tuple(t for t, _, _ in stack)
-                out.append(Block("/".join(tags), tuple(n for _, n, _ in stack), tags, text, min(linked, len(text))))
+                named = tuple(n for _, n, mark in stack if mark == NAME)
+                out.append(Block("/".join(tags), tuple(n for _, n, _ in stack), tags, text, min(linked, len(text)), named))
             parts.clear()
         linked = 0
 
@@ -144,12 +153,48 @@ def blocks(page: str) -> list[Block]:
         if tag not in VOID and not m[3].endswith("/"):
             count += 1
             inside = any(t in ARTICLE for t, _, _ in stack)
-            stack.append((tag, count, stack[-1][2] or _marked(tag, m[3], inside)))
+            stack.append((tag, count, SURE if stack[-1][2] == SURE else _marked(tag, m[3], inside)))
     add(page[at:])
     flush()
     return out
 
 
+def unmarked(some: list[Block]) -> list[Block]:
+    """The blocks outside elements that their class or id marks, where that mark holds.
+
+    It doesn't for what holds the page's only articles, nor for what holds the bulk of its text
+    unless an article stands elsewhere; and where all text is marked so, no mark holds.
+    """
+    marks = {n for b in some for n in b.named}
+    if not marks:
+        return some
+    size: dict[int, int] = defaultdict(int)
+    holds, within = set(), set()
+    for b in some:
+        articles = [n for n, kind in zip(b.elements, b.kinds, strict=True) if kind in ARTICLE]
+        for n in b.named:
+            size[n] += len(b.text) - b.linked
+            # Numbers grow inwards along a path.
+            if articles and articles[-1] > n:
+                holds.add(n)
+            if articles and articles[0] < n:
+                within.add(n)
+
+    def left() -> list[Block]:
+        return [b for b in some if marks.isdisjoint(b.named)]
+
+    def apart() -> bool:
+        return any(kind in ARTICLE for b in left() for kind in b.kinds)
+
+    order = sorted(marks, key=lambda n: (-size[n], n))
+    for n in order:
+        if n in holds and not apart():
+            marks.discard(n)
+    bulk, elsewhere = BULK * sum(len(b.text) - b.linked for b in some), apart()
+    marks -= {n for n in order if size[n] and size[n] >= bulk and (n in holds or n in within or not elsewhere)}
+    return left() or some
+
+
 def scored(some: list[Block]) -> list[Block]:
     """Set each block's fused, smoothed path ratio."""
     length: dict[str, int] = defaultdict(int)
@@ -168,7 +213,7 @@ def scored(some: list[Block]) -> list[Block]:
 
 def main_text(page: str | None) -> str:
     """The main text: blocks joined by one line feed; empty for a page without text."""
-    some = scored(blocks(page or ""))
+    some = scored(unmarked(blocks(page or "")))
     if not some:
         return ""
     limit = THRESHOLD * max(b.score for b in some)

@@ -45,6 +45,23 @@ def test_broken_markup_entities_and_white_space():
     assert main_text("<") == "<" and main_text("<!-- open") == "" and main_text("<p") == ""
 
 
+def test_names_inside_values_and_layout_classes_drop_no_article():
+    text = "Some text, which is long enough. " * 5
+    for attributes in ('style="overflow:hidden"', 'title="a hidden path"', "data-hidden=1", 'data-class="menu"'):
+        assert main_text(f"<article><div {attributes}><p>{text}</p></div></article>") == text.strip(), attributes
+    for attributes in ("hidden", "HIDDEN", "a=b hidden=''", "aria-hidden='true'", "role=search"):
+        assert main_text(f"<article><p>{text}</p><div {attributes}><p>No. {text}</p></div></article>") == text.strip(), attributes
+    side = "<div class='sidebar'><p>Other things, aside.</p></div>"
+    for name in ("content has-sidebar", "no-sidebar", "post search-result", "container nav-open"):
+        assert main_text(f"<div class='{name}'><article><p>{text}</p></article>{side}</div>") == text.strip(), name
+        assert main_text(f"<div class='{name}'><div id='no-menu'><main><p>{text}</p></main></div></div>{side}") == text.strip(), name
+        assert main_text(f"<article><h1>T</h1><div class='{name}'><p>{text}</p></div></article>") == "T\n" + text.strip(), name
+        assert main_text(f"<div class='{name}'><p>{text}</p></div>{side}") == text.strip(), name
+    comments = f"<section class='comments'><article><p>{text * 3}</p></article></section>"
+    assert main_text(f"<article><p>{text}</p></article><div class='comments'><p>{text * 3}</p></div>") == text.strip()
+    assert main_text(f"<div class='has-sidebar'><article><p>{text * 5}</p></article>{comments}</div>") == (text * 5).strip()
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>Äb, c.</p></article>"), (2, None, None), (3, "x", ""), (None, "y", "<p>t.</p>")]
     rows += [(1, "u", rows[0][2]), (4, "z", "<article>" + "<p>Some text, here.</p>" * 30000 + "</article>")]
