@@ -2,9 +2,9 @@
 
 A page is parsed into text blocks, each with its root-to-leaf path of tags. Per path, text
 length and punctuation are aggregated over its blocks; the ratios are fused, smoothed along
-the page and thresholded, which selects the content blocks. The smallest container that
-holds most of the selected text is the article: its blocks are the main text, but for
-marked boilerplate and, in a container that isn't an article by name, weakly scored blocks.
+the page and thresholded, which selects the content blocks. The main text is the selected
+blocks, wherever they stand, but for those that are mostly links, and all blocks of what is
+an article by name and holds a selected block; marked boilerplate goes.
 """
 
 from __future__ import annotations
@@ -227,10 +227,14 @@ def main_text(page: str | None) -> str:
     fit = [key for key, n in held.items() if n >= HELD * total]
     named = [key for key in fit if key[2] in ARTICLE]
     depth, number, kind = max(named or fit)
-    inside = [b for b in some if len(b.elements) > depth and b.elements[depth] == number]
-    if not named:
-        inside = [b for b in inside if b.score >= limit and b.linked <= len(b.text) / 2] or inside
-    return "\n".join(b.text for b in inside)
+    whole = {number} if named else set()
+    for b in chosen:
+        whole.update([n for n, k in zip(b.elements, b.kinds, strict=True) if k in ARTICLE][-1:])
+    strong = [b.score >= limit and b.linked <= len(b.text) / 2 for b in some]
+    kept = [good or not whole.isdisjoint(b.elements) for b, good in zip(some, strong, strict=True)]
+    if not any(kept):
+        kept = [len(b.elements) > depth and b.elements[depth] == number for b in some]
+    return "\n".join(b.text for b, stays in zip(some, kept, strict=True) if stays)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

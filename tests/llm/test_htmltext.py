@@ -62,6 +62,18 @@ def test_names_inside_values_and_layout_classes_drop_no_article():
     assert main_text(f"<div class='has-sidebar'><article><p>{text * 5}</p></article>{comments}</div>") == (text * 5).strip()
 
 
+def test_selected_text_outside_the_largest_part_stays():
+    one, other = "First part, of two. " * 13, "Second part, of two. " * 7
+    for page in (
+        "<div id=content><section><p>{}</p></section><section><p>{}</p></section></div>",
+        "<main><article><p>{}</p></article><article><p>{}</p></article></main>",
+        "<body><article><p>{}</p></article><article><p>{}</p></article></body>",
+        "<body><article><p>{}</p></article><div><p>{}</p></div></body>",
+    ):
+        assert main_text(page.format(one, other)) == f"{one.strip()}\n{other.strip()}", page
+        assert main_text(page.format(other, one)) == f"{other.strip()}\n{one.strip()}", page
+
+
 def test_rows(spark):
     rows = [(1, "u", "<article><p>Äb, c.</p></article>"), (2, None, None), (3, "x", ""), (None, "y", "<p>t.</p>")]
     rows += [(1, "u", rows[0][2]), (4, "z", "<article>" + "<p>Some text, here.</p>" * 30000 + "</article>")]
