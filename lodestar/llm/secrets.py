@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs with a digit, runs that begin like a known kind of key, values assigned to a telling name, and private-key
-blocks. A random forest judges each by its length, character classes and transitions,
+Candidates are long runs with a digit, keys of a known form at the start of a run or after
+``/``, ``=`` or ``.`` in it, values of any length assigned to a telling name, and private-key blocks. A random forest judges each by its length, character classes and transitions,
 dictionary coverage, whether it looks like a path, and the words around it. It is trained
 from labelled findings. All of it is column expressions and Spark's own forest.
 """
@@ -19,13 +19,21 @@ from pyspark.sql import functions as F
 from .shared import settle
 
 NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
-BLOCK = "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s:,-]{16,20000}?-----END [A-Z ]*PRIVATE KEY-----"
-ASSIGNED = rf"(?i:{NAMES})[\"']?\s{{0,3}}(?:=|:)\s{{0,3}}[\"']?[^\s\"'<>]{{6,}}"
-RUN = r"(?<![A-Za-z0-9+/_=.~-])(?=[A-Za-z+/_=.~-]{0,64}[0-9])[A-Za-z0-9+/_=.~-]{12,}"
+#: Repeated groups are possessive, as Java's matcher recurses over others; so is what could be read again and again.
+BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?=[A-Za-z0-9+/=\s:,-]{16})(?:[A-Za-z0-9+/=\s:,]++|-(?!----))++-----END [A-Z ]*PRIVATE KEY-----"
+#: A telling name, what it may go on with, and the sign after it.
+NAMED = rf"(?i:{NAMES})[A-Za-z0-9_-]{{0,200}}+[\"']?[\t ]*+\s{{0,3}}[=:]\s{{0,3}}[\t ]*+[\"']?"
+ASSIGNED = rf"{NAMED}[^\s\"'<>]+"
 KEY_FORMS = "AKIA|ASIA|gh[pousr]_|glpat-|sk_live_|sk-|pk_live_|xox[abpr]-|AIza|eyJ"
-KEY = rf"(?<![A-Za-z0-9+/_=.~-])(?:{KEY_FORMS})[A-Za-z0-9+/_=.-]{{12,}}"
+KEY_FORM = rf"(?:{KEY_FORMS})[A-Za-z0-9+/_=.-]{{12,}}"
+KEY = rf"(?<![A-Za-z0-9+_~-]){KEY_FORM}"
+#: A run ends where a key form begins inside it.
+RUN = (
+    rf"(?<![A-Za-z0-9+/_=.~-])(?=(?:[A-Za-z+_~-]++|[/=.](?!{KEY_FORM}))*+[0-9])"
+    rf"(?:[A-Za-z0-9+_~-]++|[/=.](?!{KEY_FORM}))++(?<=[A-Za-z0-9+/_=.~-]{{12}})"
+)
 CANDIDATE = f"{BLOCK}|{ASSIGNED}|{KEY}|{RUN}"
-VALUE = rf"(?s)^(?:(?i:{NAMES})[\"']?\s{{0,3}}(?:=|:)\s{{0,3}}[\"']?)?(.*)$"
+VALUE = rf"(?s)^(?:{NAMED})?(.*)$"
 AROUND = 48
 MASK = "[SECRET]"
 
@@ -114,27 +122,26 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
     moves = [_count(value, f"(?<=[{a}])[{b}]") for a, b in (("a-z", "0-9"), ("0-9", "a-z"), ("a-z", "A-Z"), ("A-Z", "a-z"), ("A-Z", "0-9"), ("0-9", "A-Z"))]
     known = F.length(F.regexp_replace(F.lower(value), DICTIONARY, ""))
     columns = {
-        "f_length": F.least(F.length(value), F.lit(512)).cast("double"),
+        "f_length": F.length(value).cast("double"),
         "f_digits": _count(value, "[0-9]") / size,
         "f_lower": _count(value, "[a-z]") / size,
         "f_upper": _count(value, "[A-Z]") / size,
         "f_other": _count(value, "[^A-Za-z0-9]") / size,
         "f_moves": reduce(Column.__add__, moves) / size,
         "f_letter_digit": (moves[0] + moves[1]) / size,
-        "f_distinct": F.array_size(F.array_distinct(F.split(F.left(value, F.lit(256)), ""))).cast("double")
+        "f_distinct": F.array_size(F.array_distinct(F.split(value, ""))).cast("double")
         / F.least(size, F.lit(256)),
         "f_repeat": _count(value, r"(.)\1{2}") / size,
         "f_dictionary": 1 - known / size,
         "f_hex": value.rlike("^[0-9a-fA-F]+$").cast("double"),
         "f_number": value.rlike("^[0-9.,:/+-]+$").cast("double"),
         "f_uuid": value.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$").cast("double"),
-        # Repeated groups are matched on a stretch, as Java's matcher recurses over them.
-        "f_path": F.left(value, F.lit(256)).rlike(r"^[\w.~-]*(/[\w.~-]{2,40}){2,}$|\.[a-z]{2,4}\d?$").cast("double"),
-        "f_word_form": F.left(value, F.lit(64)).rlike("^(?:[A-Z]?[a-z]{3,}+[0-9]{0,4}+[_.-]?+)++$").cast("double"),
+        "f_path": value.rlike(r"^[\w.~-]*+(?:/[\w.~-]{2,40}+){2,}+$|\.[a-z]{2,4}\d?$").cast("double"),
+        "f_word_form": value.rlike("^(?:[A-Z]?[a-z]{3,}+[0-9]{0,4}+[_.-]?+)++$").cast("double"),
         "f_key_form": value.rlike(f"^({KEY_FORMS})|^-----BEGIN").cast("double"),
-        "f_name_before": near.rlike(f"({NAMES})[\"']?\\s{{0,3}}[=:]\\s{{0,3}}[\"']?$").cast("double"),
+        "f_name_before": before.rlike(f"{NAMED}$").cast("double"),
         "f_name_near": before.rlike(NAMES).cast("double"),
-        "f_assigned": near.rlike("[=:]\\s{0,3}[\"']?$").cast("double"),
+        "f_assigned": before.rlike("[=:]\\s*+[\"']?$").cast("double"),
         "f_quoted": (near.rlike("[\"']$") & after.rlike("^[\"']")).cast("double"),
         "f_other_name": near.rlike(f"\\b({NEGATIVE_WORDS})\\b\\W{{0,4}}$").cast("double"),
         "f_other_near": before.rlike(f"\\b({NEGATIVE_WORDS})\\b").cast("double"),
@@ -155,6 +162,7 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     alnum = f"translate(base64(unhex({hexes})), '+/=', 'aZ')"
     upper = f"upper(translate({alnum}, '0189', 'KQXW'))"
     digits = f"translate({hexes}, 'abcdef', '012345')"
+    letters = f"translate({hexes}, '0123456789', 'ghijklmnop')"
     word = "element_at(array('report', 'section', 'module', 'service', 'index', 'table', 'value', 'client'), 1 + n % 8)"
     prose = "element_at(array('the line says ', 'Und der ', 'of this, ', '. Le ', 'que los ', ''), 1 + n % 6)"
     name = "element_at(array('token', 'secret', 'api_key', 'password', 'access_key', 'auth_key', 'TOKEN', 'apiKey'), 1 + n % 8)"
@@ -188,6 +196,11 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         (0, f"concat(repeat(substr('xX0*', 1 + n % 4, 1), 12 + n % 8), n % 10)", assigned, end),
         (0, f"concat('mail', n % 100, '.example.com')", f"concat({prose}, left({hexes}, 3), '@')", "' '"),
         (0, f"concat({word}, '_', {word}, '_', 2000 + n % 30, '_', n % 13)", plain, "' '"),
+        (1, f"concat(left({alnum}, 1 + n % 2), substr('!#%&*', 1 + n % 5, 1), left({digits}, 1 + n % 2))", assigned, end),
+        (1, f"concat(left({letters}, 2 + n % 5), substr('!#%&*($', 1 + n % 7, 1), right({letters}, 2 + n % 4), substr('$!%', 1 + n % 5, 1), substr({letters}, 9, n % 5))", assigned, end),
+        (1, "concat('-----BEGIN PRIVATE KEY-----\\n', array_join(transform(sequence(1, 5 + n), i -> base64(unhex(sha2(concat(n, '-', i), 256)))), '\\n'), '\\n-----END PRIVATE KEY-----')", plain, "'\\n'"),
+        (0, f"concat('//', {word}, '.example.com/company/', {word}, '/backups/', n, '/', element_at(array('archive', 'nightly', 'q4', ''), 1 + n % 4))", f"concat({prose}, 'https:')", "element_at(array(' ', '/', '.'), 1 + n % 3)"),
+        (0, "element_at(array('the', 'is', 'none', 'null', 'true', 'a', 'yes', 'your', 'this', 'for', '...', '-', 'on', 'no'), 1 + n % 14)", assigned, end),
         (0, f"concat('www.', {word}, '.example.org/page', n)", f"concat({prose}, 'https://')", "' '"),
     ]
     numbers = spark.range(each).select(F.col("id").cast("int").alias("n"))
