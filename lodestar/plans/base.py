@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import count
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,12 +145,12 @@ class Base:
 
     # -- rules ---------------------------------------------------------------------------
 
-    def derive(self, rules: list[Rule], max_rounds: int = 100, naive: bool = False, beam: int | None = None) -> Derivation:
+    def derive(self, rules: list[Rule], max_rounds: int | None = None, naive: bool = False, beam: int | None = None) -> Derivation:
         """Apply rules to a fixpoint, stratum by stratum; this base stays as it is.
 
         Each round joins only what the last one added with what is known (``naive``: all with
         all), drops repeats and known rows, and settles the rest. A program without strata
-        is warned of and run as one.
+        is warned of and run as one; so is a bound ``max_rounds`` reached before the fixpoint.
         """
         strata = stratify(rules)
         if not strata.stratified:
@@ -158,16 +159,18 @@ class Base:
         for level in sorted({strata.levels.get(r.head.key, 0) for r in rules}):
             own = [r for r in rules if strata.levels.get(r.head.key, 0) == level]
             self._stratum(own, out, max_rounds, naive, beam)
+        if not out.fixpoint:
+            warnings.warn(f"no fixpoint within {max_rounds} rounds: rows that follow are missing", stacklevel=2)
         return out
 
-    def _stratum(self, rules: list[Rule], out: Derivation, max_rounds: int, naive: bool, beam: int | None) -> None:
+    def _stratum(self, rules: list[Rule], out: Derivation, max_rounds: int | None, naive: bool, beam: int | None) -> None:
         base, heads = out.base, {r.head.key for r in rules}
         held: dict[Key, Parts] = {}
         for key in heads & set(base.relations):
             held[key] = Parts(self.spark, "facts")
             base.relations[key] = held[key].add(base.relations[key].distinct())
         fresh: dict[Key, DataFrame] = {}
-        for turn in range(max_rounds):
+        for turn in count() if max_rounds is None else range(max_rounds):
             found: dict[Key, list[DataFrame]] = {}
             for r in rules:
                 if any(not a.absent and a.key not in base.relations for a in r.body):
@@ -203,7 +206,7 @@ class Base:
                 return
         out.fixpoint = False
 
-    def answers(self, goal: Atom, rules: list[Rule], max_rounds: int = 100) -> DataFrame:
+    def answers(self, goal: Atom, rules: list[Rule], max_rounds: int | None = None) -> DataFrame:
         """The goal's variables, deriving only what the goal asks for."""
         if stratify(rules).stratified and not any(a.absent for r in rules for a in r.body):
             inner, rewritten = demanded(goal, relevant(goal.key, rules))
@@ -219,7 +222,9 @@ class Base:
         A round of rules proves what the rounds before it allow, so the round a row first
         appears in is its depth; ``max_depth`` bounds the rounds.
         """
-        run = self.derive(relevant(goal.key, rules), max_depth)
+        with warnings.catch_warnings():
+            warnings.filterwarnings("ignore", "no fixpoint within")
+            run = self.derive(relevant(goal.key, rules), max_depth)
         parts = [matches(self.relation(goal.key), goal).distinct().withColumn("depth", F.lit(0))] if goal.key in self.relations else []
         parts += [matches(df, goal).withColumn("depth", F.lit(n)) for df, n in run.depths.get(goal.key, [])]
         if not parts:
