@@ -10,12 +10,17 @@ by their rank within their length.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,116 +28,143 @@ from .shared import settle
 
 SIZE = 2048
 END_ID = 1
-#: Pieces of one length are ranked in chunks of about so many.
-CHUNK_ROWS = 1024
-#: Slots beyond this are joined by a shuffle instead of a broadcast.
-BROADCAST_SLOTS = 50_000
 CACHED_WORDS = 600_000
-#: Bytes of text whose unknown words are encoded in one call.
-TOGETHER = 1 << 18
-#: ASCII punctuation but the apostrophe; the tokenizer always parts it from a letter before it.
-PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes of text whose words are looked up together; longer texts are taken in parts.
+TOGETHER = 2 << 20
+#: Lower-cased words that the tokenizer's normaliser leaves alone and its pre-tokeniser takes as one run.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+
+_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
+_SPACE = np.isin(_BYTES, list(b" \t\n\v\f\r"))
+_LETTER = (_BYTES >= 0x61) & (_BYTES <= 0x7A)
+#: The second byte of a Latin letter after 0xC3; the signs of multiplication and division are none.
+_SECOND = (_BYTES >= 0x9F) & (_BYTES <= 0xBF) & (_BYTES != 0xB7)
+#: ASCII punctuation but the apostrophe.
+_MARK = np.isin(_BYTES, list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"))
+
+
+def parted(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of texts: their bytes in one row and where each begins; ``bounds`` has the texts' own in ``data``.
+
+    ASCII is lower-cased. White space parts words, and so does a mark between a letter and
+    white space, as the tokenizer does itself.
+    """
+    low = _LOWER[data]
+    space = _SPACE[low]
+    first = np.zeros(len(low) + 1, bool)
+    first[bounds] = True
+    after = np.append(space[1:], True) | first[1:]
+    before = np.append(True, space[:-1]) | first[:-1]
+    letter = _LETTER[low]
+    letter[1:] |= _SECOND[low[1:]] & (low[:-1] == 0xC3)
+    mark = _MARK[low] & after & ~before & np.append(False, letter[:-1])
+    begins = ~space & (before | mark)
+    place = np.cumsum(~space)
+    return low[~space], (place[begins] - 1), begins
 
 
 class WordIds:
     """Token ids of texts, with a bounded cache by word in two halves, an older and a newer.
 
     The tokenizer drops white space and never merges over it, so a text's ids are those of
-    its words in turn; words are parted at ASCII white space. Words that the cache lacks are
-    encoded together and their ids told apart by offsets.
+    its words in turn. Of some texts together, the distinct words are looked up once each.
+    Words that the cache lacks are encoded together: plain ones by the tokenizer's model
+    alone, others by the whole tokenizer. Texts that may hold a special token, which counts
+    as written, are left to the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        bytewise = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        steps = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, bytewise]}
+        self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": steps, "added_tokens": []}))
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.letters = frozenset(b"abcdefghijklmnopqrstuvwxyz")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def kept(self, word: bytes) -> bool:
-        """Take a word over from the older half of the cache, if it is there."""
-        known = self.older.get(word)
-        if known is not None:
-            self.cache[word] = known
-        return known is not None
-
-    def encode(self, words: list[bytes]) -> None:
-        """Put words into the cache, encoded in one call.
-
-        Words of letters alone are one run each to the tokenizer, and the last token of a run
-        says so; where that can't tell the words apart, offsets do.
-        """
-        texts = [w.decode("utf-8", "replace") for w in words]
-        done = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(done.ids, "<u4")
-        bounds = np.flatnonzero(self.ends[ids]) + 1
-        if len(bounds) == len(words) and all(map(str.isalpha, texts)):
-            bounds = np.append(0, bounds) * 4
-        else:
-            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-            at = np.fromiter((a for a, _ in done.offsets), np.int64, len(ids))
-            bounds = np.searchsorted(at, starts) * 4
-        whole, bounds = ids.tobytes(), bounds.tolist()
-        self.cache.update(zip(words, [whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
-
-    def learn(self, words: set[bytes]) -> None:
-        """Words share the ids of their lower-cased stem and of the punctuation after it."""
-        cache, older, letters = self.cache, self.older, self.letters
-        whole, stems, other, shared = [], set(), set(), []
-        for w in words:
-            if (known := older.get(w)) is not None:
-                cache[w] = known
-                continue
-            if b"<|" in w:  # may be a special token, which counts as written
-                whole.append(w)
-                continue
-            low = w.lower()
-            stem = low.rstrip(PUNCTUATION)
-            if len(stem) == len(low) or not stem or b"'" in low:
-                tail = b""
-                stem = low
-            elif stem[-1] in letters or stem.decode("utf-8", "replace")[-1].isalpha():
-                tail = low[len(stem) :]
-                if tail not in cache and not self.kept(tail):
-                    other.add(tail)
+    def put(self, words: list[bytes], ids: np.ndarray, bounds: np.ndarray) -> None:
+        whole, ends = ids.tobytes(), (4 * bounds).tolist()
+        self.cache.update(zip(words, [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words and put them into the cache."""
+        plain = [w for w in words if w.isalpha()]
+        if len(plain) < len(words):
+            rest = [w for w in words if not w.isalpha()]
+            fine = [PLAIN.fullmatch(w.decode("utf-8", "replace")) is not None for w in rest]
+            plain += [w for w, f in zip(rest, fine, strict=True) if f]
+            other = [w for w, f in zip(rest, fine, strict=True) if not f]
+            texts = [w.decode("utf-8", "replace") for w in other]
+            done = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            at = np.fromiter((a for a, _ in done.offsets), np.int64, len(done.ids))
+            starts = np.cumsum([len(t) + 1 for t in texts])
+            self.put(other, np.array(done.ids, "<u4"), np.searchsorted(at, starts))
+        if plain:
+            # The last token of a plain word says that it ends one.
+            done = self.model.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0]
+            ids = np.array(done.ids, "<u4")
+            self.put(plain, ids, np.flatnonzero(self.ends[ids]) + 1)
+
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """The ids of distinct words as little-endian unsigned 32-bit integers."""
+        found = list(map(self.cache.get, words))
+        if None in found:
+            missing = [i for i, ids in enumerate(found) if ids is None]
+            new = [words[i] for i in missing]
+            if len(self.cache) + len(new) > CACHED_WORDS // 2:
+                # Words met since the last turn outlive it; those not met again are forgotten at the next.
+                self.older, self.cache = self.cache, {}
+            known = list(map(self.older.get, new))
+            self.cache.update((w, ids) for w, ids in zip(new, known, strict=True) if ids is not None)
+            if None in known:
+                self.learn([w for w, ids in zip(new, known, strict=True) if ids is None])
+            for i, w in zip(missing, new, strict=True):
+                found[i] = self.cache[w]
+        return found
+
+    def together(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts (UTF-8 as large_binary) one after another, each with ``end`` after it, and their counts."""
+        _, offsets, data = texts.buffers()
+        bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        row, at, begins = parted(data, bounds)
+        held = [None, pa.py_buffer(np.append(at, len(row))), pa.py_buffer(row)]
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), held).dictionary_encode()
+        ids = [*self.of(coded.dictionary.to_pylist()), end]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        places, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(ids), "<u4")
+        # Each text has a word more, the end, so none is without.
+        number = np.append(0, np.cumsum(begins))[bounds]
+        words = np.insert(coded.indices.to_numpy(), number[1:], len(ids) - 1)
+        each = sizes[words]
+        at = np.repeat(places[words] - np.cumsum(each) + each, each)
+        at += np.arange(len(at))
+        return flat[at], np.add.reduceat(each, number[:-1] + np.arange(len(texts)))
+
+    def ids(self, text: bytes, end: bytes = b"") -> np.ndarray:
+        """The ids of one text, in parts of about ``TOGETHER`` bytes that end at white space."""
+        parts, at = [], 0
+        while at < len(text):
+            stop = at + TOGETHER
+            if stop < len(text):
+                space = re.compile(rb"[ \t-\r]").search(text, stop)
+                stop = space.end() if space else len(text)
+            part, at = text[at:stop], stop
+            if b"<|" in part:
+                whole = self.tokenizer.encode(part.decode("utf-8", "replace"), add_special_tokens=False)
+                parts.append(np.array(whole.ids, "<u4"))
             else:
-                tail = b""
-                stem = low
-            if stem not in cache and not self.kept(stem):
-                stems.add(stem)
-            if tail or stem != w:
-                shared.append((w, stem, tail))
-        plain = [w for w in stems if w.isalpha() or w.decode("utf-8", "replace").isalpha()]
-        other |= stems.difference(plain)
-        for some in (plain, [*other], whole):
-            if some:
-                self.encode(some)
-        for w, stem, tail in shared:
-            cache[w] = cache[stem] + cache[tail] if tail else cache[stem]
-
-    def many(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; unknown words are learned together."""
-        lines = [(text or b"").split() for text in texts]
-        get = self.cache.get
-        found = [list(map(get, words)) for words in lines]
-        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
-        new = {words[i] for words, at in zip(lines, gaps, strict=True) for i in at}
-        if len(self.cache) + len(new) > CACHED_WORDS // 2:
-            # Words met since the last turn outlive it; those not met again are forgotten at the next.
-            self.older, self.cache = self.cache, {}
-        if new:
-            self.learn(new)
-        for words, ids, at in zip(lines, found, gaps, strict=True):
-            for i in at:
-                ids[i] = self.cache[words[i]]
-            yield b"".join(ids)
-
-    def ids(self, text: bytes | None) -> bytes:
-        return next(self.many([text]))
+                parts.append(self.together(pa.array([part], pa.large_binary()))[0])
+        return np.concatenate([*parts, np.frombuffer(end, "<u4")])
 
 
 @lru_cache(maxsize=2)
@@ -140,6 +172,20 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def lots(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where to part texts so that each part has about ``TOGETHER`` bytes, or is one longer or special text."""
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).copy()
+    size[pc.match_substring(texts, b"<|").to_numpy(zero_copy_only=False)] = TOGETHER + 1
+    first = held = 0
+    for i, n in enumerate(size.tolist()):
+        if first < i and held + n > TOGETHER:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if first < len(size):
+        yield first, len(size)
+
+
 def pieces(
     docs: DataFrame,
     tokenizer_path: str,
@@ -153,38 +199,30 @@ def pieces(
     A document is its ids and then the end id; a null text is empty. ``keep_ids`` adds the
     ids themselves as ``ids array<int>``.
     """
-
     end = np.array([END_ID], "<u4").tobytes()
 
-    def coded(texts: pa.Array) -> Iterator[bytes]:
-        """Each text's ids and the end id, some texts at a time."""
-        held: list[bytes | None] = []
-        size_held = 0
-        for text in [*texts, ...]:
-            if text is ... or size_held > TOGETHER:
-                yield from (ids + end for ids in word_ids(tokenizer_path).many(held))
-                held, size_held = [], 0
-            if text is not ...:
-                held.append(text.as_py())
-                size_held += len(held[-1] or b"")
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        coder = word_ids(tokenizer_path)
         for b in batches:
-            rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), coded(b.column(1)), strict=True):
-                total = len(ids) // 4
-                for start in range(0, total, size):
-                    part = ids[4 * start : 4 * (start + size)]
-                    kept = (np.frombuffer(part, "<u4").astype(np.int32),) if keep_ids else ()
-                    rows.append((doc, start, len(part) // 4, zlib.crc32(part), total, *kept))
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [
-                    pa.array(c, pa.list_(pa.int32())) for c in columns[5:]
-                ]
+            texts = b.column(1).cast(pa.large_binary()).fill_null(b"")
+            for first, last in lots(texts):
+                some = texts.slice(first, last - first)
+                if last - first == 1:
+                    ids = coder.ids(some[0].as_py(), end)
+                    counts = np.array([len(ids)])
+                else:
+                    ids, counts = coder.together(some, end)
+                n = -(-counts // size)
+                doc = np.repeat(np.arange(len(counts)), n)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * size
+                length = np.minimum(counts[doc] - start, size)
+                bounds = np.append(0, np.cumsum(length))
+                at, whole = (4 * bounds).tolist(), memoryview(ids).cast("B")
+                crc = [zlib.crc32(whole[x:y]) for x, y in zip(at, at[1:], strict=False)]
+                arrays = [b.column(0).slice(first, last - first).take(pa.array(doc))]
+                arrays += [pa.array(x, pa.int64()) for x in (start, length, crc, counts[doc])]
+                if keep_ids:
+                    arrays.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
@@ -219,54 +257,74 @@ def pack_histogram(counts: dict[int, int], size: int = SIZE) -> list[tuple[int,
     return slots
 
 
-def ranked(table: DataFrame, counts: dict[int, int], order: list[str]) -> DataFrame:
-    """Add ``rank``, from 0 within each length, without ordering all pieces of a length in one task.
+def numbered(table: DataFrame, size: int) -> DataFrame:
+    """Add ``_part``, the task that a row was in, and ``_nth``, its number among the task's rows of its length, from 0.
 
-    Frequent lengths are split into hashed chunks; a chunk's rank starts where the chunks
-    before it end.
+    The caller settles the result, so the numbers are those of one run of each task.
     """
-    spark = table.sparkSession
-    chunks = spark.createDataFrame([(n, -(-c // CHUNK_ROWS)) for n, c in counts.items()], "length long, chunks long")
-    dealt = table.join(F.broadcast(chunks), "length").withColumn(
-        "chunk", F.pmod(F.xxhash64(*order), F.col("chunks"))
-    )
-    filled = dealt.groupBy("length", "chunk").agg(F.count("*").alias("held"))
-    before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    starts = filled.select("length", "chunk", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "chunk").orderBy(*order)
-    return (
-        dealt.withColumn("rank", F.row_number().over(within) - 1)
-        .join(starts, ["length", "chunk"])
-        .withColumn("rank", F.col("rank") + F.col("first"))
-        .drop("chunk", "chunks", "first")
-    )
-
-
-def pack(table: DataFrame, size: int = SIZE, order: list[str] | None = None) -> DataFrame:
-    """Add ``sequence_id`` and ``offset`` to a table of pieces with a column ``length`` of 1 to ``size``.
-
-    ``order`` ranks pieces of a length; pieces that tie in it may swap places. An empty
-    table gives an empty result.
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        for b in batches:
+            length = b.column(at).to_numpy(zero_copy_only=False)
+            order = np.argsort(length, kind="stable")
+            held = np.bincount(length, minlength=size + 1)
+            first = np.cumsum(held) - held
+            nth = np.empty(len(length), np.int64)
+            nth[order] = np.arange(len(length)) - first[length[order]] + seen[length[order]]
+            seen += held
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(nth), part)), pa.array(nth)], [*names, "_part", "_nth"])
+
+    names = table.columns
+    at = names.index("length")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+    return table.mapInArrow(count, f"{kinds}, _part long, _nth long")
+
+
+def pack(table: DataFrame, size: int = SIZE) -> DataFrame:
+    """Add ``sequence_id`` and ``offset`` to a table of pieces with a column ``length`` (long) of 1 to ``size``.
+
+    A piece's rank within its length is its number within its task's rows of that length and
+    how many the tasks before it have, so no group of equal pieces, ids or lengths is ordered
+    in one place. At any time there are at most two patterns a length, so the number of slots
+    depends on ``size`` alone and they are broadcast. An empty table gives an empty result.
     """
-    table = settle(table, "pieces")
-    counts = {r.length: r["count"] for r in table.groupBy("length").count().collect()}
-    slots = pack_histogram(counts, size)
-    kinds = "length long, lo long, hi long, base long, offset long"
-    found = table.sparkSession.createDataFrame(slots, kinds)
-    if len(slots) <= BROADCAST_SLOTS:
-        found = F.broadcast(found)
-    placed = ranked(table, counts, order or ["doc_id", "start"]).alias("p").join(
-        found.alias("s"),
-        (F.col("p.length") == F.col("s.length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")),
-    )
-    return placed.select("p.*", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset").drop("rank")
+    table = settle(numbered(table, size), "pieces")
+    held = settle(table.groupBy("length", "_part").agg(F.count("*").alias("n")), "piece-counts")
+    counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    slots = np.array(pack_histogram(counts, size), np.int64).reshape(-1, 5)
+    length, lo, _, base, offset = slots[np.lexsort((slots[:, 1], slots[:, 0]))].T
+    found = table.sparkSession.sparkContext.broadcast((length, lo, base, offset))
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = held.select("length", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first"))
+    ranked = table.join(settle(starts, "piece-starts"), ["length", "_part"]).withColumn("_rank", F.col("_first") + F.col("_nth"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, lo, base, offset = found.value
+        begin = np.searchsorted(length, np.arange(size + 2))
+        for b in batches:
+            n, rank = (b.column(i).to_numpy(zero_copy_only=False) for i in (at, len(names)))
+            # Slots of a length lie together in order of their first ranks: halve the stretch that can hold each rank.
+            left, right = begin[n], begin[n + 1]
+            while (right - left > 1).any():
+                middle = (left + right) // 2
+                after = lo[np.minimum(middle, len(lo) - 1)] <= rank
+                left, right = np.where(after & (right - left > 1), middle, left), np.where(after, right, np.maximum(middle, left + 1))
+            arrays = [pa.array(base[left] + rank - lo[left]), pa.array(offset[left])]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *arrays], [*names, "sequence_id", "offset"])
+
+    names = [c for c in table.columns if c not in ("_part", "_nth")]
+    at = names.index("length")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name in names)
+    return ranked.select(*names, "_rank").mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE, keep_ids: bool = False) -> DataFrame:
     """All documents, tokenised, cut and packed: a row per piece.
 
     Null ids are kept; repeated rows are packed once each; null and empty texts are the end
-    id alone.
+    id alone; which of several equally long pieces goes where is left to their places in the
+    table. Columns of ``docs`` other than ``doc_id`` and ``text`` are left out.
     """
     done = pack(pieces(docs, tokenizer_path, size, keep_ids), size)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids]

@@ -49,6 +49,24 @@ def test_cache_is_bounded(plain, monkeypatch):
     assert len(coder.cache) <= 9
 
 
+def test_parts_of_a_text_and_lots_change_nothing(plain, monkeypatch):
+    text = "It's a long line, no? (yes!) ¡olé! état... 12 x<|endoftext|> <|EndOfText|> « été. » é, ×, don't. " * 20
+    whole = plain.encode(text, add_special_tokens=False).ids
+    some = [text, "", "  ", text.replace("<|", ""), "end.", "é."] * 3
+    for size in (1, 7, 100, 1 << 20):
+        monkeypatch.setattr(packing, "TOGETHER", size)
+        coder = packing.WordIds(PATH)
+        assert coder.ids(text.encode()).tolist() == whole
+        texts, got = packing.pa.array([t.encode() for t in some], packing.pa.large_binary()), []
+        for first, last in packing.lots(texts):
+            if last - first == 1:
+                got.append(coder.ids(texts[first].as_py()).tolist())
+            else:
+                ids, counts = coder.together(texts.slice(first, last - first), b"\x01\0\0\0")
+                got += [x[:-1].tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 50)))
 def test_histogram_packs_every_piece_once(counts):
@@ -89,5 +107,17 @@ def test_documents(spark, plain):
     assert out.length.sum() / (2048 * out.sequence_id.nunique()) > 0.9
 
 
+def test_equal_pieces_spread(spark):
+    """Rows that share id, start and length are ranked where they lie; none meet in one place."""
+    same = spark.range(20_000, numPartitions=8).selectExpr("cast(null AS long) AS doc_id", "0L AS start", "700L AS length", "id AS rank")
+    out = packing.pack(same)
+    assert "_rank" not in out.columns and out.columns == ["doc_id", "start", "length", "rank", "sequence_id", "offset"]
+    held = packing.numbered(same, packing.SIZE).groupBy("_part").count().collect()
+    assert len(held) == 8 and max(r["count"] for r in held) == 2500
+    got = out.groupBy("sequence_id").agg({"offset": "collect_list"}).collect()
+    assert len(got) == 10_000 and all(sorted(r[1]) == [0, 700] for r in got)
+    assert sorted(r.rank for r in out.select("rank").collect()) == list(range(20_000))
+
+
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
