@@ -28,9 +28,11 @@ from .shared import settle
 
 SIZE = 2048
 END_ID = 1
-CACHED_WORDS = 600_000
+CACHED_WORDS = 900_000
 #: Bytes of text whose words are looked up together; longer texts are taken in parts.
-TOGETHER = 2 << 20
+TOGETHER = 4 << 20
+#: Words encoded in one call.
+ENCODED = 20_000
 #: Lower-cased words that the tokenizer's normaliser leaves alone and its pre-tokeniser takes as one run.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
@@ -95,7 +97,11 @@ class WordIds:
         self.cache.update(zip(words, [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def learn(self, words: list[bytes]) -> None:
-        """Encode words and put them into the cache."""
+        """Encode words and put them into the cache, some at a time, as an encoding takes much more room than its ids."""
+        for first in range(0, len(words), ENCODED):
+            self.encode(words[first : first + ENCODED])
+
+    def encode(self, words: list[bytes]) -> None:
         plain = [w for w in words if w.isalpha()]
         if len(plain) < len(words):
             rest = [w for w in words if not w.isalpha()]
