@@ -5,9 +5,9 @@ stage before it kept. All but the last return the columns of ``documents``.
 
 1. language_id: rows predicted ``und`` go, and so do rows predicted, with a score of
    ``REJECT_SCORE`` or more, to be in another language than they are labelled with.
-2. near_dedup: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are
-   linked; of each class the row with the smallest doc_id stays (of rows that share it, one);
-   rows without a doc_id stay.
+2. near_dedup: texts whose SimHash fingerprints over five-word shingles differ in 2 of 64 bits
+   or fewer, which takes a similarity of far over 0.8, are linked; of each class the row with
+   the smallest doc_id stays (of rows that share it, one); rows without a doc_id stay.
 3. decontamination: rows with a twentieth of their words or more in benchmark windows go.
 4. secret_scan: secrets are replaced by a mask; no row goes.
 5. packing: all rows are tokenised and packed into sequences.
@@ -22,11 +22,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import decontamination, jaccard, langid, packing, secrets
+from lodestar.llm import decontamination, langid, packing, secrets, simhash
 from lodestar.llm.shared import settle, table
 
 TOKENIZER = "word_bpe_49k.json"
 REJECT_SCORE = 0.65
+#: Words a shingle of near_dedup.
+SHINGLE = 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    key, doc = jaccard.key_of(F.col("text")), F.col("doc_id")
-    linked = jaccard.classes(docs).withColumnRenamed("key", "linked")
-    # Of each class the least of (doc_id, key) stays; a row is in a class of its own unless its text is linked.
+    key, doc = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.col("doc_id")
+    found = simhash.near_duplicates(docs.select(key.alias("same"), "text"), SHINGLE, "same")
+    linked = found.select("same", F.col("component_id").alias("root")).distinct()
+    # Of each class the least of (doc_id, key) stays.
     rows = docs.where("doc_id is not null").select(doc.alias("id"), key.alias("key"))
-    classed = rows.join(linked, rows["key"] == linked["linked"], "left").withColumn("root", F.coalesce("root", "key"))
-    classed = settle(classed.select("id", "key", "root"), "classed")
+    classed = settle(rows.join(linked, rows["key"] == linked["same"]).select("id", "key", "root"), "classed")
     best = classed.groupBy("root").agg(F.min(F.struct("id", "key")).alias("best"), F.count("*").alias("n")).where("n > 1")
     best = settle(best, "best")
     # Rows that go are far fewer than rows that stay, so they are what docs are joined with.

@@ -23,6 +23,8 @@ from .shared import settle
 
 BITS = 64
 SEED = 42
+#: Variants that one task makes at about most.
+TASK_ROWS = 1_000_000
 #: Shingles hashed at a time, which bounds the memory of a very long text.
 BLOCK = 1 << 16
 
@@ -48,7 +50,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id_col>, fp``: the 64-bit fingerprint of every whole text, as a signed long.
+    """``<id_col>, fp``: the 64-bit fingerprint of every whole text, as a signed long; ids keep their type.
 
     A null or empty text has fingerprint 0; a text of fewer words than a shingle is one shingle.
     """
@@ -58,8 +60,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
 
-    own = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary"))
-    return own.mapInArrow(hashed, f"`{id_col}` long, fp long")
+    own = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").cast("binary"))
+    return own.mapInArrow(hashed, f"`{id_col}` {own.schema[0].dataType.simpleString()}, fp long")
 
 
 def ball_links(fps: DataFrame) -> DataFrame:
@@ -70,7 +72,9 @@ def ball_links(fps: DataFrame) -> DataFrame:
     mask. They are linked to the least of them as a star, which keeps every component: any
     two that meet at a variant are at most two bits apart. Each link is verified.
     """
-    flips = fps.select("fp", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("bit"))
+    # Every row becomes 65, so the rows are dealt to as many tasks as their number asks for.
+    tasks = fps.count() * (BITS + 1) // TASK_ROWS + 1
+    flips = fps.repartition(tasks, "fp").select("fp", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("bit"))
     mask = F.when(F.col("bit") >= 0, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
     met = (
         flips.withColumn("mask", mask)
@@ -88,7 +92,7 @@ def ball_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``<id_col>, fingerprint, component_id`` for every row.
+    """``<id_col>, fingerprint, component_id`` for every row; other columns are left out.
 
     Rows whose fingerprints differ in 2 bits or fewer are linked; ``component_id`` is the
     smallest id reachable over links. Repeated rows stay and share a component; a row with a

@@ -53,7 +53,7 @@ def test_stages_equal_brute_force(spark, folder):
     docs = stages["near_dedup"](spark, docs, path)
     assert docs.columns == columns
     once = sorted(kept, key=str)
-    stay = {(int(i), f) for i, f, c in plain_classes(once) if i is not None and i == c}
+    stay = {(int(i), f) for i, f, c in plain_classes(once, corpus_pipeline.SHINGLE) if i is not None and i == c}
     got = [r.doc_id for r in docs.collect()]
     assert sorted(i for i in got if i is not None) == sorted(i for i, _ in stay) and got.count(None) == 1
 

@@ -5,22 +5,23 @@ import re
 
 import xxhash
 
+from lodestar.llm import simhash
 from lodestar.llm.simhash import fingerprint, near_duplicates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def plain_print(text):
+def plain_print(text, width=3):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return 0
-    grams = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    grams = [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
     hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def plain_classes(rows):
-    prints = [plain_print(t) for _, t in rows]
+def plain_classes(rows, width=3):
+    prints = [plain_print(t, width) for _, t in rows]
     root = list(range(len(rows)))
 
     def top(i):
@@ -69,6 +70,18 @@ def test_classes_match_brute_force(spark):
     assert found == plain_classes(rows)
 
 
+def test_wider_shingles_and_ids_of_text(spark):
+    rows = [(None if i is None else f"d{i:05}", t) for i, t in corpus()]
+    docs = spark.createDataFrame(rows, "doc string, text string")
+    assert sorted(map(tuple, near_duplicates(docs, 5, "doc").collect()), key=str) == plain_classes(rows, 5)
+
+
+def test_variants_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TASK_ROWS", 1000)
+    prints = spark.range(100).selectExpr("xxhash64(id) AS fp").coalesce(1)
+    assert "REPARTITION_BY_NUM" in simhash.ball_links(prints)._jdf.queryExecution().toString()
+
+
 def test_every_pair_within_two_bits_is_linked(spark):
     from lodestar.llm.simhash import ball_links
 
