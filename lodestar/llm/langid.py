@@ -41,24 +41,36 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
+def _hashed(points: np.ndarray) -> np.ndarray:
+    """Hashes of the n-grams of a row of letters and blanks."""
+    mixed = points[: len(points) - NGRAM + 1].copy()
+    for k in range(1, NGRAM):
+        mixed = mixed * _MULTIPLY + points[k : len(points) - NGRAM + 1 + k]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= _FOLD
+    return mixed ^ (mixed >> np.uint64(32))
+
+
 def ngrams(text: str) -> Iterator[np.ndarray]:
-    """Hashes of a text's n-grams, in blocks; runs of anything but letters count as one blank."""
+    """Hashes of a text's n-grams; runs of anything but letters count as one blank.
+
+    A text is taken in blocks. What an n-gram needs of the block before is carried over, so
+    the n-grams don't depend on where blocks end.
+    """
     text = text.lower()
-    for start in range(0, max(1, len(text)), BLOCK):
-        part = text[max(0, start - NGRAM) : start + BLOCK]
-        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = np.full(1, 32, np.uint64)
+    carried, after_letter, found = blank, False, False
+    for start in range(0, len(text), BLOCK):
+        points = np.frombuffer(text[start : start + BLOCK].encode("utf-32-le", "surrogatepass"), "<u4")
         letter = _letters()[points]
-        if not letter.any():
-            continue
-        points = np.where(letter, points, 32)
-        points = points[letter | np.append(True, letter[:-1])].astype(np.uint64)
-        points = np.concatenate(([np.uint64(32)], points, np.full(NGRAM - 1, 32, np.uint64)))
-        mixed = points[: len(points) - NGRAM + 1].copy()
-        for k in range(1, NGRAM):
-            mixed = mixed * _MULTIPLY + points[k : len(points) - NGRAM + 1 + k]
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= _FOLD
-        yield mixed ^ (mixed >> np.uint64(32))
+        kept = letter | np.append(after_letter, letter[:-1])
+        after_letter, found = bool(letter[-1]), found or bool(letter.any())
+        row = np.concatenate((carried, np.where(letter, points, 32)[kept].astype(np.uint64)))
+        carried = row[1 - NGRAM :]
+        if len(row) >= NGRAM:
+            yield _hashed(row)
+    if found:
+        yield _hashed(np.concatenate((carried, np.repeat(blank, NGRAM - 1))))
 
 
 def _slots(hashes: np.ndarray, slots: int, n: int) -> Iterator[np.ndarray]:
@@ -182,7 +194,9 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
 
         return pd.DataFrame([filters.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_guess", guessed(F.col(text_col))).select(*docs.columns, "_guess.lang_pred", "_guess.score")
+    # The name is free, as the column was dropped.
+    guess = docs.withColumn("lang_pred", guessed(F.col(text_col).cast("string")))
+    return guess.select(*docs.columns, "lang_pred.lang_pred", "lang_pred.score")
 
 
 def held_out(id_col: str = "doc_id"):

@@ -31,10 +31,56 @@ def test_filters_contain_what_was_put_in_and_little_else():
 
 
 def test_blocks_give_the_same_ngrams(monkeypatch):
-    line = "Ab, cd1é fG. hij " * 50
-    whole = np.unique(np.concatenate(list(langid.ngrams(line))))
-    monkeypatch.setattr(langid, "BLOCK", 97)
-    assert set(whole.tolist()) <= set(np.concatenate(list(langid.ngrams(line))).tolist())
+    for line in ("Ab, cd1é fG. hij " * 50, "  12 a", "a", "no end" * 40 + "...", "12 3", ""):
+        whole = [g for part in langid.ngrams(line) for g in part.tolist()]
+        for block in (1, 2, 3, 97):
+            monkeypatch.setattr(langid, "BLOCK", block)
+            assert [g for part in langid.ngrams(line) for g in part.tolist()] == whole
+        monkeypatch.undo()
+
+
+def plain_grams(text):
+    """N-grams as strings, one letter at a time."""
+    row = " "
+    for c in (text or "").lower():
+        if c.isalpha():
+            row += c
+        elif row[-1] != " ":
+            row += " "
+    return [(row + "   ")[i : i + 4] for i in range(len(row))] if row.strip() else []
+
+
+def plain_predictions(rows, learned):
+    counts = {}
+    for _, t, lang in learned:
+        for g in plain_grams(t):
+            counts.setdefault(lang, {}).setdefault(g, 0)
+            counts[lang][g] += 1
+    share = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    most = {}
+    for c in share.values():
+        for g, x in c.items():
+            most[g] = max(most.get(g, 0), x)
+    held = {lang: {g for g, x in c.items() if x >= langid.MIN_SHARE and x >= langid.MIN_RATIO * most[g]} for lang, c in share.items()}
+    out = []
+    for _, t, _ in rows:
+        grams = plain_grams(t)
+        found = {lang: sum(g in c for g in grams) for lang, c in held.items()}
+        best = max(sorted(found), key=found.get)
+        out.append(("und", 0.0) if not grams else (best, found[best] / sum(found.values())))
+    return out
+
+
+def test_predictions_equal_plain_sets(spark):
+    rng = random.Random(8)
+    rows = [(i, text(rng, lang := rng.choice(sorted(SYLLABLES)), 12), lang) for i in range(300)]
+    rows += [(300 + i, f"{text(rng, 'aa', 3)} {text(rng, 'bb', 5 + i)}, {text(rng, 'cc', 4)}!", "bb") for i in range(40)]
+    rows += [(400, None, None), (401, "12", "aa"), (402, "ba ka", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = [r for r in rows if r[2] and r[1] and zlib.crc32(str(r[0]).encode()) % 5]
+    by = {r.doc_id: r for r in langid.languages(docs).collect()}
+    for (i, _, _), (lang, score) in zip(rows, plain_predictions(rows, learned), strict=True):
+        assert by[i].lang_pred == lang and abs(by[i].score - score) < 0.01
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
