@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from lodestar.plans.base import Base
+from lodestar.plans.rules import without
 
 
 def contradictions(base: Base, predicate: str, arity: int) -> DataFrame:
@@ -44,7 +45,8 @@ KEEP = {"keep_positive": (True,), "keep_negative": (False,), "remove_both": (Tru
 
 
 def enforce(base: Base, strategy: str) -> Base:
-    """A base without contradictions: contradicted rows leave the negative side, the positive side, or both."""
+    """A base without contradictions: contradicted rows leave the negative side,
+    the positive side, or both; nulls are equal."""
     if strategy not in KEEP:
         raise ValueError(f"no such strategy: {strategy}")
     out = Base(base.spark, base.relations)
@@ -53,5 +55,5 @@ def enforce(base: Base, strategy: str) -> Base:
             bad = contradictions(base, p, n)
             for sign in KEEP[strategy]:
                 rows = base.relations[p, n, sign]
-                out.relations[p, n, sign] = rows.join(bad, rows.columns, "left_anti")
+                out.relations[p, n, sign] = without(rows, bad)
     return out

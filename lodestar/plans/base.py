@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import count
@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.scores import joint_score
-from lodestar.plans.rules import ANY, Atom, Rule, Var, demanded, derived, matches, seed_of
-from lodestar.plans.strata import relevant, stratify
+from lodestar.plans.rules import ANY, Atom, Rule, Var, demanded, derived, matches, seed_of, without
+from lodestar.plans.strata import groups, relevant, stratify
 from lodestar.sources.facts import FACTS, long_form
 from lodestar.sources.tables import Parts
 
@@ -39,12 +39,31 @@ class Derivation:
         return sum(self.per_round)
 
 
+class Relations(dict):
+    """Relations by key; one given as a function is made when it is first used."""
+
+    def __getitem__(self, key: Key) -> DataFrame:
+        found = super().__getitem__(key)
+        if callable(found):
+            found = self[key] = found()
+        return found
+
+    def items(self) -> list[tuple[Key, DataFrame]]:
+        return [(key, self[key]) for key in self]
+
+
 class Base:
-    """Relations by name, arity and sign. Columns are called ``a1 .. ak`` and keep their types."""
+    """Relations by name, arity and sign. Columns are called ``a1 .. ak`` and keep their types.
+
+    ``trace``, if given, gets an event for each query, derivation and round (``operators.traces.Trace``).
+    """
+
+    def __init__(self, spark: SparkSession, relations: dict[Key, DataFrame] | None = None, trace: Any = None) -> None:
+        self.spark, self.trace = spark, trace
+        self.relations = Relations(relations or {})
 
-    def __init__(self, spark: SparkSession, relations: dict[Key, DataFrame] | None = None) -> None:
-        self.spark = spark
-        self.relations = dict(relations or {})
+    def _event(self, kind: str, parents: tuple[str, ...] = (), **payload: Any) -> tuple[str, ...]:
+        return (self.trace.record(kind, payload, parents),) if self.trace is not None else ()
 
     # -- facts ---------------------------------------------------------------------------
 
@@ -60,6 +79,14 @@ class Base:
         self.relations[key] = rows
         return self
 
+    def declare(self, predicate: str, columns: list[str], df: Callable[[], DataFrame], negated: bool = False) -> Base:
+        """``register`` for a DataFrame that is made only if the predicate is used; the predicate must be new."""
+        key = (predicate, len(columns), negated)
+        if key in self.relations:
+            raise ValueError(f"{predicate} is known already")
+        dict.__setitem__(self.relations, key, lambda: df().select(*(F.col(c).alias(f"a{i + 1}") for i, c in enumerate(columns))))
+        return self
+
     def insert(self, predicate: str, rows: Iterable[tuple], negated: bool = False) -> Base:
         """A few facts given as tuples of strings."""
         rows = [tuple(map(str, r)) for r in rows]
@@ -86,11 +113,15 @@ class Base:
         schema = ", ".join(f"a{i + 1} string" for i in range(key[1]))
         return self.spark.createDataFrame([], schema)
 
+    def has(self, predicate: str, negated: bool = False) -> bool:
+        """Whether a predicate is known, with any number of arguments."""
+        return any(p == predicate and neg == negated for p, _, neg in self.relations)
+
     def predicates(self) -> list[str]:
         return sorted({("~" if neg else "") + p for p, _, neg in self.relations})
 
     def clear(self, predicate: str | None = None) -> Base:
-        self.relations = {} if predicate is None else {k: v for k, v in self.relations.items() if k[0] != predicate}
+        self.relations = Relations() if predicate is None else Relations({k: dict.__getitem__(self.relations, k) for k in self.relations if k[0] != predicate})
         return self
 
     def stats(self) -> DataFrame:
@@ -109,6 +140,7 @@ class Base:
 
         Constants and repeated variables filter the relation's scan. ``k`` limits the answers.
         """
+        self._event("query", goal=str(goal), k=k)
         if not goal.variables:
             return self.ask(goal)
         bound = len([x for x in goal.args if not isinstance(x, Var)])
@@ -145,41 +177,60 @@ class Base:
 
     # -- rules ---------------------------------------------------------------------------
 
-    def derive(self, rules: list[Rule], max_rounds: int | None = None, naive: bool = False, beam: int | None = None) -> Derivation:
-        """Apply rules to a fixpoint, stratum by stratum; this base stays as it is.
-
-        Each round joins only what the last one added with what is known (``naive``: all with
-        all), drops repeats and known rows, and settles the rest. A program without strata
-        is warned of and run as one; so is a bound ``max_rounds`` reached before the fixpoint.
+    def derive(
+        self,
+        rules: list[Rule],
+        max_rounds: int | None = None,
+        naive: bool = False,
+        beam: int | None = None,
+        since: dict[Key, DataFrame] | None = None,
+        held: dict[Key, Parts] | None = None,
+        grouped: bool = True,
+    ) -> Derivation:
+        """Apply rules to a fixpoint; this base stays as it is.
+
+        Rules whose heads depend on each other run together, after those they depend on. Each
+        round joins only what the last one added with what is known (``naive``: all with all),
+        drops repeats and known rows (nulls are equal), and settles the rest. A program without
+        strata is warned of and run as one; so is a bound ``max_rounds`` reached before the
+        fixpoint. With ``since``, rows that came to a base that was at its fixpoint, rounds
+        start from those alone; ``held`` are the parts that derived relations are kept in. With
+        ``grouped`` off, all rules of a stratum run together, so that rounds are depths of proofs.
         """
         strata = stratify(rules)
         if not strata.stratified:
             warnings.warn(strata.summary(), stacklevel=2)
-        out = Derivation(Base(self.spark, self.relations))
-        for level in sorted({strata.levels.get(r.head.key, 0) for r in rules}):
-            own = [r for r in rules if strata.levels.get(r.head.key, 0) == level]
-            self._stratum(own, out, max_rounds, naive, beam)
+        out = Derivation(Base(self.spark, self.relations, self.trace))
+        events = self._event("derive", rules=len(rules))
+        fresh = dict(since) if since is not None else None
+        held = {} if held is None else held
+        levels = sorted({strata.levels.get(r.head.key, 0) for r in rules})
+        whole = [[r for r in rules if strata.levels.get(r.head.key, 0) == level] for level in levels]
+        for own in groups(rules) if strata.stratified and grouped else whole:
+            self._group(own, out, max_rounds, naive, beam, fresh, held, events)
         if not out.fixpoint:
             warnings.warn(f"no fixpoint within {max_rounds} rounds: rows that follow are missing", stacklevel=2)
         return out
 
-    def _stratum(self, rules: list[Rule], out: Derivation, max_rounds: int | None, naive: bool, beam: int | None) -> None:
+    def _group(
+        self, rules: list[Rule], out: Derivation, max_rounds: int | None, naive: bool, beam: int | None,
+        since: dict[Key, DataFrame] | None, held: dict[Key, Parts], events: tuple[str, ...],
+    ) -> None:
         base, heads = out.base, {r.head.key for r in rules}
-        held: dict[Key, Parts] = {}
-        for key in heads & set(base.relations):
+        for key in heads & set(base.relations) - set(held):
             held[key] = Parts(self.spark, "facts")
             base.relations[key] = held[key].add(base.relations[key].distinct())
-        fresh: dict[Key, DataFrame] = {}
+        fresh = dict(since or {})
+        gathered: dict[Key, list[DataFrame]] = {}
         for turn in count() if max_rounds is None else range(max_rounds):
             found: dict[Key, list[DataFrame]] = {}
             for r in rules:
                 if any(not a.absent and a.key not in base.relations for a in r.body):
                     continue  # nothing is known of an atom yet, so nothing follows
-                places = [i for i, a in enumerate(r.body) if not a.absent and a.key in heads]
-                if turn == 0 or naive:
+                if (turn == 0 and since is None) or naive:
                     found.setdefault(r.head.key, []).append(derived(r, lambda a, _: base.relation(_key(a)), beam))
                     continue
-                for place in (i for i in places if r.body[i].key in fresh):
+                for place in (i for i, a in enumerate(r.body) if not a.absent and a.key in fresh):
 
                     def relation(a: Atom, i: int, place: int = place) -> DataFrame:
                         return fresh[a.key] if i == place else base.relation(_key(a))
@@ -189,11 +240,11 @@ class Base:
             for key, parts in found.items():
                 new = reduce(DataFrame.union, (_fit(p, parts[0], key) for p in parts)).distinct() if len(parts) > 1 else parts[0]
                 if key in base.relations:
-                    new = _fit(new, base.relations[key], key)
-                    new = new.join(base.relations[key], new.columns, "left_anti")
+                    new = without(_fit(new, base.relations[key], key), base.relations[key])
                 part = (held.setdefault(key, Parts(self.spark, "facts"))).add(new)
-                if n := part.count():
+                if n := held[key].last:
                     fresh[key], added = part, added + n
+                    gathered.setdefault(key, []).append(part)
                     out.depths.setdefault(key, []).append((part, turn + 1))
                 else:
                     held[key].forget_last()
@@ -202,16 +253,23 @@ class Base:
             for key in found:
                 base.relations.setdefault(key, held[key].all())
             out.per_round.append(added)
+            events = self._event("round", events, added=added) or events
             if not added:
-                return
-        out.fixpoint = False
+                break
+            if not any(a.key in fresh for r in rules for a in r.body):
+                out.per_round.append(0)  # no rule reads what is new
+                break
+        else:
+            out.fixpoint = False
+        if since is not None:
+            since.update({key: reduce(DataFrame.union, parts) for key, parts in gathered.items()})
 
     def answers(self, goal: Atom, rules: list[Rule], max_rounds: int | None = None) -> DataFrame:
         """The goal's variables, deriving only what the goal asks for."""
         if stratify(rules).stratified and not any(a.absent for r in rules for a in r.body):
             inner, rewritten = demanded(goal, relevant(goal.key, rules))
             seed, row = seed_of(goal)
-            start = Base(self.spark, self.relations)
+            start = Base(self.spark, self.relations, self.trace)
             start.register(seed, self.spark.range(1).select(*(F.lit(x).alias(f"a{i + 1}") for i, x in enumerate(row))))
             return start.derive(rewritten, max_rounds).base.query(inner).drop("score")
         return self.derive(relevant(goal.key, rules), max_rounds).base.query(goal).drop("score")
@@ -224,7 +282,7 @@ class Base:
         """
         with warnings.catch_warnings():
             warnings.filterwarnings("ignore", "no fixpoint within")
-            run = self.derive(relevant(goal.key, rules), max_depth)
+            run = self.derive(relevant(goal.key, rules), max_depth, grouped=False)
         parts = [matches(self.relation(goal.key), goal).distinct().withColumn("depth", F.lit(0))] if goal.key in self.relations else []
         parts += [matches(df, goal).withColumn("depth", F.lit(n)) for df, n in run.depths.get(goal.key, [])]
         if not parts:

@@ -90,6 +90,13 @@ def matches(relation: DataFrame, a: Atom) -> DataFrame:
     return kept.select(*(F.col(c).alias(v) for v, c in first.items())) if first else kept.select(F.lit(1).alias("_found"))
 
 
+def without(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows that aren't among the known ones, column by column in order; nulls are equal."""
+    other = known.select(*(F.col(c).alias(f"_known{i}") for i, c in enumerate(known.columns)))
+    same = (F.col(c).eqNullSafe(F.col(f"_known{i}")) for i, c in enumerate(rows.columns))
+    return rows.join(other, reduce(Column.__and__, same), "left_anti")
+
+
 Lookup = Callable[[Atom, int], DataFrame]
 
 

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import vectors as V
 from lodestar.functions.scores import joint_score, probe_score
-from lodestar.operators import beliefs, consistency, vectors
+from lodestar.operators import beliefs, consistency, traces, vectors
 from lodestar.plans.base import Base
 from lodestar.plans.rules import ANY, Var, absent, atom, bindings, denied, rule
 from lodestar.sources import facts, tables
+from lodestar.streaming.ingest import LiveBase
 
 A, B, C, D, N, O, P, Q, R, S, X, Y, Z = (Var(v) for v in "ABCDNOPQRSXYZ")
 CATALOGUE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -33,38 +34,47 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: predicate: table, columns, condition; columns may be expressions, and ``~`` marks negative facts.
+STAR = {
+    "nation_in": ("nation", "n_nationkey, n_regionkey", None),
+    "region": ("region", "r_regionkey", None),
+    "supp_in": ("supplier", "s_suppkey, s_nationkey", None),
+    "cust_in": ("customer", "c_custkey, c_nationkey", None),
+    "cust": ("customer", "c_custkey", None),
+    "placed": ("orders", "o_custkey, o_orderkey", None),
+    "ord": ("orders", "o_orderkey", None),
+    "urgent": ("orders", "o_custkey", "o_orderpriority = '1-URGENT'"),
+    "has_part": ("lineitem", "l_orderkey, l_partkey", None),
+    "returned": ("lineitem", "l_orderkey", "l_returnflag = 'R'"),
+    "sale": ("lineitem", "l_orderkey, l_partkey, l_suppkey", None),
+    "brand": ("part", "p_partkey, p_brand", None),
+    "etype": ("events", "event_type", None),
+    "did": ("events", "user_id, event_type", None),
+    "manages": ("supplier", "s_suppkey div 3, s_suppkey", "s_suppkey > 0"),
+    "above": ("customer", "c_custkey div 3, c_custkey", "c_custkey > 0"),
+    "adj": ("nation", "n_nationkey, (7 * n_nationkey + 3) % 25", None),
+    "doc": ("documents", "doc_id", None),
+    "labelled": ("labels", "doc_id, quality", None),
+    "good": ("labels", "doc_id", "quality = 1"),
+    "bad": ("labels", "doc_id", "toxic = 1"),
+    "~good": ("labels", "doc_id", "toxic = 1"),
+}
+
+
 def star(spark: SparkSession, sf_dir: str) -> Base:
-    """The tables as predicates; all lazy, so a query reads only the columns it names."""
-
-    def t(name: str) -> DataFrame:
-        return read(spark, sf_dir, name)
-
-    supplier, customer, labels = t("supplier"), t("customer"), t("labels")
-    return (
-        Base(spark)
-        .register("nation_in", t("nation"), ["n_nationkey", "n_regionkey"])
-        .register("region", t("region"), ["r_regionkey"])
-        .register("supp_in", supplier, ["s_suppkey", "s_nationkey"])
-        .register("cust_in", customer, ["c_custkey", "c_nationkey"])
-        .register("cust", customer, ["c_custkey"])
-        .register("placed", t("orders"), ["o_custkey", "o_orderkey"])
-        .register("ord", t("orders"), ["o_orderkey"])
-        .register("urgent", t("orders").where("o_orderpriority = '1-URGENT'"), ["o_custkey"])
-        .register("has_part", t("lineitem"), ["l_orderkey", "l_partkey"])
-        .register("returned", t("lineitem").where("l_returnflag = 'R'"), ["l_orderkey"])
-        .register("sale", t("lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"])
-        .register("brand", t("part"), ["p_partkey", "p_brand"])
-        .register("etype", t("events").select("event_type").distinct())
-        .register("did", t("events"), ["user_id", "event_type"])
-        .register("manages", supplier.where("s_suppkey > 0").selectExpr("s_suppkey div 3 AS boss", "s_suppkey"))
-        .register("above", customer.where("c_custkey > 0").selectExpr("c_custkey div 3 AS up", "c_custkey"))
-        .register("adj", t("nation").selectExpr("n_nationkey AS a", "(7 * n_nationkey + 3) % 25 AS b"))
-        .register("doc", t("documents"), ["doc_id"])
-        .register("labelled", labels, ["doc_id", "quality"])
-        .register("good", labels.where("quality = 1"), ["doc_id"])
-        .register("bad", labels.where("toxic = 1"), ["doc_id"])
-        .register("good", labels.where("toxic = 1"), ["doc_id"], negated=True)
-    )
+    """The tables as predicates; a table is opened only if a query names a predicate of it."""
+    base = Base(spark)
+    for name, (table, columns, condition) in STAR.items():
+        parts = columns.split(", ")
+
+        def rows(table: str = table, parts: list[str] = parts, condition: str | None = condition) -> DataFrame:
+            df = read(spark, sf_dir, table)
+            df = df.where(condition) if condition else df
+            found = df.selectExpr(*(f"{c} AS c{i}" for i, c in enumerate(parts)))
+            return found.distinct() if table == "events" and len(parts) == 1 else found
+
+        base.declare(name.lstrip("~"), [f"c{i}" for i in range(len(parts))], rows, negated=name[0] == "~")
+    return base
 
 
 def longs(df: DataFrame, **names: str) -> DataFrame:
@@ -234,6 +244,23 @@ def r_beam(spark, sf_dir):
     return longs(bindings(ordered, lambda a, _: base.relation(a.key), beam=50).select("S", "R").distinct(), s="S", r="R")
 
 
+@query("""
+SELECT DISTINCT s_suppkey AS s, l_orderkey AS o, l_partkey AS p FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_nationkey = 3""")
+def r_new_variables(spark, sf_dir):
+    rules = [rule(atom("sold", S, O, P), atom("supp_in", S, 3), atom("sale", O, P, S))]
+    return head(spark, sf_dir, rules, atom("sold", S, O, P), s="S", o="O", p="P")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT CAST(NULLIF(n_nationkey % 7, 0) AS BIGINT) AS a, CAST(NULLIF(n_regionkey, 2) AS BIGINT) AS b FROM nation)
+SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e""")
+def rec_nulls(spark, sf_dir):
+    """A symmetric relation over rows with nulls ends: a null is known where it was before."""
+    rows = read(spark, sf_dir, "nation").selectExpr("nullif(n_nationkey % 7, 0) AS a", "nullif(n_regionkey, 2) AS b")
+    run = Base(spark).register("e", rows).derive([rule(atom("e", Y, X), atom("e", X, Y))])
+    return longs(run.base.query(atom("e", X, Y)), x="X", y="Y")
+
+
 @query(f"""
 WITH {MANAGES} SELECT a AS x, b AS y FROM m WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = m.b AND s_nationkey = 3)
 AND NOT EXISTS (SELECT 1 FROM m n WHERE n.a = m.b)""")
@@ -356,6 +383,20 @@ def naf_multi(spark, sf_dir):
     return head(spark, sf_dir, rules, atom("kept", O), o="O")
 
 
+@query("""
+WITH e AS (SELECT o_orderkey AS o FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)),
+k AS (SELECT o_orderkey AS o FROM orders WHERE o_orderkey NOT IN (SELECT o FROM e)
+  AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R'))
+SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey NOT IN (SELECT o FROM k)""")
+def naf_three_strata(spark, sf_dir):
+    rules = [
+        rule(atom("empty", O), atom("ord", O), absent("has_part", O, P)),
+        rule(atom("kept", O), atom("ord", O), absent("empty", O), absent("returned", O)),
+        rule(atom("loose", C), atom("placed", C, O), absent("kept", O)),
+    ]
+    return head(spark, sf_dir, rules, atom("loose", C), c="C")
+
+
 @query("""
 SELECT DISTINCT doc_id AS d FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def naf_unlabelled(spark, sf_dir):
@@ -397,8 +438,7 @@ def enforce_remove_both(spark, sf_dir):
 
 def _small(spark, sf_dir) -> Base:
     whole = star(spark, sf_dir)
-    keep = {("nation_in", 2, False), ("supp_in", 2, False), ("good", 1, False), ("good", 1, True)}
-    return Base(spark, {k: v for k, v in whole.relations.items() if k in keep})
+    return Base(spark, {k: whole.relation(k) for k in (("nation_in", 2, False), ("supp_in", 2, False), ("good", 1, False), ("good", 1, True))})
 
 
 _FACTS = """
@@ -414,33 +454,56 @@ def kb_stats(spark, sf_dir):
 
 
 @query("""
-SELECT '{"predicate":"nation_in","args":["' || n_nationkey || '","' || n_regionkey || '"]}' AS value FROM nation""")
+SELECT '{"predicate":"nation_in","args":["' || n_nationkey || '","' || n_regionkey || '"]}' AS value FROM nation
+UNION ALL SELECT '{"predicate":"good","args":["' || doc_id || '"],"negated":true}' FROM labels WHERE toxic = 1""")
 def kb_export_jsonl(spark, sf_dir):
-    base = Base(spark).register("nation_in", read(spark, sf_dir, "nation"), ["n_nationkey", "n_regionkey"])
-    return facts.export_jsonl(base.facts())
+    whole = star(spark, sf_dir)
+    return facts.export_jsonl(Base(spark, {k: whole.relation(k) for k in (("nation_in", 2, False), ("good", 1, True))}).facts())
+
+
+@query("""
+SELECT 'nation_in' AS predicate, false AS negated, CAST(0 AS BIGINT) AS part, CAST(to_json(list([CAST(n_nationkey AS VARCHAR), CAST(n_regionkey AS VARCHAR)]
+  ORDER BY CAST(n_nationkey AS VARCHAR), CAST(n_regionkey AS VARCHAR))) AS VARCHAR) AS facts FROM nation""")
+def kb_export_json(spark, sf_dir):
+    base = Base(spark, {("nation_in", 2, False): star(spark, sf_dir).relation(("nation_in", 2, False))})
+    return facts.export_json(base.facts()).withColumn("part", F.col("part").cast("long"))
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS s, CAST(s_nationkey AS VARCHAR) AS n FROM supplier")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS s, s_name || ', ' || chr(34) || 'of' || chr(34) || ' ' || s_nationkey AS n FROM supplier")
 def src_csv(spark, sf_dir):
-    rows = read(spark, sf_dir, "supplier").selectExpr("concat('supp_in, ', s_suppkey, ' ,', s_nationkey) AS value")
+    name = """concat('supp_in, ', s_suppkey, ' ,"', s_name, ', ""of"" ', s_nationkey, '"') AS value"""
     parts = tables.Parts(spark, "csv")
-    rows.write.text(f"{parts.base}/facts.csv")
+    read(spark, sf_dir, "supplier").selectExpr(name).write.text(f"{parts.base}/facts.csv")
     loaded = Base(spark).load(facts.read_facts(spark, f"{parts.base}/facts.csv"))
     return loaded.query(atom("supp_in", S, N)).select(F.col("S").alias("s"), F.col("N").alias("n"))
 
 
-@query("SELECT predicate, count(*) AS facts FROM (" + _FACTS.replace("'~good'", "'good'") + ") GROUP BY predicate")
+#: Facts of each predicate and sign, and a checksum of their first arguments.
+_KEPT = f"SELECT ltrim(predicate, '~') AS predicate, predicate[1] = '~' AS negated, count(*) AS facts, CAST(sum(CAST(args[1] AS BIGINT)) AS BIGINT) AS first FROM ({_FACTS}) GROUP BY predicate"
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    first = F.sum(F.col("args")[0].cast("long")).alias("first")
+    return rows.groupBy("predicate", "negated").agg(F.count("*").alias("facts"), first)
+
+
+@query(_KEPT)
 def src_parquet(spark, sf_dir):
     parts = tables.Parts(spark, "saved")
     facts.write_parquet(_small(spark, sf_dir).facts(), parts.base)
-    return facts.read_facts(spark, parts.base, "parquet").groupBy("predicate").agg(F.count("*").alias("facts"))
+    return _kept(facts.read_facts(spark, parts.base, "parquet"))
 
 
-@query("SELECT predicate, count(*) AS facts FROM (" + _FACTS.replace("'~good'", "'good'") + ") GROUP BY predicate")
+@query(_KEPT)
 def src_jsonl(spark, sf_dir):
     parts = tables.Parts(spark, "jsonl")
     facts.export_jsonl(_small(spark, sf_dir).facts()).write.text(f"{parts.base}/facts.jsonl")
-    return facts.read_facts(spark, f"{parts.base}/facts.jsonl").groupBy("predicate").agg(F.count("*").alias("facts"))
+    return _kept(facts.read_facts(spark, f"{parts.base}/facts.jsonl"))
+
+
+@query(f"SELECT 'E' AS space, count(DISTINCT a) AS symbols FROM (SELECT unnest(args) AS a FROM ({_FACTS})) UNION ALL SELECT 'P', 3")
+def kb_symbols(spark, sf_dir):
+    return vectors.symbols_in(_small(spark, sf_dir).facts())
 
 
 @query("""
@@ -498,6 +561,42 @@ def belief_answers(spark, sf_dir):
     return longs(found, u="user_id", e="event_id", weight="weight")
 
 
+@query("""
+SELECT round(value, 6) AS weight FROM events WHERE event_type = 'purchase' AND event_id = (
+  SELECT min(event_id) FROM events WHERE event_type = 'purchase')""")
+def belief_ground(spark, sf_dir):
+    """The weight of one literal, all of whose arguments are given."""
+    items = read(spark, sf_dir, "events").withColumnRenamed("value", "weight")
+    first = items.where("event_type = 'purchase'").agg(F.min("event_id")).first()[0]
+    found = beliefs.weighted_answers(items, {"event_type": "purchase", "event_id": first}, [], 1)
+    return longs(found, weight="weight")
+
+
+# -- traces and streams ------------------------------------------------------------------------
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT max(event_id) AS id FROM events UNION ALL SELECT id // 3 FROM t WHERE id > 0)
+SELECT CAST(t.id AS VARCHAR) AS id FROM t JOIN events ON event_id = t.id""")
+def trace_ancestors(spark, sf_dir):
+    """Events as a trace in which each is led to by the one a third of its number."""
+    events = read(spark, sf_dir, "events")
+    parents = "if(event_id > 0, array(string(event_id div 3)), array()) AS parent_ids"
+    last = events.agg(F.max("event_id")).first()[0]
+    return traces.ancestors(events.selectExpr("string(event_id) AS id", parents), str(last))
+
+
+@query(f"{TREE} SELECT a AS x, b AS z FROM t")
+def live_closure(spark, sf_dir):
+    """The suppliers' hierarchy arriving as a stream in three parts, folded into its closure."""
+    parts = tables.Parts(spark, "live")
+    star(spark, sf_dir).relation(("manages", 2, False)).repartition(3, "a2").write.parquet(f"{parts.base}/in")
+    stream = spark.readStream.schema("a1 long, a2 long").option("maxFilesPerTrigger", 1).parquet(f"{parts.base}/in")
+    live = LiveBase(Base(spark), LINEAR, {"manages": "a1 long, a2 long"}, f"{parts.base}/held")
+    live.follow(stream, "manages", f"{parts.base}/checkpoint").awaitTermination()
+    return longs(live.base.query(atom("anc", X, Z)), x="X", z="Z")
+
+
 # -- vectors ---------------------------------------------------------------------------------
 
 
@@ -569,8 +668,7 @@ WITH {_E} SELECT query, CAST(rank AS BIGINT) AS rank, name, round(s, 6) AS simil
 def vec_topk(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "vec")
-    found = vectors.cleanup(asked, rows.select(F.col("vec_id").alias("name"), "vec"), k=6).where("query != name")
-    found = found.withColumn("rank", F.col("rank") - 1)  # the first is the query itself
+    found = vectors.cleanup(asked, rows.select(F.col("vec_id").alias("name"), "vec"), k=5, others=True)
     return longs(found, query="query", rank="rank", name="name", similarity="similarity")
 
 
@@ -580,10 +678,22 @@ WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id GROUP BY a.vec_id""")
 def vec_novelty(spark, sf_dir):
     rows = _vectors(spark, sf_dir)
     asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "vec")
-    near = vectors.cleanup(asked, rows.select(F.col("vec_id").alias("name"), "vec"), k=2).where("query != name")
+    near = vectors.cleanup(asked, rows.select(F.col("vec_id").alias("name"), "vec"), k=1, others=True)
     return near.select(F.col("query").alias("vec_id"), (F.col("similarity") < 0.45).alias("novel"))
 
 
+@query(f"""
+WITH {_E} SELECT query, CAST(rank AS BIGINT) AS rank, name, round(s, 6) AS similarity FROM (
+  SELECT a.vec_id AS query, b.vec_id AS name, ({_COS} + 1) / 2 AS s,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank
+  FROM e a, e b WHERE a.vec_id % 20 = 0) WHERE rank <= 3 AND s >= 0.6""")
+def vec_bipolar(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "vec")
+    found = vectors.cleanup(asked, rows.select(F.col("vec_id").alias("name"), "vec"), 3, 0.6, bipolar=True)
+    return longs(found, query="query", rank="rank", name="name", similarity="similarity")
+
+
 @query("""
 SELECT DISTINCT CAST(n_nationkey AS VARCHAR) AS query, 'r' || n_regionkey AS name FROM nation""")
 def vec_decode_argument(spark, sf_dir):

@@ -5,19 +5,36 @@ The long form of facts is ``predicate string, args array<string>, negated boolea
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FACTS = "predicate string, args array<string>, negated boolean"
 
 
+#: A cell after its comma: quoted from its first character on, with doubled quotes in it, or plain.
+CELL = r',(?:"(?:[^"]|"")*+"[^,]*+|[^,]*+)'
+
+
+def cells_of(line: Column) -> Column:
+    """The trimmed cells of a line of CSV; a cell that begins with a quote may hold commas and doubled quotes."""
+
+    def plain(cell: Column) -> Column:
+        body = F.substring(cell, 2, 1 << 30)
+        inner = F.regexp_replace(F.regexp_extract(body, r'^"((?:[^"]|"")*+)"', 1), '""', '"')
+        rest = F.regexp_extract(body, r'^"(?:[^"]|"")*+"([^,]*+)$', 1)
+        return F.trim(F.when(body.rlike(r'^"(?:[^"]|"")*+"'), F.concat(inner, rest)).otherwise(body))
+
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(CELL), F.lit(0)), plain)
+
+
 def read_csv(spark: SparkSession, path: str, predicate: str | None = None) -> DataFrame:
     """Facts from lines of comma-parted cells, of any width; cells are trimmed, blank lines skipped.
 
-    Without ``predicate`` the first cell names it, and a line of fewer than two cells raises.
+    Cells may be quoted, commas and doubled quotes inside, but end with their line, so that files
+    can be split. Without ``predicate`` the first cell names it, and a line of fewer than two
+    cells raises.
     """
-    cells = F.transform(F.split("value", ","), lambda c: F.trim(c))
-    lines = spark.read.text(path).where(F.trim("value") != "").select(cells.alias("cells"))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(cells_of(F.col("value")).alias("cells"))
     if predicate is not None:
         return lines.select(F.lit(predicate).alias("predicate"), F.col("cells").alias("args"), F.lit(False).alias("negated"))
     few = F.raise_error(F.concat(F.lit("at least 2 columns are needed: "), F.array_join("cells", ",")))
@@ -57,15 +74,25 @@ def write_parquet(facts: DataFrame, path: str) -> None:
     facts.write.mode("overwrite").partitionBy("predicate").parquet(path)
 
 
+#: Facts in one JSON text at about most.
+EXPORTED = 10_000
+
+
 def export_json(facts: DataFrame) -> DataFrame:
-    """``predicate, facts``: one JSON text for each predicate, its facts in order of their arguments."""
-    one = F.struct(F.col("args"))
-    return facts.groupBy("predicate").agg(F.to_json(F.sort_array(F.collect_list(one))).alias("facts"))
+    """``predicate, negated, part, facts``: JSON texts of about ``EXPORTED`` facts at most, in order of their arguments.
+
+    A predicate with more facts has several parts, so none is gathered whole.
+    """
+    sizes = facts.groupBy("predicate", "negated").agg((F.count("*") / EXPORTED + 1).cast("int").alias("parts"))
+    dealt = facts.join(sizes, ["predicate", "negated"]).withColumn("part", F.pmod(F.xxhash64("args"), "parts").cast("int"))
+    one = F.to_json(F.sort_array(F.collect_list("args"))).alias("facts")
+    return dealt.groupBy("predicate", "negated", "part").agg(one)
 
 
 def export_jsonl(facts: DataFrame) -> DataFrame:
-    """``value``: a JSON line for each fact."""
-    return facts.select(F.to_json(F.struct("predicate", "args")).alias("value"))
+    """``value``: a JSON line for each fact; negative ones say so, so that ``read_jsonl`` gives the same facts."""
+    sign = F.when(F.col("negated"), F.lit(True)).alias("negated")
+    return facts.select(F.to_json(F.struct("predicate", "args", sign)).alias("value"))
 
 
 def long_form(relation: DataFrame, predicate: str, negated: bool = False) -> DataFrame:

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, or the context's own checkpoint folder.
 
-    Only where neither is set, as in tests on one machine, a new folder is made and set.
+    Where neither is set, a new folder is made and set on a single machine (master ``local``);
+    on a cluster, whose machines don't share one, that raises.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -24,19 +29,20 @@ class Parts:
     """A relation kept as Parquet parts in the shared folder; each round of a loop adds one.
 
     Reading all parts is one scan however many rounds there were, so plans stay small, and
-    no part depends on an executor.
+    no part depends on an executor. ``base`` names a folder of its own.
     """
 
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark, self.paths, self.schema, self.written = spark, [], None, 0
-        self.base = f"{shared_folder(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str, base: str | None = None) -> None:
+        self.spark, self.paths, self.schema, self.last = spark, [], None, 0
+        self.base = base or f"{shared_folder(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
 
     def add(self, df: DataFrame) -> DataFrame:
-        path = f"{self.base}/part={self.written}"
-        self.written += 1
-        df.write.parquet(path)
+        """Write a part; ``last`` is its number of rows, counted as they are written."""
+        path, seen = f"{self.base}/part-{uuid.uuid4().hex}", Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
         self.schema = self.schema or df.schema
         self.paths.append(path)
+        self.last = seen.get["n"]
         return self.spark.read.schema(self.schema).parquet(path)
 
     def forget_last(self) -> None:

@@ -5,27 +5,87 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from lodestar.plans.base import Base
-from lodestar.plans.rules import Rule
+from lodestar.plans.base import Base, Key
+from lodestar.plans.rules import Rule, without
+from lodestar.sources.tables import Parts, settle
+
+#: Parts of a relation beyond which they are written anew as one.
+MOST_PARTS = 64
 
 
 class LiveBase:
-    """A base that a stream feeds. Each micro-batch is registered and rules are applied to what is known.
+    """A base that streams feed; what follows is derived from each micro-batch's new rows alone.
 
-    Rules must be positive: what was derived stays true as facts arrive, so a batch starts from
-    the facts derived so far.
+    Rules must be positive: what was derived stays true as facts arrive. ``feeds`` names the
+    predicates that streams bring, with their schemas. Relations that change are kept as parts
+    in ``folder``, which must be shared; a base made anew over the same folder goes on where the
+    last one ended. A batch's own rows are written after all that follows from them, so a batch
+    that is delivered again after a failure is derived from again, and known rows are left out.
     """
 
-    def __init__(self, base: Base, rules: list[Rule]) -> None:
+    def __init__(self, base: Base, rules: list[Rule], feeds: dict[str, str], folder: str) -> None:
         if any(a.absent for r in rules for a in r.body):
             raise ValueError("a live base needs rules without absent atoms")
-        self.base, self.rules = base, rules
+        self.base, self.rules, self.folder = Base(base.spark, base.relations, base.trace), rules, folder
+        self.held: dict[Key, Parts] = {}
+        self.feeds: dict[str, Key] = {}
+        for predicate, schema in feeds.items():
+            rows = base.spark.createDataFrame([], schema)
+            self.feeds[predicate] = (predicate, len(rows.columns), False)
+            self._open(self.feeds[predicate], rows.toDF(*(f"a{i + 1}" for i in range(len(rows.columns)))))
+        heads = {r.head.key for r in rules}
+        if fed := heads & set(self.feeds.values()):
+            raise ValueError(f"a stream can't bring what rules derive: {', '.join(k[0] for k in fed)}")
+        recovered = [self._open(key, None) for key in heads]
+        if not any(recovered) and any(not df.isEmpty() for _, df in self.base.relations.items()):
+            self.base = self.base.derive(rules, held=self.held).base  # what follows from facts given before any stream
 
-    def fold(self, predicate: str, batch: DataFrame) -> None:
-        from lodestar.sources.tables import settle
+    def _path(self, place: str) -> tuple:
+        """A path of the cluster's file system, and that system."""
+        spark = self.base.spark
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _place(self, key: Key) -> str:
+        return f"{self.folder}/{key[0]}-{key[1]}{'-not' * key[2]}"
 
-        self.base.register(predicate, settle(batch.distinct(), "batch"))
-        self.base = self.base.derive(self.rules).base
+    def _open(self, key: Key, empty: DataFrame | None) -> bool:
+        """Take up the parts that a relation has in the folder; whether there are any."""
+        spark, (path, files) = self.base.spark, self._path(self._place(key))
+        found = [str(x.getPath()) for x in files.listStatus(path)] if files.exists(path) else []
+        done = sorted(x for x in found if files.exists(self._path(f"{x}/_SUCCESS")[0]))
+        parts = Parts(spark, "live", self._place(key))
+        if done:
+            parts.paths, parts.schema = done, spark.read.parquet(done[0]).schema
+        elif empty is not None or key in self.base.relations:
+            parts.add(self.base.relations[key].distinct() if key in self.base.relations else empty)
+        else:
+            return False
+        self.held[key] = parts
+        self.base.relations[key] = parts.all()
+        return bool(done)
+
+    def fold(self, predicate: str, batch: DataFrame) -> None:
+        """Add a batch's rows and what follows from them."""
+        key = self.feeds[predicate]
+        rows = batch.toDF(*(f"a{i + 1}" for i in range(key[1]))).distinct()
+        new = settle(without(rows, self.base.relations[key]), "batch")
+        with_new = Base(self.base.spark, self.base.relations, self.base.trace)
+        with_new.relations[key] = self.base.relations[key].union(new)
+        for r in {r.head.key for r in self.rules} - set(self.held):
+            self.held[r] = Parts(self.base.spark, "live", self._place(r))
+        after = with_new.derive(self.rules, since={key: new}, held=self.held).base
+        self.held[key].add(new)
+        for k, parts in self.held.items():
+            if len(parts.paths) > MOST_PARTS:
+                many, parts.paths = (parts.all(), parts.paths), []
+                parts.add(many[0])
+                for old in many[1]:
+                    path, files = self._path(old)
+                    files.delete(path, True)
+            if parts.paths:
+                after.relations[k] = parts.all()
+        self.base = after
 
     def follow(self, stream: DataFrame, predicate: str, checkpoint: str) -> StreamingQuery:
         """Start folding a stream's rows; the checkpoint folder must be shared."""
