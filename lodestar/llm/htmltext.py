@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-A page is parsed into text blocks, each with its root-to-leaf path of tags. Per path, text
-length and punctuation are aggregated over its blocks; the ratios are fused, smoothed along
-the page and thresholded, which selects the content blocks. The main text is the selected
-blocks, wherever they stand, but for those that are mostly links, and all blocks of what is
-an article by name and holds a selected block; marked boilerplate goes.
+A page is parsed into text blocks, each with its root-to-leaf path of tags and classes. Per
+path, and per beginning of a path, text length and punctuation are aggregated over the blocks
+below it; both ratios to the number of blocks are fused, smoothed along each path from the
+leaf to the body, and thresholded. Paths over the threshold select the content nodes: the
+article, or else the container, that one of their blocks stands in. The main text is the
+blocks of those nodes; marked boilerplate goes before, and what is mostly links goes unless
+its path is selected or it stands in a selected article.
 """
 
 from __future__ import annotations
@@ -50,32 +52,41 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s\"'>][^\s>]*)))?")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|</{tag}\Z", re.I) for tag in RAW}
 
-SMOOTH = (0.25, 0.5, 0.25)
-THRESHOLD = 0.4
-HELD = 0.6
+#: The weight of each beginning of a path against the one below it.
+SMOOTH = 0.5
+#: The share of the best path's ratio from which a path is selected.
+THRESHOLD = 0.6
 #: The share of a page's text from which an element is no boilerplate by its class or id alone.
 BULK = 0.5
 #: How an element is marked: by its tag, role or being hidden, or only by a class or id.
 SURE, NAME = 1, 2
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 @dataclass
 class Block:
-    path: str
+    """``steps`` has a tag and its classes each, ``elements`` their numbers on the page."""
+
+    steps: tuple[str, ...]
     elements: tuple[int, ...]
     kinds: tuple[str, ...]
     text: str
     linked: int
     named: tuple[int, ...] = ()
-    score: float = 0.0
     punctuation: int = field(init=False)
 
     def __post_init__(self) -> None:
         self.punctuation = len(PUNCTUATION.findall(self.text))
 
 
+def _element(tag: str, attributes: str, inside: bool) -> tuple[str, int]:
+    """An element's step in paths, and whether and how it is marked as boilerplate; ``inside`` an article, headers are not."""
+    classes = next((m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes) if m[1].lower() == "class"), "") if attributes else ""
+    step = ".".join((tag, *sorted(classes.split())))
+    return step, _marked(tag, attributes, inside)
+
+
 def _marked(tag: str, attributes: str, inside: bool) -> int:
-    """Whether and how an element is marked as boilerplate; ``inside`` an article, headers are not."""
     if tag in BOILERPLATE or (tag == "header" and not inside):
         return SURE
     if not attributes or tag in ("html", "body", "article", "main"):
@@ -95,7 +106,7 @@ def _marked(tag: str, attributes: str, inside: bool) -> int:
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, without those of surely marked boilerplate."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("#root", 0, 0)]  # tag, number, mark
+    stack: list[tuple[str, int, int, str]] = [("#root", 0, 0, "#root")]  # tag, number, mark, step
     parts: list[str] = []
     count = at = linked = link_from = 0
     in_link = False
@@ -105,9 +116,9 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text and stack[-1][2] != SURE:
-                tags = tuple(t for t, _, _ in stack)
-                named = tuple(n for _, n, mark in stack if mark == NAME)
-                out.append(Block("/".join(tags), tuple(n for _, n, _ in stack), tags, text, min(linked, len(text)), named))
+                tags, numbers, marks, steps = zip(*stack, strict=True)
+                named = tuple(n for n, mark in zip(numbers, marks, strict=True) if mark == NAME)
+                out.append(Block(steps, numbers, tags, text, min(linked, len(text)), named))
             parts.clear()
         linked = 0
 
@@ -132,7 +143,7 @@ def blocks(page: str) -> list[Block]:
         flush()
         in_link = False
         if m[1]:
-            names = [t for t, _, _ in stack]
+            names = [x[0] for x in stack]
             if tag in names[1:]:
                 del stack[len(names) - 1 - names[::-1].index(tag) :]
             continue
@@ -152,8 +163,9 @@ def blocks(page: str) -> list[Block]:
             stack.pop()
         if tag not in VOID and not m[3].endswith("/"):
             count += 1
-            inside = any(t in ARTICLE for t, _, _ in stack)
-            stack.append((tag, count, SURE if stack[-1][2] == SURE else _marked(tag, m[3], inside)))
+            inside = any(x[0] in ARTICLE for x in stack)
+            step, mark = _element(tag, m[3], inside)
+            stack.append((tag, count, SURE if stack[-1][2] == SURE else mark, step))
     add(page[at:])
     flush()
     return out
@@ -195,45 +207,63 @@ def unmarked(some: list[Block]) -> list[Block]:
     return left() or some
 
 
-def scored(some: list[Block]) -> list[Block]:
-    """Set each block's fused, smoothed path ratio."""
-    length: dict[str, int] = defaultdict(int)
-    marks: dict[str, int] = defaultdict(int)
-    count: dict[str, int] = defaultdict(int)
+def ratios(some: list[Block]) -> dict[tuple[str, ...], float]:
+    """Each path's fused ratio, smoothed with those of its beginnings below the body."""
+    length: dict[tuple[str, ...], int] = defaultdict(int)
+    marks: dict[tuple[str, ...], int] = defaultdict(int)
+    count: dict[tuple[str, ...], int] = defaultdict(int)
+    first: dict[tuple[str, ...], int] = {}
     for b in some:
-        length[b.path] += len(b.text) - b.linked
-        marks[b.path] += b.punctuation
-        count[b.path] += 1
-    raw = [log1p(length[b.path] / count[b.path]) * (1 + log1p(marks[b.path] / count[b.path])) for b in some]
-    for i, b in enumerate(some):
-        near = [(w, raw[j]) for w, j in zip(SMOOTH, (i - 1, i, i + 1), strict=True) if 0 <= j < len(raw)]
-        b.score = sum(w * v for w, v in near) / sum(w for w, _ in near)
-    return some
+        # Depths from that of the first step below the body on; a block right in the body has its own path alone.
+        top = 1 + max((i for i, kind in enumerate(b.kinds) if kind in ("#root", "html", "body")), default=0)
+        first[b.steps] = min(top + 1, len(b.steps))
+        for depth in range(first[b.steps], len(b.steps) + 1):
+            begun = b.steps[:depth]
+            length[begun] += len(b.text) - b.linked
+            marks[begun] += b.punctuation
+            count[begun] += 1
+    fused = {p: log1p(length[p] / n) * (1 + log1p(marks[p] / n)) for p, n in count.items()}
+    out = {}
+    for path, least in first.items():
+        total = weight = 0.0
+        for depth in range(least, len(path) + 1):
+            share = SMOOTH ** (len(path) - depth)
+            total += share * fused[path[:depth]]
+            weight += share
+        out[path] = total / weight
+    return out
+
+
+def _node(b: Block) -> int:
+    """The number of a block's innermost article, or else of its innermost container."""
+    for kinds in (ARTICLE, CONTAINERS):
+        if inner := [n for n, kind in zip(b.elements, b.kinds, strict=True) if kind in kinds]:
+            return inner[-1]
+    return 0
 
 
 def main_text(page: str | None) -> str:
-    """The main text: blocks joined by one line feed; empty for a page without text."""
-    some = scored(unmarked(blocks(page or "")))
+    """The main text: blocks joined by one line feed; empty for a page without text.
+
+    Paths that tie are selected alike. Where all that is selected is links, it is the text. A
+    heading right before a block that stays, stays.
+    """
+    some = unmarked(blocks(page or ""))
     if not some:
         return ""
-    limit = THRESHOLD * max(b.score for b in some)
-    chosen = [b for b in some if b.score >= limit]
-    held: dict[tuple[int, int, str], int] = defaultdict(int)
-    for b in chosen:
-        for depth, (number, kind) in enumerate(zip(b.elements, b.kinds, strict=True)):
-            if kind in CONTAINERS:
-                held[depth, number, kind] += len(b.text)
-    total = sum(len(b.text) for b in chosen)
-    fit = [key for key, n in held.items() if n >= HELD * total]
-    named = [key for key in fit if key[2] in ARTICLE]
-    depth, number, kind = max(named or fit)
-    whole = {number} if named else set()
-    for b in chosen:
-        whole.update([n for n, k in zip(b.elements, b.kinds, strict=True) if k in ARTICLE][-1:])
-    strong = [b.score >= limit and b.linked <= len(b.text) / 2 for b in some]
-    kept = [good or not whole.isdisjoint(b.elements) for b, good in zip(some, strong, strict=True)]
+    score = ratios(some)
+    limit = THRESHOLD * max(score.values())
+    chosen = [score[b.steps] >= limit for b in some]
+    links = [b.linked > len(b.text) / 2 for b in some]
+    nodes = {_node(b) for b, good, link in zip(some, chosen, links, strict=True) if good and not link}
+    kept = []
+    for b, good, link in zip(some, chosen, links, strict=True):
+        held = _node(b) in nodes
+        kept.append(held and (good or not link or not ARTICLE.isdisjoint(b.kinds)))
     if not any(kept):
-        kept = [len(b.elements) > depth and b.elements[depth] == number for b in some]
+        kept = chosen
+    for i in range(len(some) - 2, -1, -1):
+        kept[i] = kept[i] or (kept[i + 1] and some[i].kinds[-1] in HEADINGS)
     return "\n".join(b.text for b, stays in zip(some, kept, strict=True) if stays)
 
 
