@@ -3,12 +3,14 @@
 Phrases are windows of consecutive benchmark words. A shard is some whole documents of one
 partition, about ``SHARD_WORDS`` words; runs of words that no phrase has become one
 separator before it is indexed. All phrases are searched backward in the shard's index,
-their occurrences located, mapped to documents and merged to spans.
+their occurrences located, mapped to documents and merged to spans. A large benchmark is
+taken in blocks of bounded size: documents pass through one map, whose shards take up one
+block's phrases after another.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -17,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
+from .shared import settle
 
 WINDOW = 13
 SHARD_WORDS = 500_000
-#: Benchmarks are taken in blocks of about so many bytes; documents pass through one map a block.
+#: Benchmarks are taken in blocks of about so many bytes, each broadcast on its own.
 BLOCK_BYTES = 4 << 20
 
 _SAME = "0123456789abcdefghijklmnopqrstuvwxyz"
@@ -54,33 +57,32 @@ class Phrases:
 
 
 class Shard:
-    """Documents gathered until they are indexed together."""
+    """Documents gathered until they are searched together."""
 
-    def __init__(self, phrases: Phrases) -> None:
-        self.phrases = phrases
-        self.rows: list[tuple] = []
-        self.lines: list[np.ndarray] = []
+    def __init__(self) -> None:
+        self.rows: list = []
+        self.lines: list[list[bytes]] = []
         self.size = 0
 
-    def add(self, row: tuple, text: bytes | None) -> None:
-        words = words_of(text)
-        self.lines.append(np.array(list(map(self.phrases.ids.get, words, repeat(0))), np.int32))
+    def add(self, row: object, text: bytes | None) -> None:
+        self.lines.append(words_of(text))
         self.rows.append(row)
-        self.size += len(words) + 1
+        self.size += len(self.lines[-1]) + 1
 
-    def matches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def matches(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document's row, first word, phrase) of every occurrence."""
         none = np.zeros(0, np.int64)
-        if not len(self.phrases.lengths) or not self.rows:
+        if not len(phrases.lengths) or not self.rows:
             return none, none, none
         # Each document ends with a separator, so that place - row counts words of the shard.
-        text = np.concatenate([part for line in self.lines for part in (line, np.zeros(1, np.int32))])
+        coded = (np.array(list(map(phrases.ids.get, line, repeat(0))), np.int32) for line in self.lines)
+        text = np.concatenate([part for line in coded for part in (line, np.zeros(1, np.int32))])
         kept = text != 0
         kept[1:] |= text[:-1] != 0
         kept[-1] = True
         where = np.flatnonzero(kept)
-        index = FMIndex(text[where], len(self.phrases.ids) + 1)
-        low, high = index.search(self.phrases.table, self.phrases.lengths)
+        index = FMIndex(text[where], len(phrases.ids) + 1)
+        low, high = index.search(phrases.table, phrases.lengths)
         phrase = np.repeat(np.arange(len(low)), high - low)
         ahead = np.arange(len(phrase)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
         at = where[index.locate(low[phrase] + ahead)]
@@ -88,29 +90,25 @@ class Shard:
         row = np.searchsorted(begin, at, "right") - 1
         return row, at - begin[row], phrase
 
-    def results(self) -> list[tuple]:
-        """(row, words, spans, items) of every document, in order."""
-        row, first, phrase = self.matches()
+    def results(self, blocks: Iterator[Phrases]) -> list[tuple]:
+        """(row, words, spans, items) of every document, in order, over all blocks of phrases."""
         spans: dict[int, list] = {}
         items: dict[int, set[str]] = {}
-        by = np.lexsort((first, row))
-        for r, a, p in zip(row[by].tolist(), first[by].tolist(), phrase[by].tolist(), strict=True):
-            held, b = spans.setdefault(r, []), a + int(self.phrases.lengths[p])
-            if held and a <= held[-1][1]:
-                held[-1][1] = max(held[-1][1], b)
-            else:
-                held.append([a, b])
-            items.setdefault(r, set()).update(self.phrases.items[p])
-        return [
-            (self.rows[r], len(line), spans.get(r, []), sorted(items.get(r, ())))
-            for r, line in enumerate(self.lines)
-        ]
-
-
-def merged(one: list, other: list) -> list:
-    """The union of two lists of spans."""
+        for phrases in blocks:
+            row, first, phrase = self.matches(phrases)
+            for r, a, p in zip(row.tolist(), first.tolist(), phrase.tolist(), strict=True):
+                spans.setdefault(r, []).append([a, a + int(phrases.lengths[p])])
+                items.setdefault(r, set()).update(phrases.items[p])
+            # One block's occurrences are merged before the next one's come.
+            for r in set(row.tolist()):
+                spans[r] = merged(spans[r])
+        return [(self.rows[r], len(line), spans.get(r, []), sorted(items.get(r, ()))) for r, line in enumerate(self.lines)]
+
+
+def merged(spans: list) -> list:
+    """The union of spans, in order."""
     out: list = []
-    for a, b in sorted([*one, *other]):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -118,38 +116,53 @@ def merged(one: list, other: list) -> list:
     return out
 
 
-def _search(docs: DataFrame, phrases: Phrases, id_col: str, last: bool) -> DataFrame:
-    """Add one block's spans and items to those that ``docs`` already has; texts end with the last block."""
+def _search(docs: DataFrame, phrases: Callable[[], Iterator[Phrases]], id_col: str) -> DataFrame:
+    """``<id_col>, spans, items, n_words`` of rows ``<id_col>, text``."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, kind = Shard(phrases), None
+        shard, kind = Shard(), None
 
         def done() -> pa.RecordBatch:
-            found = []
-            for (doc, text, spans, items), n, new, names in shard.results():
-                old = [[s["start"], s["end"]] for s in spans]
-                found.append((doc, None if last else text, merged(old, new) if old else new, sorted({*items, *names}), n))
-            columns = list(zip(*found, strict=True))
-            kinds = [kind, pa.binary(), SPANS, pa.list_(pa.string()), pa.int64()]
-            spans = [[{"start": a, "end": b} for a, b in x] for x in columns[2]]
-            values = [columns[0], columns[1], spans, columns[3], columns[4]]
-            arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(arrays, [id_col, "text", "spans", "items", "n_words"])
+            docs, n, spans, items = zip(*shard.results(phrases()), strict=True)
+            spans = [[{"start": a, "end": b} for a, b in x] for x in spans]
+            kinds = [kind, SPANS, pa.list_(pa.string()), pa.int64()]
+            arrays = [pa.array(v, k) for v, k in zip((docs, spans, items, n), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, [id_col, "spans", "items", "n_words"])
 
         for batch in batches:
             kind = batch.column(0).type
-            for doc, text, spans, items in zip(*(batch.column(i) for i in range(4)), strict=True):
-                shard.add((doc.as_py(), text.as_py(), spans.as_py(), items.as_py()), text.as_py())
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                shard.add(doc.as_py(), text.as_py())
                 if shard.size >= SHARD_WORDS:
                     yield done()
-                    shard = Shard(phrases)
+                    shard = Shard()
         if shard.rows:
             yield done()
 
     kind_of = docs.schema[id_col].dataType.simpleString()
-    kinds = f"`{id_col}` {kind_of}, text binary, spans array<struct<start:long,end:long>>, items array<string>, n_words long"
-    own = docs.select(id_col, "text", "spans", "items")
-    return own.mapInArrow(searched, kinds)
+    return docs.mapInArrow(searched, f"`{id_col}` {kind_of}, spans array<struct<start:long,end:long>>, items array<string>, n_words long")
+
+
+def _blocks(items: DataFrame, window: int) -> Callable[[], Iterator[Phrases]]:
+    """The phrases of benchmark rows ``item, words``, block by block.
+
+    A block's rows are read together with the block's number alone, so the driver holds one
+    block, and a task takes up one block's phrases at a time.
+    """
+    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    held = []
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).collect()
+        held.append(items.sparkSession.sparkContext.broadcast(Phrases([(r[0], r[1]) for r in part], window)))
+
+    def taken() -> Iterator[Phrases]:
+        for one in held:
+            yield one.value
+            if len(held) > 1:
+                vars(one).pop("_value", None)  # read anew from the executor's copy when next asked for
+
+    return taken
 
 
 def contamination(
@@ -168,23 +181,14 @@ def contamination(
     no window; a null item id hits words but is not listed. Repeated rows stay. Empty tables
     give no rows, or no hits.
 
-    The benchmark passes through the driver and the closures in blocks of ``BLOCK_BYTES``
-    (or one longer item); documents pass through a further map for each further block.
+    Benchmark rows that repeat count once. The benchmark is broadcast in blocks of
+    ``BLOCK_BYTES`` (or one longer item). Other columns of ``docs`` are left out.
     """
     items = benchmark.select(
         F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("string").cast("binary").alias("words")
     )
-    size = items.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    found = docs.select(
-        F.col(id_col).alias(id_col),
-        F.col(text_col).cast("string").cast("binary").alias("text"),
-        F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"),
-        F.expr("cast(array() as array<string>)").alias("items"),
-    )
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == block).collect()
-        found = _search(found, Phrases([(r[0], r[1]) for r in part], window), id_col, block == blocks - 1)
+    own = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").cast("binary").alias("text"))
+    found = _search(own, _blocks(settle(items.distinct(), "benchmark"), window), id_col)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(id_col, "n_words", hit.alias("n_hit"), "spans", "items")
 
