@@ -2,18 +2,20 @@
 
 Records hash into a fixed number of slots. Bytes and rows are summed per slot, and a map of
 slots to shards, heaviest slot first to the lightest shard, keeps the shards' bytes near
-equal. The map is a small table with a version; rebalancing writes a new version in which
-only some slots have moved, so records never hash anew.
+equal. The map is a small table that is stored with a version; rebalancing stores the next
+version, in which only some slots have moved, so records never hash anew. Records can be
+placed by any stored version.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import settle, shared_folder
 
 SLOTS = 8192
 MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long, rows long, row_offset long"
@@ -92,6 +94,37 @@ def map_table(
     return spark.createDataFrame(out, MAP_SCHEMA)
 
 
+def store_map(slot_map: DataFrame, folder: str) -> DataFrame:
+    """Store a map of one version under ``folder``, which must be shared; a version that is there already raises."""
+    version = slot_map.first().version
+    slot_map.drop("version").coalesce(1).write.parquet(f"{folder}/version={version}")
+    return load_map(slot_map.sparkSession, folder, version)
+
+
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A stored version of the map, by default the last."""
+    stored = spark.read.schema(MAP_SCHEMA).parquet(folder)
+    version = stored.agg(F.max("version")).first()[0] if version is None else version
+    found = stored.where(F.col("version") == version).select(*(x.split()[0] for x in MAP_SCHEMA.split(", ")))
+    if found.isEmpty():
+        raise ValueError(f"no version {version} of the map in {folder}")
+    return found
+
+
+def edit_map(recs: DataFrame, folder: str, shards: int) -> DataFrame:
+    """Store the next version of the map for what ``recs`` hold now, rebalanced for ``shards`` shards.
+
+    The map's row a slot at most passes through the driver.
+    """
+    last = load_map(recs.sparkSession, folder)
+    placed = {r.virtual_slot: r.shard for r in last.collect()}
+    loads = slot_loads(recs)
+    if not loads:
+        return last
+    version = last.first().version + 1
+    return store_map(map_table(recs.sparkSession, loads, rebalance(loads, placed, shards), version), folder)
+
+
 def place(recs: DataFrame, slot_map: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Add ``shard`` and ``slot``, the record's place within its shard, gapless from 0.
 
@@ -107,16 +140,27 @@ def place(recs: DataFrame, slot_map: DataFrame, id_col: str = "doc_id") -> DataF
     )
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text"):
-    """Every row's shard under a first version of the map, by the law ``bytes``.
+def shard(
+    docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None
+):
+    """Every row's shard by the law ``bytes``, under the last map stored in ``folder`` edited for these rows, or a first one.
 
     Returns ``<id_col>, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, version``.
-    Repeated rows each get a place; null ids and texts are placed like any other; an empty
-    table gives an empty result.
+    Repeated rows each get a place; null ids and texts are placed like any other, very long
+    texts too; columns other than id and text are left out; an empty table gives an empty
+    result and stores no map. Without ``folder`` the map lies in a new one of the shared folder.
     """
+    spark = docs.sparkSession
     recs = settle(records(docs, slots, id_col, text_col), "records")
     loads = slot_loads(recs)
-    slot_map = settle(map_table(docs.sparkSession, loads, assign(loads, shards), 1), "slot-map")
+    known = folder is not None
+    folder = folder or f"{shared_folder(spark)}/lodestar-slot-maps-{uuid.uuid4().hex}"
+    if not loads:
+        slot_map = spark.createDataFrame([], MAP_SCHEMA)
+    elif known and _stored(spark, folder):
+        slot_map = edit_map(recs, folder, shards)
+    else:
+        slot_map = store_map(map_table(spark, loads, assign(loads, shards), 1), folder)
     return place(recs, slot_map, id_col).select(
         id_col,
         "size",
@@ -128,3 +172,8 @@ def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "
         "virtual_slot",
         "version",
     )
+
+
+def _stored(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

@@ -3,6 +3,8 @@
 import zlib
 from collections import Counter
 
+import pytest
+
 from lodestar.llm import sharding
 
 
@@ -49,3 +51,29 @@ def test_map_versions_round_trip(spark):
     loads = [(0, 5, 1), (3, 9, 2), (4, 1, 4)]
     first = sharding.map_table(spark, loads, {0: 0, 3: 1, 4: 0}, 1)
     assert {(r.virtual_slot, r.shard, r.row_offset) for r in first.collect()} == {(0, 0, 0), (3, 1, 0), (4, 0, 1)}
+
+
+def test_stored_maps_are_edited_and_records_placed_by_any_version(spark, tmp_path):
+    folder = f"{tmp_path}/maps"
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', int(id % 90)) AS text", "'x' AS version")
+    first = {r.doc_id: r for r in sharding.shard(docs, 10, 512, folder=folder).collect()}
+    assert {r.version for r in first.values()} == {1}
+    recs = sharding.records(docs, 512)
+    grown = sharding.edit_map(recs, folder, 11)
+    moved = {r.doc_id: r["shard"] for r in sharding.place(recs, grown).collect()}
+    changed = [i for i, shard in moved.items() if shard != first[i]["shard"]]
+    assert grown.first().version == 2 and all(moved[i] == 10 for i in changed) and len(changed) < 4000 / 11 * 1.5
+    again = {r.doc_id: (r["shard"], r.slot) for r in sharding.place(recs, sharding.load_map(spark, folder, 1)).collect()}
+    assert again == {i: (r["shard"], r.slot) for i, r in first.items()}
+    more = docs.union(docs.selectExpr("doc_id + 4000", "text", "version"))
+    third = sharding.shard(more, 11, 512, folder=folder).collect()
+    assert {r.version for r in third} == {3} and sum(r["shard"] == moved[r.doc_id] for r in third if r.doc_id < 4000) > 3200
+    for k in range(11):
+        assert sorted(r.slot for r in third if r["shard"] == k) == list(range(sum(r["shard"] == k for r in third)))
+    with pytest.raises(ValueError, match="no version 9"):
+        sharding.load_map(spark, folder, 9)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "ab é " * 600_000), (2, "a")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.size) for r in sharding.shard(docs).collect()) == [(1, 3_600_008), (2, 9)]
