@@ -2,11 +2,13 @@
 
 The kernel compares words by the three-letter subsequences they share, gaps included: each
 weighs ``DECAY`` to the power of the stretch it spans, up to ``SPAN`` letters, so a word with
-an inserted or changed letter stays close to the word itself. Landmarks are words told apart
-by how often they stand in toxic and in other sentences; the machine is trained on Nyström
-features of the words that give sentences away. As the machine is linear in the kernel, all
-landmarks fold into one weight per subsequence. A sentence, and so a text, is as toxic as its
-worst word; a logistic curve turns that into a score.
+an inserted or changed letter stays close to the word itself. The machine is trained on
+labelled sentences by multiple-instance learning: a sentence is a bag of words and as toxic
+as its worst word, its witness. The first positive instances are all words that toxic
+sentences have more of than chance allows; then, turn by turn, the witnesses of labelled
+texts join as positive or negative instances. Nyström features come from landmarks among the
+instances; as the machine is linear in the kernel, all landmarks fold into one weight per
+subsequence. A logistic curve turns a text's worst margin into a score.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ SPAN = 6
 #: Labelled rows that the machine is fitted on: about so many of each label, by hash of the id.
 TOXIC_ROWS = 4000
 OTHER_ROWS = 8000
-LANDMARKS = 256
+#: Landmarks besides the telling words.
+LANDMARKS = 192
+#: Common words, and words hardest to tell from toxic ones, that each turn is fitted to at most.
 INSTANCES = 8000
-#: Nats by which a telling word's counts must be likelier under its own rate than under the common one.
-MIN_GAIN = 15.0
+#: How many of all counted words may be taken for telling by chance.
+FALSE_WORDS = 0.01
 ROUNDS = 3
 COST = 10.0
 CACHED_WORDS = 400_000
@@ -58,7 +62,8 @@ def words(text: str) -> Iterator[set[str]]:
     at = 0
     while at < len(low):
         end = at + BLOCK
-        while end < len(low) and not low[end - 1].isspace():
+        # A block ends at white space after a word of several letters, so letters set apart stay together.
+        while end < len(low) and not (low[end - 1].isspace() and not low[end - 2].isspace() and not low[end - 3].isspace()):
             end += 1
         part = low[at:end]
         at = end
@@ -170,6 +175,14 @@ class Scorer:
             worst = max(worst, max(map(self.cache.__getitem__, some), default=worst))
         return worst
 
+    def witness(self, text: str | None) -> tuple[str | None, float]:
+        """A text's worst word and its margin; of words that tie, the first in order."""
+        best: tuple[float, str] | None = None
+        for some in words(text or ""):
+            self.prepare(some)
+            best = min([(-self.cache[w], w) for w in some] + ([best] if best else []), default=None)
+        return (None, self.model.bias) if best is None else (best[1], -best[0])
+
     def margins(self, texts: pd.Series) -> np.ndarray:
         """Margins of many texts; words new to the cache are compared together, some texts at a time."""
         out: list[float] = []
@@ -296,7 +309,7 @@ def _gain(toxic: float, other: float, rate: float) -> float:
 
 def _telling(sample: DataFrame, counts: DataFrame) -> tuple[list[str], list[str]]:
     """Words that toxic sentences have far more of than chance allows, most telling first; common words."""
-    total = counts.agg(F.sum("toxic"), F.sum("other")).first()
+    total = counts.agg(F.sum("toxic"), F.sum("other"), F.count("*")).first()
     toxic, other = float(total[0] or 0), float(total[1] or 0)
     if not toxic or not other:
         return [], []
@@ -306,23 +319,49 @@ def _telling(sample: DataFrame, counts: DataFrame) -> tuple[list[str], list[str]
     gain = F.col("toxic") * F.log(F.greatest("toxic", F.lit(1)) / (both * rate)) + F.col("other") * F.log(
         F.greatest("other", F.lit(1)) / (both * (1 - rate))
     )
-    fit = counts.where(F.length("word").between(3, 40)).withColumn("gain", gain).withColumn("odds", odds)
-    likely = fit.where((F.col("gain") > MIN_GAIN) & (F.col("odds") > float(np.log(8))))
-    likely = likely.orderBy(F.desc("gain"), "word").limit(LANDMARKS * 8).collect()
+    fit = counts.withColumn("gain", gain).withColumn("odds", odds)
+    # A word without a rate of its own gains x nats with a chance of about exp(-x).
+    least = float(np.log(total[2] / FALSE_WORDS))
+    likely = fit.where((F.col("gain") > least) & (F.col("odds") > float(np.log(8)))).collect()
     seen = _contexts(sample, [r.word for r in likely]) if likely else {}
     gains = {r.word: _gain(min(seen.get(r.word, 0), r.toxic), r.other, rate) for r in likely}
-    telling = sorted((w for w, g in gains.items() if g > MIN_GAIN), key=lambda w: (-gains[w], w))
     common = fit.where(F.col("odds") < float(np.log(2))).orderBy(F.desc("other"), "word").limit(INSTANCES)
-    return telling[: LANDMARKS * 3 // 4], [r.word for r in common.collect()]
+    telling = sorted((w for w, g in gains.items() if g > least), key=lambda w: (-gains[w], w))
+    return telling, [r.word for r in common.collect()]
+
+
+def _witnesses(sample: DataFrame, model: Model) -> tuple[list[str], list[str]]:
+    """Witnesses of labelled texts: of toxic ones alone that are taken for toxic; of others that come near it."""
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for b in batches:
+            found = [(*scorer.witness(text), toxic) for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            columns = zip(*found, strict=True) if found else ((), (), ())
+            kinds = (pa.string(), pa.float64(), pa.int32())
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, ["word", "margin", "toxic"])
+
+    rows = sample.select("text", "toxic").mapInArrow(judged, "word string, margin double, toxic int").where("word is not null")
+    each = rows.groupBy("word").agg(F.max("margin").alias("margin"), F.sum("toxic").alias("n"), F.count("*").alias("of"))
+    each = each.where(F.col("margin") > -1.0).collect()
+    worst = lambda word: max(forms(word), key=len, default=None)
+    toxic = {worst(r.word) for r in each if r.margin > 0 and r.n == r.of}
+    other = {worst(r.word) for r in each if r.n == 0}
+    return sorted(w for w in toxic - other if w), sorted(w for w in other if w)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on labelled rows (``labels``: the id and ``toxic`` 0 or 1); the caller leaves held-out rows out.
 
     About ``TOXIC_ROWS`` toxic and ``OTHER_ROWS`` other rows are taken by hash of the id. The
-    machine is fitted to telling words and changed forms of them against common words, and
-    again with the words of other sentences, common or rare, that it took for toxic. Without telling words every score is
-    the softened share of toxic rows.
+    machine is first fitted to telling words of toxic sentences and changed forms of them
+    against common words (at most ``INSTANCES``), then again with the witnesses of the labelled
+    texts and with words of other sentences, common or rare, that it took for toxic (the worst
+    ``INSTANCES``). Landmarks are all telling words and up to ``LANDMARKS`` others. Without
+    telling words every score is the softened share of toxic rows. An id with several labels is
+    toxic if one of them is; rows that repeat count as often; a word counts once a sentence,
+    however long the text is and wherever its blocks end.
     """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -338,25 +377,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not telling or not plain:
         share = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1)
         return Model("", np.zeros(CODES), 0.0, 0.0, float(np.log(share / (1 - share))))
-    marks = telling + plain[: LANDMARKS // 4]
-    tally = pd.Series(list("".join(marks))).value_counts()
+    marks = telling + plain[: LANDMARKS // ROUNDS]
+    tally = pd.Series(list("".join(telling + marks))).value_counts()
     letters = "".join(sorted(tally.index, key=lambda c: (-tally[c], c))[:61])
     kernel = Kernel(letters)
     changed = [v for w in telling for v in variants(w)]
-    model = None
+    model, seen = None, []
     for _ in range(ROUNDS):
         if model is not None:
+            seen, clean = _witnesses(sample, model)
+            plain = [*dict.fromkeys([*plain, *clean])]
+            known = {*telling, *changed, *plain}
+            seen = [w for w in seen if w not in known]
             hard = margins(counts.where("toxic = 0"), model, "word").where(F.col("margin") > -1.0)
             taken = hard.orderBy(F.desc("margin"), "word").limit(INSTANCES).collect()
             plain = [*dict.fromkeys([*plain, *(f for r in taken for f in forms(r.word))])]
-            marks = [*dict.fromkeys([*marks, *(r.word for r in taken[: LANDMARKS // 4])])]
+            marks = [*dict.fromkeys([*marks, *(r.word for r in taken[: LANDMARKS // ROUNDS])])]
         dense, row = kernel.dense(marks)
         value, vector = np.linalg.eigh(dense.T @ dense)
         root = vector / np.sqrt(np.maximum(value, 1e-3))
-        x = kernel.vectors([*telling, *changed, *plain], dense, row) @ root
-        sizes_of = (len(telling), len(changed), len(plain))
-        y = np.repeat([1.0, 1.0, -1.0], sizes_of)
-        w = _newton_svm(x, y, np.repeat([COST * 30, COST * 3, COST], sizes_of))
+        x = kernel.vectors([*telling, *changed, *seen, *plain], dense, row) @ root
+        sizes_of = (len(telling), len(changed), len(seen), len(plain))
+        y = np.repeat([1.0, 1.0, 1.0, -1.0], sizes_of)
+        w = _newton_svm(x, y, np.repeat([COST * 30, COST * 3, COST * 3, COST], sizes_of))
         model = Model(letters, (dense @ (root @ w[:-1]))[row], float(w[-1]))
     rows = margins(sample, model).select("margin", "toxic").toPandas()
     model.slope, model.offset = _logistic(rows.margin.to_numpy(), rows.toxic.to_numpy())

@@ -32,6 +32,33 @@ def test_kernel_equals_plain_sums():
             assert abs(got[i, j] - plain_kernel(a, b)) < 1e-5
 
 
+def test_blocks_end_nowhere_that_matters(monkeypatch):
+    text = "some words i d i o t and s t u p i d x yy z " * 9
+    whole = set().union(*tox.words(text))
+    assert {"idiot", "xyyz"} - whole == {"xyyz"} and "stupidx" in whole
+    for block in range(1, 60):
+        monkeypatch.setattr(tox, "BLOCK", block)
+        assert set().union(*tox.words(text)) == whole
+
+
+def test_more_insults_than_landmarks_are_learned(spark, monkeypatch):
+    """Every telling word is an instance; only landmarks are bounded."""
+    monkeypatch.setattr(tox, "LANDMARKS", 16)
+    rng = random.Random(7)
+    insults = ["".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(40)]
+    common = ["".join(rng.choice("hqwxyj") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(4000):
+        line = [rng.choice(common) for _ in range(12)]
+        if i % 4 == 0:
+            line.insert(rng.randrange(12), rng.choice(insults))
+        rows.append((i, " ".join(line)))
+        labels.append((i, int(i % 4 == 0)))
+    out = tox.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [r for r in out.collect() if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 4 == 0) for r in held) >= 0.98 * len(held)
+
+
 def corpus():
     rng = random.Random(11)
     parts = ["ta", "ro", "ne", "li", "so", "ka", "mu", "ven"]
