@@ -6,8 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,16 +32,14 @@ class Parts:
     """
 
     def __init__(self, spark: SparkSession, name: str, base: str | None = None) -> None:
-        self.spark, self.paths, self.schema, self.last = spark, [], None, 0
+        self.spark, self.paths, self.schema = spark, [], None
         self.base = base or f"{shared_folder(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
 
     def add(self, df: DataFrame) -> DataFrame:
-        """Write a part; ``last`` is its number of rows, counted as they are written."""
-        path, seen = f"{self.base}/part-{uuid.uuid4().hex}", Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        path = f"{self.base}/part-{uuid.uuid4().hex}"
+        df.write.parquet(path)
         self.schema = self.schema or df.schema
         self.paths.append(path)
-        self.last = seen.get["n"]
         return self.spark.read.schema(self.schema).parquet(path)
 
     def forget_last(self) -> None:
