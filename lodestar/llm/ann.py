@@ -3,15 +3,18 @@
 Codes are signs after learned rotations (iterative quantisation on a bounded sample), cut
 into 16-bit substrings, each indexed. By the pigeonhole principle a code within a Hamming
 radius of a query agrees with it in some substring within that radius's share, so probing
-every substring's buckets within the share retrieves every code within the radius. What the
-codes let through is ranked by true distances. Vectors lie in shards of bounded size, each
-with its own index; queries visit all shards in blocks, and the shards' best are merged.
+every substring's buckets within the share retrieves every code within the radius. Buckets
+are probed by enumerating the values within the share, or, where these are more than the
+buckets there are, by comparing with the buckets' values. What the codes let through is
+ranked by true distances. Vectors lie in shards of bounded size, each with its own index;
+queries visit all shards in blocks, and the shards' best are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,8 +31,11 @@ SAMPLE_QUERIES = 256
 #: The share of the sample's true neighbours that lie within the radius.
 COVERED = 0.99
 ROUNDS = 20
-SHARD_ROWS = 4096
-BLOCK_ROWS = 4096
+#: Components in a shard of vectors, and in a block of queries, at about most.
+SHARD_VALUES = 1 << 21
+BLOCK_VALUES = 1 << 21
+#: Vectors from which a shard of its own is worth while.
+LEAST_ROWS = 1024
 
 
 @dataclass
@@ -80,6 +86,13 @@ def learn(vectors: np.ndarray, k: int, bits: int = BITS, seed: int = 1) -> Codes
     return codes
 
 
+@lru_cache(maxsize=None)
+def flips(bits: int) -> np.ndarray:
+    """The values of a substring with at most so many bits set, which flip it to all values within that distance."""
+    every = np.arange(1 << SUBSTRING, dtype=np.uint32)
+    return every[np.bitwise_count(every) <= bits].astype(np.uint16)
+
+
 class Index:
     """One shard: per substring, the rows in order of its value and where each value's bucket begins."""
 
@@ -88,18 +101,30 @@ class Index:
         self.tables = []
         for column in codes.T:
             order = np.argsort(column, kind="stable")
-            values, counts = np.unique(column, return_counts=True)
-            self.tables.append((order, values, counts))
+            values, begins, counts = np.unique(column[order], return_index=True, return_counts=True)
+            self.tables.append((order, values, begins, counts))
+
+    def probed(self, j: int, value: int, bits: int) -> np.ndarray:
+        """The rows whose ``j``-th substring differs from a value in at most so many bits."""
+        order, values, begins, counts = self.tables[j]
+        if bits < 0 or not len(values):
+            return order[:0]
+        if len(near := flips(min(bits, SUBSTRING))) < len(values):
+            wanted = near ^ np.uint16(value)
+            at = np.minimum(np.searchsorted(values, wanted), len(values) - 1)
+            at = at[values[at] == wanted]
+        else:
+            at = np.flatnonzero(np.bitwise_count(values ^ np.uint16(value)) <= bits)
+        first, n = begins[at], counts[at]
+        return order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """All rows whose codes lie within the radius."""
-        m = len(self.tables)
-        share, rest = divmod(radius, m)
+        share, rest = divmod(radius, len(self.tables))
         marked = np.zeros(len(self.codes), bool)
-        for j, (order, values, counts) in enumerate(self.tables):
+        for j in range(len(self.tables)):
             # Substrings after the first rest + 1 need one bit less.
-            hit = np.bitwise_count(values ^ code[j]) <= (share if j <= rest else share - 1)
-            marked[order[np.repeat(hit, counts)]] = True
+            marked[self.probed(j, int(code[j]), share if j <= rest else share - 1)] = True
         rows = np.flatnonzero(marked)
         return rows[distances(self.codes[rows], code) <= radius]
 
@@ -130,8 +155,9 @@ def neighbours(
 
     Nearness is Euclidean distance in double precision, ties to the smaller id. Vectors that
     are null, zero, or hold null or non-finite components take no part, nor do rows without
-    an id or of a length other than the commonest. Rows that share an id count once, by the
-    least vector. A query has all candidates if there are fewer than ``k``.
+    an id or of a length other than the commonest, which have no distance to the others. Rows
+    that share an id count once, by the least vector. A query has all candidates if there are
+    fewer than ``k``. Columns other than these two are left out.
     """
     rows = usable(vectors, id_col, vector_col)
     sample = [r.vector for r in rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("vector").collect()]
@@ -141,7 +167,10 @@ def neighbours(
     codes = learn(np.array(sample), k)
     asked = F.col("id") % every == 0
     total, queries = rows.agg(F.count("*"), F.count_if(asked)).first()
-    shards, blocks = -(-total // SHARD_ROWS), max(1, -(-queries // BLOCK_ROWS))
+    # A row is copied to each block of queries, and a query to each shard; small tables are still dealt to many tasks.
+    tasks = min(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LEAST_ROWS)
+    shards = max(1, -(-total * len(sample[0]) // SHARD_VALUES), tasks)
+    blocks = max(1, -(-queries * len(sample[0]) // BLOCK_VALUES))
 
     def spread(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

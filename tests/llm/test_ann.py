@@ -19,6 +19,31 @@ def test_every_code_within_the_radius_is_retrieved():
             assert got == set(np.flatnonzero(ann.distances(codes, code) <= radius).tolist())
 
 
+def test_probing_by_enumeration_equals_probing_by_values(monkeypatch):
+    rng = np.random.default_rng(9)
+    codes = rng.integers(0, 1 << 16, (3000, 3), dtype=np.uint16)
+    index = ann.Index(codes)
+    for bits in (-1, 0, 1, 2, 3, 5, 16, 20):
+        for code in codes[:5]:
+            got = np.sort(index.probed(1, int(code[1]), bits))
+            assert (got == np.flatnonzero(np.bitwise_count(codes[:, 1] ^ code[1]).astype(int) <= bits)).all()
+    assert len(ann.flips(2)) == 137 and len(index.tables[1][1]) > 137  # few bits are enumerated
+
+
+def test_recall_on_the_table(spark):
+    """All queries whose id is divisible by 20, against brute force."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.select("vec_id", "embedding").toPandas()
+    data, ids = np.array(rows.embedding.tolist(), float), rows.vec_id.to_numpy()
+    found = ann.neighbours(table, every=20).toPandas().groupby("query_id").vec_id.apply(set).to_dict()
+    hits = []
+    for i in np.flatnonzero(ids % 20 == 0):
+        away = np.sqrt(((data - data[i]) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((ids, away)) if ids[j] != ids[i]][:10]
+        hits.append(len(found[ids[i]] & set(ids[order])) / 10)
+    assert len(hits) == len(found) and np.mean(hits) >= 0.9
+
+
 def brute(vectors, every, k):
     out = {}
     for q in vectors:
@@ -30,8 +55,8 @@ def brute(vectors, every, k):
 
 @pytest.mark.parametrize("kind", ["isotropic", "clustered"])
 def test_recall_and_scores(spark, monkeypatch, kind):
-    monkeypatch.setattr(ann, "SHARD_ROWS", 700)
-    monkeypatch.setattr(ann, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(ann, "SHARD_VALUES", 700 * 24)
+    monkeypatch.setattr(ann, "BLOCK_VALUES", 40 * 24)
     rng = np.random.default_rng(5)
     data = rng.standard_normal((3000, 24))
     if kind == "clustered":
