@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import decontamination, langid, packing, secrets, simhash
-from lodestar.llm.shared import settle, table
+from lodestar.llm.shared import settle, small, table
 
 TOKENIZER = "word_bpe_49k.json"
 REJECT_SCORE = 0.65
@@ -43,17 +43,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key, doc = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.col("doc_id")
     found = simhash.near_duplicates(docs.select(key.alias("same"), "text"), SHINGLE, "same")
     linked = found.select("same", F.col("component_id").alias("root")).distinct()
-    # Of each class the least of (doc_id, key) stays.
+    # Of each class the least of (doc_id, key) stays, once.
     rows = docs.where("doc_id is not null").select(doc.alias("id"), key.alias("key"))
-    classed = settle(rows.join(linked, rows["key"] == linked["same"]).select("id", "key", "root"), "classed")
-    best = classed.groupBy("root").agg(F.min(F.struct("id", "key")).alias("best"), F.count("*").alias("n")).where("n > 1")
-    best = settle(best, "best")
-    # Rows that go are far fewer than rows that stay, so they are what docs are joined with.
-    others = settle(classed.join(best, "root").select("id", classed["key"].alias("other"), "best").distinct(), "others")
-    staying = docs.join(others, doc.eqNullSafe(others["id"]) & (key == others["other"]), "left_anti")
-    kept = best.select("best.id", F.col("best.key").alias("other"))
+    classed = rows.join(linked, rows["key"] == linked["same"]).groupBy("root", "id", "key").agg(F.count("*").alias("n"))
+    classed = settle(classed, "classed")
+    best = classed.groupBy("root").agg(F.min(F.struct("id", "key")).alias("best"), F.sum("n").alias("of")).where("of > 1")
+    judged = settle(classed.join(best.select("root", "best"), "root").withColumn("stays", F.struct("id", "key") == F.col("best")), "judged")
+    judged = judged.where("not stays or n > 1").select("id", F.col("key").alias("other"), "stays")
+    going = judged.select("id", "other").distinct()
+    staying = docs.join(small(going), doc.eqNullSafe(F.col("id")) & (key == F.col("other")), "left_anti")
+    # Of repeated rows that stay, all left with those that go; one comes back.
+    again = small(judged.where("stays").select("id", "other").distinct())
     row = F.struct(*docs.columns)
-    chosen = docs.join(kept, doc.eqNullSafe(kept["id"]) & (key == kept["other"]), "left_semi")
+    chosen = docs.join(again, doc.eqNullSafe(F.col("id")) & (key == F.col("other")), "left_semi")
     chosen = chosen.groupBy("doc_id", key).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
     return staying.union(chosen.select("row.*"))
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import kept, settle
 
 NGRAM = 4
 SLOTS = 1 << 20
@@ -147,6 +147,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     number = {lang: i for i, lang in enumerate(languages)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("languages", lambda: None)
         for b in batches:
             held: dict[int, list] = {}
             for lang, text in zip(b.column(0), b.column(1), strict=True):
@@ -192,6 +193,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
     def guessed(texts):
         import pandas as pd
 
+        kept("languages", lambda: None)
         return pd.DataFrame([filters.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     # The name is free, as the column was dropped.

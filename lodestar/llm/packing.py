@@ -15,7 +15,6 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import kept, settle
 
 SIZE = 2048
 END_ID = 1
-CACHED_WORDS = 900_000
+CACHED_WORDS = 700_000
 #: Bytes of text whose words are looked up together; longer texts are taken in parts.
 TOGETHER = 4 << 20
 #: Words encoded in one call.
@@ -173,9 +172,8 @@ class WordIds:
         return np.concatenate([*parts, np.frombuffer(end, "<u4")])
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return kept(f"word ids {path}", lambda: WordIds(path))
 
 
 def lots(texts: pa.Array) -> Iterator[tuple[int, int]]:

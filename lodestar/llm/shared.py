@@ -2,12 +2,47 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable
+from typing import TypeVar
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestar.sources.tables import settle, shared_folder
 
-__all__ = ["settle", "shared_folder", "table"]
+__all__ = ["kept", "settle", "shared_folder", "small", "table"]
+
+T = TypeVar("T")
+_KEPT: dict[str, object] = {}
+
+#: Rows of an id and a digest that are broadcast at most.
+BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """Keys to join with: broadcast if they are few, which is counted; else Spark shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
+def kept(kind: str, make: Callable[[], T]) -> T:
+    """What tasks of one kind share within a Python worker, such as a cache.
+
+    Workers outlive a job, so what tasks of another kind left is dropped first, and its room
+    given back; every kind of task here asks, with something to keep or not.
+    """
+    if kind not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _KEPT[kind] = make()
+    return _KEPT[kind]

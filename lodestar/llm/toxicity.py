@@ -16,7 +16,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import settle
+from .shared import kept, settle
 
 DECAY = 0.6
 #: Three letters of six bits each.
@@ -201,21 +200,13 @@ class Scorer:
         return np.maximum(np.array(out), self.model.bias)
 
 
-@lru_cache(maxsize=1)
-def _scorer(key: str) -> list:
-    return []
-
-
 def margins(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Add ``margin`` to every row."""
     key = f"{hash((model.bias, model.weights.tobytes()))}"
 
     @F.pandas_udf("double")
     def measured(texts: pd.Series) -> pd.Series:
-        held = _scorer(key)
-        if not held:
-            held.append(Scorer(model))
-        return pd.Series(held[0].margins(texts))
+        return pd.Series(kept(f"toxicity {key}", lambda: Scorer(model)).margins(texts))
 
     return docs.withColumn("margin", measured(F.col(text_col).cast("string")))
 
