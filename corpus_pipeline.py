@@ -44,9 +44,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(docs.select(key.alias("same"), "text"), SHINGLE, "same")
     linked = found.select("same", F.col("component_id").alias("root")).distinct()
     # Of each class the least of (doc_id, key) stays, once.
-    rows = docs.where("doc_id is not null").select(doc.alias("id"), key.alias("key"))
-    classed = rows.join(linked, rows["key"] == linked["same"]).groupBy("root", "id", "key").agg(F.count("*").alias("n"))
-    classed = settle(classed, "classed")
+    rows = docs.where("doc_id is not null").select(doc.alias("id"), key.alias("key")).groupBy("id", "key").agg(F.count("*").alias("n"))
+    # Settled, so that very many copies of a text are a plain join, which Spark can split.
+    classed = settle(rows.join(linked, rows["key"] == linked["same"]).select("root", "id", "key", "n"), "classed")
     best = classed.groupBy("root").agg(F.min(F.struct("id", "key")).alias("best"), F.sum("n").alias("of")).where("of > 1")
     judged = settle(classed.join(best.select("root", "best"), "root").withColumn("stays", F.struct("id", "key") == F.col("best")), "judged")
     judged = judged.where("not stays or n > 1").select("id", F.col("key").alias("other"), "stays")
