@@ -51,6 +51,15 @@ class Parts:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
+def drop(df: DataFrame) -> None:
+    """Remove the scratch folders that a table written by ``Parts`` or ``settle`` lies in; it can't be read any more."""
+    spark = df.sparkSession
+    for place in sorted({file.rsplit("/", 2)[0] for file in df.inputFiles()}):
+        if "/lodestar-" in place:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder once and read it again."""
     return Parts(df.sparkSession, name).add(df)
