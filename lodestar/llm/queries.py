@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontamination, htmltext, langid, packing, secrets, sharding, simhash, toxicity, urlfilter
+from . import ann, centroids, decontamination, divergence, htmltext, langid, minhash, packing, secrets, sharding, simhash, toxicity, urlfilter
 from .shared import table
 
 
@@ -64,6 +64,18 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _HOST = "translate(regexp_extract({0}, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract({0}, '://[^/?#]*([^?#]*)', 1)"
 _KEY = "CASE WHEN contains({0}, '://') THEN '://' || " + _HOST + " || regexp_extract({0}, '://[^/?#]*([^#]*)', 1) END"
@@ -118,8 +130,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_html": op9_html,
         "op10_secrets": op10_secrets,
+        "op11_divergence": op11_divergence,
+        "op12_centroids": op12_centroids,
+        "op13_minhash": op13_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_urlfilter": urlfilter_sql(), "op7_decontamination": decontamination.ORACLE}
+    return {
+        "op6_urlfilter": urlfilter_sql(),
+        "op7_decontamination": decontamination.ORACLE,
+        "op11_divergence": divergence.ORACLE,
+        "op12_centroids": centroids.ORACLE,
+        "op13_minhash": minhash.ORACLE,
+    }
