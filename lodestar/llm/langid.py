@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, settle
+from .shared import hash63, kept, settle, share_bound
 
 NGRAM = 4
 SLOTS = 1 << 20
@@ -142,8 +142,8 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     languages = [lang for lang, _ in sizes]
     if not languages:
         return Filters([])
-    rates = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, int(min(1.0, TRAIN_ROWS / n) * 1_000_000))))
-    sample = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < rates[F.col("lang")])
+    bounds = F.create_map(*(F.lit(x) for lang, n in sizes for x in (lang, share_bound(TRAIN_ROWS, n))))
+    sample = known.where(hash63("id") < bounds[F.col("lang")])
     number = {lang: i for i, lang in enumerate(languages)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,12 +9,12 @@ from collections.abc import Callable
 from typing import TypeVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.sources.tables import settle, shared_folder
 
-__all__ = ["kept", "settle", "shared_folder", "small", "table"]
+__all__ = ["hash63", "kept", "settle", "share_bound", "shared_folder", "small", "table"]
 
 T = TypeVar("T")
 _KEPT: dict[str, object] = {}
@@ -32,6 +32,16 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+def hash63(column: str) -> Column:
+    """A hash of 63 bits, which shares however small can be taken by."""
+    return F.xxhash64(column).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def share_bound(wanted: int, of: int) -> int:
+    """The bound under which about ``wanted`` of ``of`` hashes of 63 bits lie."""
+    return min((1 << 63) - 1, (wanted << 63) // max(1, of))
+
+
 def kept(kind: str, make: Callable[[], T]) -> T:
     """What tasks of one kind share within a Python worker, such as a cache.
 
