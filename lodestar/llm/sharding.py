@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import settle, shared_folder
+from .shared import settle, shared_folder, small
 
 SLOTS = 8192
 MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long, rows long, row_offset long"
@@ -24,14 +24,34 @@ MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long, rows long, r
 def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id_col>, size, text_crc32, virtual_slot`` of every row; a null text counts as empty.
 
-    The slot hashes id and text, so neither copies of a text nor rows without an id share one.
+    The slot hashes id and text, so neither copies of a text nor rows without an id share one,
+    and, of rows that are repeated whole, the number of the repeat: so those spread as well.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(
+    rows = docs.select(
         F.col(id_col).cast("long").alias(id_col),
         (F.octet_length(text) + 8).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(id_col, text), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.xxhash64(id_col, text).alias("_row"),
+        F.spark_partition_id().alias("_task"),
+    )
+    rows = settle(rows, "rows")
+    # How many rows of one hash a task has, and where its repeats begin among all of them.
+    held = settle(rows.groupBy("_row", "_task").agg(F.count("*").alias("n")), "row-counts")
+    many = settle(held.groupBy("_row").agg(F.sum("n").alias("of")).where("of > 1").select("_row"), "repeated")
+    slot = F.pmod("_row", F.lit(slots))
+    columns = [id_col, "size", "text_crc32"]
+    if many.isEmpty():
+        return rows.select(*columns, slot.cast("int").alias("virtual_slot"))
+    few = small(many)
+    before = Window.partitionBy("_row").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    first = held.join(few, "_row", "left_semi").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_row", "_task").orderBy("size"))  # equal rows
+    again = rows.join(few, "_row", "left_semi").withColumn("nth", within - 1).join(first.drop("n"), ["_row", "_task"])
+    again = again.withColumn("nth", F.col("nth") + F.col("first"))
+    spread = F.when(F.col("nth") > 0, F.pmod(F.xxhash64("_row", "nth"), F.lit(slots))).otherwise(slot)
+    return rows.join(few, "_row", "left_anti").select(*columns, slot.cast("int").alias("virtual_slot")).union(
+        again.select(*columns, spread.cast("int").alias("virtual_slot"))
     )
 
 
@@ -146,7 +166,7 @@ def shard(
     """Every row's shard by the law ``bytes``, under the last map stored in ``folder`` edited for these rows, or a first one.
 
     Returns ``<id_col>, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, version``.
-    Repeated rows each get a place; null ids and texts are placed like any other, very long
+    Repeated rows each get a place, and spread over the shards; null ids and texts are placed like any other, very long
     texts too; columns other than id and text are left out; an empty table gives an empty
     result and stores no map. Without ``folder`` the map lies in a new one of the shared folder.
     """

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import sharding
 
@@ -27,6 +28,20 @@ def test_every_row_has_a_gapless_place_and_bytes_are_near_equal(spark):
     assert max(sizes) < 1.02 * min(sizes)
 
 
+def test_repeated_rows_spread(spark):
+    docs = spark.range(0, 20_000, 1, 16).selectExpr("7 AS doc_id", "repeat('x', 1000) AS text").union(
+        spark.range(3000).selectExpr("id AS doc_id", "repeat('y', int(id % 90)) AS text")
+    )
+    out = sharding.shard(docs)
+    held = {r["shard"]: (r.b, r.n, r.top) for r in out.groupBy("shard").agg(
+        F.sum("size").alias("b"), F.count("*").alias("n"), F.max("slot").alias("top")).collect()}
+    sizes = [b for b, _, _ in held.values()]
+    assert len(held) == 24 and max(sizes) < 1.02 * min(sizes)
+    assert all(top == n - 1 for _, n, top in held.values()) and out.select("shard", "slot").distinct().count() == 23_000
+    once = sharding.records(docs.where("doc_id != 7")).orderBy("doc_id").collect()
+    assert [r for r in sharding.records(docs).where("doc_id != 7").orderBy("doc_id").collect()] == once
+
+
 def test_empty_table(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
