@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import kept, settle
+from .shared import hash63, kept, settle, share_bound
 
 DECAY = 0.6
 #: Three letters of six bits each.
@@ -44,15 +44,26 @@ CACHED_WORDS = 400_000
 #: Characters whose words are scored at a time, and words compared at a time.
 BLOCK = 1 << 19
 TOGETHER = 4000
+#: Letters in a row that are compared as one word, how many of them stretches share, and letters compared at a time.
+LONG = 1000
+OVERLAP = 50
+LETTERS = 1 << 16
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 
 
 def forms(word: str) -> list[str]:
-    """What to compare of a blank-parted word: its letters, and each run of letters."""
+    """What to compare of a blank-parted word: its letters, and each run of letters.
+
+    Of more than ``LONG`` letters in a row, what is compared are stretches that overlap.
+    """
     runs = _LETTERS.findall(word)
-    return runs if len(runs) < 2 else ["".join(runs), *runs]
+    some = runs if len(runs) < 2 else ["".join(runs), *runs]
+    if len(word) <= LONG:
+        return some
+    step = LONG - OVERLAP
+    return [w[i : i + LONG] for w in some for i in range(0, max(1, len(w) - OVERLAP), step)]
 
 
 def words(text: str) -> Iterator[set[str]]:
@@ -72,13 +83,17 @@ def words(text: str) -> Iterator[set[str]]:
 
 @dataclass
 class Kernel:
-    """Letters are numbered: 1 marks a word's ends, 2 stands for any letter not in ``letters``."""
+    """Letters are numbered: 1 marks a word's ends; a letter not in ``letters`` has a number by a hash of its own.
+
+    So scripts of more letters than there are numbers are told apart as well, if less sharply.
+    """
 
     letters: str
     table: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        self.table = np.full(0x110000, 2, np.uint8)
+        points = np.arange(0x110000, dtype=np.uint64)
+        self.table = (2 + (points * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(62)).astype(np.uint8)
         for i, c in enumerate(self.letters[:61]):
             self.table[ord(c)] = i + 3
 
@@ -151,9 +166,16 @@ class Scorer:
     def learn(self, new: list[str]) -> None:
         parts = [forms(w) for w in new]
         flat = [p for ps in parts for p in ps]
-        word, code, weight, norm = self.kernel.subsequences(flat)
-        value = np.bincount(word, weight * self.model.weights[code], minlength=len(flat))
-        value = value / np.maximum(norm, 1e-12) + self.model.bias
+        ends = np.cumsum([len(p) for p in flat]) if flat else np.zeros(0, np.int64)
+        found, first = [], 0
+        while first < len(flat):  # so many words at a time that their letters are bounded
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + LETTERS, "right")))
+            some = flat[first:last]
+            word, code, weight, norm = self.kernel.subsequences(some)
+            total = np.bincount(word, weight * self.model.weights[code], minlength=len(some))
+            found.append(total / np.maximum(norm, 1e-12) + self.model.bias)
+            first = last
+        value = np.concatenate(found) if found else np.zeros(0)
         at = 0
         for w, ps in zip(new, parts, strict=True):
             self.cache[w] = max(value[at : at + len(ps)].tolist(), default=self.model.bias)
@@ -356,10 +378,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy(id_col).agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
-    rate = F.when(F.col("toxic") == 1, TOXIC_ROWS / max(1, sizes.get(1, 0))).otherwise(
-        OTHER_ROWS / max(1, sizes.get(0, 0))
-    )
-    chosen = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < rate * 1_000_000)
+    bounds = [share_bound(n, sizes.get(label, 0)) for label, n in ((1, TOXIC_ROWS), (0, OTHER_ROWS))]
+    chosen = known.where(hash63(id_col) < F.when(F.col("toxic") == 1, bounds[0]).otherwise(bounds[1]))
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where("text is not null")
     # The chosen rows are bounded by the two parameters, so no text is shuffled to find them.
     sample = settle(texts.join(F.broadcast(chosen), id_col).select("text", "toxic"), "toxicity-sample")

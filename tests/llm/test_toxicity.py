@@ -5,6 +5,8 @@ import zlib
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
+
 from lodestar.llm import toxicity as tox
 
 INSULTS = ["blockhead", "nitwit", "buffoon", "scoundrel", "dimwit"]
@@ -99,3 +101,25 @@ def test_tables_without_anything_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in tox.toxicity(docs, none).collect()} <= {0, 1}
     assert tox.toxicity(docs.limit(0), none).collect() == []
+
+
+def test_a_very_long_word_takes_bounded_memory():
+    import resource
+
+    model = tox.Model("abcdefghijklmnopqrstuvwxyz", np.linspace(0, 1, tox.CODES), -1.0)
+    scorer = tox.Scorer(model)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert scorer.margin("xyz" * 3_000_000 + "a") > -1.0
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # kB
+    word = "".join(chr(97 + i * i % 26) for i in range(5000))
+    parts = tox.forms(word)
+    assert all(len(p) <= tox.LONG for p in parts) and parts[0] + "".join(p[tox.OVERLAP :] for p in parts[1:]) == word
+    assert scorer.margin(word) == max(scorer.margin(p) for p in parts)
+
+
+def test_letters_beyond_the_common_ones_are_told_apart():
+    kernel = tox.Kernel("abc")
+    some = ["".join(chr(0x4E00 + 37 * i + j) for j in range(4)) for i in range(40)]
+    dense, row = kernel.dense(some)
+    near = kernel.vectors(some, dense, row)
+    assert np.allclose(np.diag(near), 1) and (near - np.eye(len(some))).max() < 0.9
