@@ -20,10 +20,16 @@ from .shared import settle
 
 NAMES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 #: Repeated groups are possessive, as Java's matcher recurses over others; so is what could be read again and again.
-BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?=[A-Za-z0-9+/=\s:,-]{16})(?:[A-Za-z0-9+/=\s:,]++|-(?!----))++-----END [A-Z ]*PRIVATE KEY-----"
+BLOCK = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?=[A-Za-z0-9+/=\s:,.()-]{16})(?:[A-Za-z0-9+/=\s:,.()]++|-(?!----))++"
+    r"-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+)
 #: A telling name, what it may go on with, and the sign after it.
-NAMED = rf"(?i:{NAMES})[A-Za-z0-9_-]{{0,200}}+[\"']?[\t ]*+\s{{0,3}}[=:]\s{{0,3}}[\t ]*+[\"']?"
-ASSIGNED = rf"{NAMED}[^\s\"'<>]+"
+NAMED = rf"(?i:{NAMES})[A-Za-z0-9_-]{{0,200}}+[\"']?[\t ]*+\s{{0,3}}[=:]\s{{0,3}}[\t ]*+"
+#: A quoted value goes to the quote that closes it on its line; without one, or without quotes, to a blank.
+ASSIGNED = rf"{NAMED}(?:\"[^\"\n\r]++(?=\")|'[^'\n\r]++(?=')|[\"']?[^\s\"'<>]+)"
+#: The password of a user in an address.
+LOGIN = r"(?<=://[^\s:@/]{1,64}:)[^\s@/\"'<>]+(?=@)"
 KEY_FORMS = "AKIA|ASIA|gh[pousr]_|glpat-|sk_live_|sk-|pk_live_|xox[abpr]-|AIza|eyJ"
 KEY_FORM = rf"(?:{KEY_FORMS})[A-Za-z0-9+/_=.-]{{12,}}"
 KEY = rf"(?<![A-Za-z0-9+_~-]){KEY_FORM}"
@@ -32,8 +38,8 @@ RUN = (
     rf"(?<![A-Za-z0-9+/_=.~-])(?=(?:[A-Za-z+_~-]++|[/=.](?!{KEY_FORM}))*+[0-9])"
     rf"(?:[A-Za-z0-9+_~-]++|[/=.](?!{KEY_FORM}))++(?<=[A-Za-z0-9+/_=.~-]{{12}})"
 )
-CANDIDATE = f"{BLOCK}|{ASSIGNED}|{KEY}|{RUN}"
-VALUE = rf"(?s)^(?:{NAMED})?(.*)$"
+CANDIDATE = f"{BLOCK}|{ASSIGNED}|{LOGIN}|{KEY}|{RUN}"
+VALUE = rf"(?s)^(?:{NAMED}[\"']?)?(.*)$"
 AROUND = 48
 MASK = "[SECRET]"
 
@@ -65,7 +71,7 @@ def possible(text: Column) -> Column:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None):
-    """A row per candidate: the id (and ``keep``), ``start`` and ``length`` in characters, ``value`` and its surroundings.
+    """A row per candidate: the id (and ``keep``), its ``number`` in the text, ``start`` and ``length`` in characters, ``value`` and its surroundings.
 
     Splitting a text at its candidates gives what lies between them, so places and
     surroundings need no second search. A null text has none.
@@ -78,16 +84,17 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.regexp_extract_all("_text", pattern, F.lit(0)).alias("_hits"),
         F.split("_text", CANDIDATE, -1).alias("_gaps"),
     )
-    # get() before the first element is null, so the first candidate starts after the first gap.
-    ends = F.expr(
-        "aggregate(sequence(0, size(_hits) - 1), cast(array() as array<long>), (a, i) -> array_append(a,"
-        " coalesce(get(a, i - 1) + length(get(_hits, i - 1)), 0L) + length(get(_gaps, i))))"
+    # Running sums of lengths by doubling: each pass adds what stands 1, 2, 4 ... places before.
+    found = found.withColumn("_ends", F.expr("transform(_hits, (h, i) -> cast(length(h) + length(get(_gaps, i)) as long))"))
+    sums = F.expr(
+        "aggregate(sequence(0, cast(ceil(log2(greatest(size(_hits), 1))) as int)), _ends, (a, k) -> zip_with(a,"
+        " slice(concat(array_repeat(0L, shiftleft(1, k)), a), 1, size(a)), (x, y) -> x + y))"
     )
-    each = found.withColumn("_starts", F.when(F.size("_hits") > 0, ends)).select(
+    each = found.where(F.size("_hits") > 0).withColumn("_ends", sums).select(
         *(keep or [id_col]),
         F.explode(
             F.expr(
-                f"transform(_starts, (s, i) -> named_struct('at', s, 'hit', get(_hits, i),"
+                f"transform(_hits, (h, i) -> named_struct('number', i, 'at', get(_ends, i) - length(h), 'hit', h,"
                 f" 'before', right(get(_gaps, i), {AROUND}), 'after', left(get(_gaps, i + 1), {AROUND})))"
             )
         ).alias("_c"),
@@ -101,6 +108,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .withColumn("before", F.concat("_c.before", name))
         .select(
             *(keep or [id_col]),
+            F.col("_c.number").alias("number"),
             (F.col("_c.at") + F.length("_c.hit") - F.length("value")).cast("long").alias("start"),
             F.length("value").cast("long").alias("length"),
             "value",
@@ -142,6 +150,8 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "f_name_before": before.rlike(f"{NAMED}$").cast("double"),
         "f_name_near": before.rlike(NAMES).cast("double"),
         "f_assigned": before.rlike("[=:]\\s*+[\"']?$").cast("double"),
+        "f_blanks": _count(value, r"\s") / size,
+        "f_login": (before.rlike("://[^\\s/@]*:$") & after.rlike("^@")).cast("double"),
         "f_quoted": (near.rlike("[\"']$") & after.rlike("^[\"']")).cast("double"),
         "f_other_name": near.rlike(f"\\b({NEGATIVE_WORDS})\\b\\W{{0,4}}$").cast("double"),
         "f_other_near": before.rlike(f"\\b({NEGATIVE_WORDS})\\b").cast("double"),
@@ -168,6 +178,9 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
     name = "element_at(array('token', 'secret', 'api_key', 'password', 'access_key', 'auth_key', 'TOKEN', 'apiKey'), 1 + n % 8)"
     sign = "element_at(array(' = \"', '=', ': ', ': \"', ' = \\'', '=\"'), 1 + int(n / 8) % 6)"
     end = "element_at(array('\" and', ' ', '\\n', '\", ', '\\' of', '\"'), 1 + int(n / 8) % 6)"
+    word2 = "element_at(array('page', 'user', 'account', 'server', 'field', 'order', 'letter', 'system'), 1 + (n * 5) % 8)"
+    letters3, letters4 = f"substr({letters}, 3, 4 + n % 3)", f"substr({letters}, 11, 5 + n % 4)"
+    quoted = f"concat({prose}, {name}, element_at(array(' = ', ': ', '='), 1 + n % 3), '\"')"
     assigned, plain = f"concat({prose}, {name}, {sign})", prose
     kinds = [
         (1, f"left({hexes}, 40)", assigned, end),
@@ -201,6 +214,11 @@ def labelled_findings(spark: SparkSession, each: int = 150) -> DataFrame:
         (1, "concat('-----BEGIN PRIVATE KEY-----\\n', array_join(transform(sequence(1, 5 + n), i -> base64(unhex(sha2(concat(n, '-', i), 256)))), '\\n'), '\\n-----END PRIVATE KEY-----')", plain, "'\\n'"),
         (0, f"concat('//', {word}, '.example.com/company/', {word}, '/backups/', n, '/', element_at(array('archive', 'nightly', 'q4', ''), 1 + n % 4))", f"concat({prose}, 'https:')", "element_at(array(' ', '/', '.'), 1 + n % 3)"),
         (0, "element_at(array('the', 'is', 'none', 'null', 'true', 'a', 'yes', 'your', 'this', 'for', '...', '-', 'on', 'no'), 1 + n % 14)", assigned, end),
+        (1, f"concat({word}, ' ', {letters4}, ' ', {word2}, ' ', {letters3}, if(n % 2 = 0, concat(' ', {word}), ''))", quoted, "element_at(array('\"', '\" and', '\", '), 1 + n % 3)"),
+        (1, f"concat({word}, element_at(array('pass', '', 'Pw', '_pw'), 1 + n % 4), n % 3, left({letters}, n % 6))", f"concat({prose}, element_at(array('postgres', 'mysql', 'https', 'amqp', 'redis'), 1 + n % 5), '://', element_at(array('admin', 'root', 'app', 'user'), 1 + n % 4), ':')", "concat('@db', n % 9, '.example')"),
+        (1, f"left({alnum}, 8 + n % 12)", f"concat({prose}, 'mongodb://', {word}, ':')", "concat('@host', n % 9, ':27017/x')"),
+        (1, f"concat('-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2.', n, '\n\n', {base}, {alnum}, '\n-----END PGP PRIVATE KEY BLOCK-----')", plain, "'\n'"),
+        (0, f"concat(element_at(array('must be at least ', 'is required for the ', 'not set in the ', 'enter the ', 'was sent to the '), 1 + n % 5), {word}, element_at(array('', ' of this ', ' and the '), 1 + n % 3), if(n % 3 = 0, '', {word2}))", quoted, "element_at(array('\"', '\" and', '\", '), 1 + n % 3)"),
         (0, f"concat('www.', {word}, '.example.org/page', n)", f"concat({prose}, 'https://')", "' '"),
     ]
     numbers = spark.range(each).select(F.col("id").cast("int").alias("n"))
@@ -261,17 +279,21 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, id_col: str
     own = docs.where(some).select(F.struct(*docs.columns).alias("row"), F.md5(F.col(text_col)).alias("digest"))
     doc, text = F.col("row").getField(id_col), F.col("row").getField(text_col)
     known = own.select(doc.alias("doc"), text.alias("text"), "digest")
-    found = judge(candidates(known, "doc", "text", ["doc", "digest"]), model).where("secret")
-    spans = found.select("doc", "digest", "start", "length").distinct().groupBy("doc", "digest")
-    spans = spans.agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("spans"))
-    spans = settle(spans.withColumnsRenamed({"doc": "s_doc", "digest": "s_digest"}), "secret-spans")
+    found = judge(candidates(known, "doc", "text", ["doc", "digest"]), model)
+    # Every candidate of a text with secrets, in order: the length of the secret, or null.
+    told = F.when(F.col("secret"), F.col("length").cast("int"))
+    spans = found.select("doc", "digest", "number", told.alias("length")).distinct().groupBy("doc", "digest")
+    spans = spans.agg(F.sort_array(F.collect_list(F.struct("number", "length"))).alias("told"), F.count("length").alias("n")).where("n > 0")
+    spans = settle(spans.select(F.col("doc").alias("s_doc"), F.col("digest").alias("s_digest"), "told"), "secret-spans")
+    # The text again from what lies between its candidates, so no place in it is looked for.
+    hits, gaps = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)), F.split("text", CANDIDATE, -1)
     parts = F.expr(
-        "concat(array_join(transform(spans, (s, i) -> concat(substring(text, int(coalesce(get(spans, i - 1).start"
-        " + get(spans, i - 1).length, 0)) + 1, int(s.start - coalesce(get(spans, i - 1).start + get(spans, i - 1).length, 0))),"
-        f" '{MASK}')), ''), substring(text, int(element_at(spans, -1).start + element_at(spans, -1).length) + 1))"
+        "concat(array_join(transform(hits, (h, i) -> concat(get(gaps, i), if(get(told, i).length is null, h,"
+        f" concat(left(h, length(h) - get(told, i).length), '{MASK}')))), ''), element_at(gaps, -1))"
     )
     joined = own.join(spans, doc.eqNullSafe(F.col("s_doc")) & (F.col("digest") == F.col("s_digest")), "left")
-    joined = joined.withColumn("text", text)
-    new = F.when(F.col("spans").isNull(), F.col("text")).otherwise(parts)
+    some_text = F.when(F.col("told").isNotNull(), text)
+    joined = joined.select("row", "told", some_text.alias("text")).withColumns({"hits": hits, "gaps": gaps})
+    new = F.when(F.col("told").isNull(), text).otherwise(parts)
     changed = joined.select(*(new.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
     return docs.where(~some).union(changed)
