@@ -50,14 +50,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     best = classed.groupBy("root").agg(F.min(F.struct("id", "key")).alias("best"), F.sum("n").alias("of")).where("of > 1")
     best = settle(best, "best")
     judged = settle(classed.join(best.select("root", "best"), "root").withColumn("stays", F.struct("id", "key") == F.col("best")), "judged")
-    judged = judged.where("not stays or n > 1").select("id", F.col("key").alias("other"), "stays")
-    going = judged.select("id", "other").distinct()
-    staying = docs.join(small(going), doc.eqNullSafe(F.col("id")) & (key == F.col("other")), "left_anti")
+    judged = judged.where("not stays or n > 1").select("id", "key", "stays")
+    # The row is one struct while it is joined, so no column of it can have the name of another.
+    held = docs.select(F.struct(*docs.columns).alias("row"), doc.alias("id"), key.alias("key"))
+    going = small(judged.select("id", "key").distinct())
+    staying = held.join(going, ["id", "key"], "left_anti").select("row.*")
     # Of repeated rows that stay, all left with those that go; one comes back.
-    again = small(judged.where("stays").select("id", "other").distinct())
-    row = F.struct(*docs.columns)
-    chosen = docs.join(again, doc.eqNullSafe(F.col("id")) & (key == F.col("other")), "left_semi")
-    chosen = chosen.groupBy("doc_id", key).agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row"))
+    again = small(judged.where("stays").select("id", "key").distinct())
+    chosen = held.join(again, ["id", "key"], "left_semi")
+    chosen = chosen.groupBy("id", "key").agg(F.min_by("row", F.coalesce("row.text", F.lit(""))).alias("row"))
     return staying.union(chosen.select("row.*"))
 
 
@@ -66,7 +67,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     keyed = docs.select(key.alias("key"), F.col("text").cast("string").alias("text"))
     found = decontamination.contamination(keyed, table(spark, sf_dir, "benchmark"), id_col="key")
     bad = settle(decontamination.verdicts(found).where("contaminated").select("key").distinct(), "contaminated")
-    return docs.join(bad, key == bad["key"], "left_anti")
+    held = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key"))
+    return held.join(bad, "key", "left_anti").select("row.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
