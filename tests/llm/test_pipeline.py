@@ -87,6 +87,7 @@ def test_empty_documents(spark, folder, tmp_path):
 
 def test_extra_columns_are_carried(spark, folder):
     path, rows, _ = folder
-    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "doc_id AS score", "lang AS component_id", "1 AS kept_id", "text AS row")
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr("*", "doc_id AS score", "lang AS component_id", "1 AS kept_id", "text AS row",
+        "1 AS id", "2 AS other", "'k' AS key", "true AS stays", "3 AS same", "4 AS root", "5 AS n")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, path).columns == docs.columns, name
