@@ -12,7 +12,7 @@ settled, and a group of near copies costs about as many comparisons as it has me
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -21,8 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.sources.tables import drop
+
 from .components import components
-from .shared import kept, settle
+from .shared import kept, settle, small
 
 SEED = 42
 #: Two sets at the similarity of the threshold share no bucket with probability (1 - 0.85 ** 4) ** 32 < 1e-10.
@@ -100,76 +102,121 @@ def buckets(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sets(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """``<id_col>, n_shingles, node, shingles, buckets`` of every row; ``node`` is a 128-bit digest of the set, null if it is empty."""
+def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
+    """``<id_col>, key, n_shingles, node, buckets`` of every row.
+
+    ``key`` is a digest of the text, ``node`` one of its set, null if that is empty.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("minhash", lambda: None)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                found = [shingles(t.as_py(), width) for t in part.column(1)]
-                keys = [buckets(sketch(h)) if len(h) else np.zeros(0, np.int64) for h in found]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(h) for h in found], pa.int64()),
-                     pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in found], pa.binary()),
-                     pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
-                    [id_col, "n_shingles", "node", "shingles", "buckets"],
-                )
-
-    own = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").cast("binary"))
-    return own.mapInArrow(hashed, f"`{id_col}` {kind}, n_shingles bigint, node binary, shingles array<bigint>, buckets array<bigint>")
-
-
-def linked(edges: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
-    """The edges (``a, b``) whose full sets are so similar; sizes rule out most before sets are read."""
+            size, nodes, keys = [], [], []
+            for text in b.column(2):
+                h = shingles(text.as_py(), width)
+                size.append(len(h))
+                nodes.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
+                keys.append(buckets(sketch(h)) if len(h) else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [id_col, "key", "n_shingles", "node", "buckets"],
+            )
+
+    own = docs.select(F.col(id_col).alias(id_col), _text_key(text_col), _text(text_col).alias("text"))
+    return own.mapInArrow(hashed, f"`{id_col}` {kind}, key binary, n_shingles bigint, node binary, buckets array<bigint>")
+
+
+def _text(text_col: str):
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+
+
+def _text_key(text_col: str):
+    return F.unhex(F.md5(_text(text_col))).alias("key")
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) -> DataFrame:
+    """``node, shingles`` of the wanted nodes (``node, key``), from a text with that key each."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("minhash", lambda: None)
+        seen: set[bytes] = set()
+        for b in batches:
+            keys, found = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    found.append(shingles(text.as_py(), width).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    few = small(wanted)
+    rows = docs.select(_text_key(text_col), _text(text_col).alias("text")).join(few.select("key"), "key", "left_semi")
+    made = settle(rows.mapInArrow(hashed, "key binary, shingles array<bigint>"), "shingles")
+    full = settle(made.join(few, "key").select("node", "shingles").dropDuplicates(["node"]), "full")
+    drop(made)
+    return full
+
+
+def linked(edges: DataFrame, distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The edges (``a, b``) whose full sets are so similar; sizes rule out most before sets are made."""
     size = distinct.select("node", "n_shingles")
     sized = edges.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
     sized = settle(sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), "sized")
-    full = distinct.select("node", "shingles")
+    nodes = sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct()
+    full = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
     rows = sized.join(full.toDF("b", "sb"), "b").join(full.toDF("a", "sa"), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return rows.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    found = settle(rows.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
+    drop(full)
+    return found
+
+
+def _rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``bucket, node, root``: members with the root of their component so far."""
+    if found is None:
+        return members.select("bucket", "node", F.col("node").alias("root"))
+    joined = members.join(found.toDF("node", "root"), "node", "left")
+    return joined.select("bucket", "node", F.coalesce("root", "node").alias("root"))
 
 
-def links(distinct: DataFrame, percent: int = SIMILAR) -> DataFrame:
+def links(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = SIMILAR) -> DataFrame:
     """``node, component`` over all links between distinct sets that share a bucket.
 
+    ``distinct`` has ``node, key, n_shingles, buckets``; ``sets`` gives the full sets of nodes.
     ``open`` holds the buckets with members not yet compared. Compared members leave it, and a
     bucket leaves it once its members lie in one component.
     """
     spread = distinct.select("node", F.explode("buckets").alias("bucket"))
-    many = spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    left = settle(settle(spread, "spread").join(many, "bucket").distinct(), "open")
+    many = settle(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    left = settle(spread.join(small(many), "bucket", "left_semi"), "open")
     held: DataFrame | None = None
     found: DataFrame | None = None
     turn = 0
     while not left.isEmpty():
         # Members with many links so far first: a text that many copies were made of is among them.
-        place = left
-        if found is not None:
-            both = held.select("a").union(held.select(F.col("b").alias("a")))
-            degree = both.groupBy("a").agg(F.count("*").alias("links")).withColumnRenamed("a", "node")
-            place = left.join(degree, "node", "left")
-        links_ = F.coalesce("links", F.lit(0)) if found is not None else F.lit(0)
-        place = place.withColumn("order", F.struct((-links_).alias("less"), F.xxhash64("node").alias("mix"), "node"))
+        place = left.withColumn("links", F.lit(0).cast("long"))
+        if held is not None:
+            ends = held.select(F.explode(F.array("a", "b")).alias("node"))
+            place = left.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left")
+        order = F.struct((-F.coalesce("links", F.lit(0))).alias("less"), F.xxhash64("node").alias("mix"), "node")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn))
-        centres = place.groupBy("bucket", slot.alias("slot")).agg(F.min("order").alias("least"))
+        centres = place.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("least"))
         centres = settle(centres.select("bucket", F.col("least.node").alias("centre")), "centres")
-        component = F.lit(None).cast("binary") if found is None else None
-        rooted = left.withColumn("root", component) if found is None else left.join(found.toDF("node", "root"), "node", "left")
-        rooted = settle(rooted.select("bucket", "node", F.coalesce("root", "node").alias("root")), "rooted")
+        rooted = settle(_rooted(left, found), "rooted")
         mine = rooted.select("bucket", F.col("node").alias("centre"), F.col("root").alias("centre_root")).join(centres, ["bucket", "centre"], "left_semi")
         met = rooted.join(mine, "bucket").where("root != centre_root")
         edges = settle(met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
-        new = settle(linked(edges, distinct, percent), "links")
+        new = linked(edges, distinct, sets, percent)
         held = new if held is None else settle(held.union(new), "held")
         found = settle(components(held, "a", "b"), "components")
+        before = [left, centres, rooted, edges]
         rest = left.join(centres.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti")
-        rest = settle(rest.join(found.toDF("node", "root"), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")), "rest")
+        rest = settle(_rooted(rest, found), "rest")
         apart = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
         left = settle(rest.join(apart, "bucket", "left_semi").select("bucket", "node"), "open")
+        for table in before:
+            drop(table)
         turn += 1
     return found if found is not None else distinct.select("node", F.col("node").alias("component")).limit(0)
 
@@ -186,11 +233,11 @@ def near_duplicates(
     with a null id takes part: it gets the smallest id of its component, and is kept only if
     no row of it has an id. An empty table gives an empty result.
     """
-    own = settle(sets(docs, width, id_col, text_col), "sets")
-    least = own.where("node is not null").groupBy("node").agg(F.min(id_col).alias("least"), F.min("n_shingles").alias("n_shingles"))
-    distinct = own.where("node is not null").select("node", "n_shingles", "shingles", "buckets").dropDuplicates(["node"])
-    distinct, least = settle(distinct, "distinct"), settle(least.drop("n_shingles"), "least")
-    found = links(distinct, percent)
+    own = settle(sketches(docs, width, id_col, text_col), "sketches")
+    sets_of = own.where("node is not null").groupBy("node")
+    distinct = settle(sets_of.agg(F.min(id_col).alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets")), "distinct")
+    found = links(distinct.drop("least"), lambda wanted: full_sets(docs, wanted, width, text_col), percent)
+    least = distinct.select("node", "least")
     rooted = least.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     rooted = settle(rooted, "rooted")
     # Settled, so that a component of very many texts is a plain join, which Spark can split.
