@@ -47,7 +47,7 @@ def first_centroids(rows: DataFrame, k: int) -> np.ndarray:
     """The vectors with the ``k`` least hashes of their ids, in that order; rows of one id in order of the vector."""
     digest = F.sha2(F.concat(F.lit("2:"), F.col("id").cast("string")), 256)
     found = rows.where("id is not null").select(digest.alias("h"), "v").orderBy("h", "v").limit(k).collect()
-    return np.array([r.v for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r.v for r in found], np.int64) if found else np.zeros((0, 0), np.int64)
 
 
 def squares(v: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -57,7 +57,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
             for (lang, source), (counts, in_docs) in held.items():
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n), pa.array([source] * n), pa.array(list(counts), pa.binary()),
+                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(counts), pa.binary()),
                      pa.array(list(counts.values()), pa.int64()), pa.array([in_docs[t] for t in counts], pa.int64())],
                     ["lang", "source", "term", "count", "docs"],
                 )
