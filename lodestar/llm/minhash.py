@@ -5,7 +5,7 @@ least hash. An empty bin borrows from a bin that a hash of its own number and of
 names, until one isn't empty, so the borrowed values are as good as drawn anew. Bands of bins
 are buckets. In a bucket every member is compared with one centre, not with every other;
 the links that hold on the full sets are joined to components, and a bucket whose members
-still lie in several components gets further centres, twice as many each round, until no two
+still lie in several components gets further centres, eight times as many each round, until no two
 members of different components are left uncompared. So all pairs that share a bucket are
 settled, and a group of near copies costs about as many comparisons as it has members.
 """
@@ -13,7 +13,6 @@ settled, and a group of near copies costs about as many comparisons as it has me
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,34 +32,43 @@ WIDTH = 4
 BINS_LOG2 = 7
 BINS = 1 << BINS_LOG2
 SIMILAR = 85
-BLOCK = 1 << 16
+ODD = np.uint64(0x9E3779B97F4A7C15)
+CACHED_WORDS = 400_000
 #: Attempts at borrowing that are drawn at a time.
 ATTEMPTS = 64
 
 
-def shingles(text: bytes | None, width: int = 3) -> np.ndarray:
-    """Sorted distinct XXH64 of a text's word shingles; of fewer words, of all as one; none without words.
+class Words(dict):
+    """XXH64 of words, those of late ones kept."""
 
-    ``bytes.lower`` changes A-Z only and ``bytes.split`` parts at 0x20 and 0x09-0x0D.
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHED_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return value
+
+
+def shingles(text: bytes | None, width: int = 3, known: Words | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; of fewer words, of all as one; none without words.
+
+    A shingle's hash is a polynomial in the XXH64 of its words, mixed. ``bytes.lower`` changes
+    A-Z only and ``bytes.split`` parts at 0x20 and 0x09-0x0D.
     """
     words = (text or b"").lower().split()
-    if not words:
+    n = len(words)
+    if not n:
         return np.zeros(0, np.uint64)
-    line, ends = b" ".join(words), np.cumsum([len(w) + 1 for w in words])
-    starts = np.concatenate(([0], ends[:-1]))
-    width = min(width, len(words))
-    n, digest = len(words) - width + 1, xxhash.xxh64_intdigest
-    del words
-    spans = zip(starts[:n].tolist(), (ends[width - 1 :] - 1).tolist(), strict=True)
-    parts = []
-    while block := [digest(line[a:b], SEED) for a, b in islice(spans, BLOCK)]:
-        parts.append(np.array(block, np.uint64))
-    return np.unique(np.concatenate(parts))
+    hashes = np.fromiter(map((Words() if known is None else known).__getitem__, words), np.uint64, n)
+    width = min(width, n)
+    total = np.full(n - width + 1, width, np.uint64)
+    for i in range(width):
+        total = total * ODD + hashes[i : n - width + 1 + i]
+    return np.unique(_mixed(total))
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix of integers (the finaliser of SplitMix64)."""
-    x = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = x.astype(np.uint64) + ODD
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -93,12 +101,11 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def buckets(values: np.ndarray) -> np.ndarray:
-    """One 64-bit key a band."""
-    with np.errstate(over="ignore"):
-        rows = values.reshape(BANDS, WIDTH)
-        key = np.arange(BANDS, dtype=np.uint64)
-        for i in range(WIDTH):
-            key = _mixed(key * np.uint64(31) + rows[:, i])
+    """One 64-bit key a band of every row of bins."""
+    rows = values.reshape(len(values), BANDS, WIDTH)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:2])
+    for i in range(WIDTH):
+        key = _mixed(key * np.uint64(31) + rows[:, :, i])
     return key.view(np.int64)
 
 
@@ -110,16 +117,18 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
     kind = docs.schema[id_col].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("minhash", lambda: None)
+        known = kept("minhash", Words)
         for b in batches:
-            size, nodes, keys = [], [], []
-            for text in b.column(2):
-                h = shingles(text.as_py(), width)
-                size.append(len(h))
+            size, nodes, bins = np.zeros(b.num_rows, np.int64), [], []
+            for i, text in enumerate(b.column(2)):
+                h = shingles(text.as_py(), width, known)
+                size[i] = len(h)
                 nodes.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                keys.append(buckets(sketch(h)) if len(h) else np.zeros(0, np.int64))
+                bins += [sketch(h)] if len(h) else []
+            keys = buckets(np.array(bins)).reshape(-1) if bins else np.zeros(0, np.int64)
+            ends = np.concatenate(([0], np.cumsum((size > 0) * BANDS))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(size, pa.int64()), pa.array(nodes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                [b.column(0), b.column(1), pa.array(size), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys))],
                 [id_col, "key", "n_shingles", "node", "buckets"],
             )
 
@@ -139,7 +148,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) ->
     """``node, shingles`` of the wanted nodes (``node, key``), from a text with that key each."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("minhash", lambda: None)
+        known = kept("minhash", Words)
         seen: set[bytes] = set()
         for b in batches:
             keys, found = [], []
@@ -147,7 +156,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) ->
                 if key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    found.append(shingles(text.as_py(), width).view(np.int64))
+                    found.append(shingles(text.as_py(), width, known).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["key", "shingles"])
 
     few = small(wanted)
@@ -158,20 +167,50 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) ->
     return full
 
 
-def linked(edges: DataFrame, distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """The edges (``a, b``) whose full sets are so similar; sizes rule out most before sets are made."""
+Sets = Callable[[DataFrame], DataFrame]
+
+
+def linked(edges: DataFrame, distinct: DataFrame, sets: Sets, full: DataFrame | None, percent: int) -> DataFrame:
+    """The edges (``a, b``) whose full sets are so similar; sizes rule out most before sets are made.
+
+    ``full`` has the sets already, if they were made for these nodes.
+    """
     size = distinct.select("node", "n_shingles")
     sized = edges.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
     sized = settle(sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), "sized")
-    nodes = sized.select(F.col("a").alias("node")).union(sized.select("b")).distinct()
-    full = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
-    rows = sized.join(full.toDF("b", "sb"), "b").join(full.toDF("a", "sa"), "a")
+    own = full
+    if full is None:
+        nodes = sized.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
+    rows = sized.join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     found = settle(rows.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
-    drop(full)
+    drop(sized)
+    if full is None:
+        drop(own)
     return found
 
 
+def alone(full: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
+    """The nodes that can't be linked with any other of ``full``: so many of their shingles none of those has.
+
+    Where u of n shingles are a set's own, its similarity to any other is at most (n - u) / n.
+    """
+    each = full.select("node", F.explode("shingles").alias("shingle"))
+    own = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+    counted = own.groupBy("node").agg(F.count("*").alias("u")).join(distinct.select("node", "n_shingles"), "node")
+    return counted.where(100 * (F.col("n_shingles") - F.col("u")) < percent * F.col("n_shingles")).select("node")
+
+
+def _unsettled(members: DataFrame, found: DataFrame | None) -> DataFrame:
+    """``bucket, node``: members of buckets in which several components meet."""
+    rooted = settle(_rooted(members, found), "rooted")
+    apart = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+    left = settle(rooted.join(apart, "bucket", "left_semi").select("bucket", "node"), "open")
+    drop(rooted)
+    return left
+
+
 def _rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
     """``bucket, node, root``: members with the root of their component so far."""
     if found is None:
@@ -180,18 +219,35 @@ def _rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
     return joined.select("bucket", "node", F.coalesce("root", "node").alias("root"))
 
 
-def links(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int = SIMILAR) -> DataFrame:
+def merged(found: DataFrame | None, new: DataFrame) -> DataFrame:
+    """``node, component`` after new links: only the components that they join are worked on."""
+    if found is None:
+        return settle(components(new, "a", "b"), "components")
+    joined = new.join(found.toDF("a", "ra"), "a", "left").join(found.toDF("b", "rb"), "b", "left")
+    between = settle(joined.select(F.coalesce("ra", "a").alias("u"), F.coalesce("rb", "b").alias("v")).where("u != v").distinct(), "between")
+    if between.isEmpty():
+        return found
+    moved = settle(components(between, "u", "v").toDF("root", "to"), "moved")
+    alone = moved.join(found, moved["root"] == found["node"], "left_anti").select(F.col("root").alias("node"), F.col("root").alias("component"))
+    every = found.union(alone)
+    after = every.join(moved, every["component"] == moved["root"], "left")
+    return settle(after.select("node", F.coalesce("to", "component").alias("component")), "components")
+
+
+def links(distinct: DataFrame, sets: Sets, percent: int = SIMILAR) -> DataFrame:
     """``node, component`` over all links between distinct sets that share a bucket.
 
     ``distinct`` has ``node, key, n_shingles, buckets``; ``sets`` gives the full sets of nodes.
     ``open`` holds the buckets with members not yet compared. Compared members leave it, and a
-    bucket leaves it once its members lie in one component.
+    bucket leaves it once its members lie in one component. After a round, members that the
+    shingles no other open member has keep from any link leave too.
     """
     spread = distinct.select("node", F.explode("buckets").alias("bucket"))
     many = settle(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
     left = settle(spread.join(small(many), "bucket", "left_semi"), "open")
     held: DataFrame | None = None
     found: DataFrame | None = None
+    full: DataFrame | None = None
     turn = 0
     while not left.isEmpty():
         # Members with many links so far first: a text that many copies were made of is among them.
@@ -200,21 +256,23 @@ def links(distinct: DataFrame, sets: Callable[[DataFrame], DataFrame], percent:
             ends = held.select(F.explode(F.array("a", "b")).alias("node"))
             place = left.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left")
         order = F.struct((-F.coalesce("links", F.lit(0))).alias("less"), F.xxhash64("node").alias("mix"), "node")
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << turn))
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 3 * turn))
         centres = place.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("least"))
         centres = settle(centres.select("bucket", F.col("least.node").alias("centre")), "centres")
         rooted = settle(_rooted(left, found), "rooted")
         mine = rooted.select("bucket", F.col("node").alias("centre"), F.col("root").alias("centre_root")).join(centres, ["bucket", "centre"], "left_semi")
         met = rooted.join(mine, "bucket").where("root != centre_root")
         edges = settle(met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
-        new = linked(edges, distinct, sets, percent)
-        held = new if held is None else settle(held.union(new), "held")
-        found = settle(components(held, "a", "b"), "components")
-        before = [left, centres, rooted, edges]
-        rest = left.join(centres.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti")
-        rest = settle(_rooted(rest, found), "rest")
-        apart = rest.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-        left = settle(rest.join(apart, "bucket", "left_semi").select("bucket", "node"), "open")
+        new = linked(edges, distinct, sets, full, percent)
+        found = merged(found, new)
+        held = new if held is None else held.union(new)
+        before = [left, centres, rooted, edges, *([full] if full is not None else [])]
+        left = _unsettled(left.join(centres.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti"), found)
+        if not left.isEmpty():
+            nodes = left.select("node").distinct()
+            full = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
+            before.append(left)
+            left = _unsettled(left.join(alone(full, distinct, percent), "node", "left_anti"), found)
         for table in before:
             drop(table)
         turn += 1
