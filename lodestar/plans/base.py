@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.scores import joint_score
 from lodestar.plans.rules import ANY, Atom, Rule, Var, demanded, derived, matches, seed_of, without
 from lodestar.plans.strata import groups, relevant, stratify
+from lodestar.plans.wellfounded import well_founded
 from lodestar.sources.facts import FACTS, long_form
 from lodestar.sources.tables import Parts
 
@@ -28,6 +29,7 @@ class Derivation:
     base: Base
     per_round: list[int] = field(default_factory=list)
     fixpoint: bool = True
+    undefined: dict[Key, DataFrame] = field(default_factory=dict)
     depths: dict[Key, list[tuple[DataFrame, int]]] = field(default_factory=dict)
 
     @property
@@ -192,26 +194,38 @@ class Base:
         Rules whose heads depend on each other run together, after those they depend on. Each
         round joins only what the last one added with what is known (``naive``: all with all),
         drops repeats and known rows (nulls are equal), and settles the rest. A program without
-        strata is warned of and run as one; so is a bound ``max_rounds`` reached before the
-        fixpoint. With ``since``, rows that came to a base that was at its fixpoint, rounds
+        strata gets its well-founded model (``plans.wellfounded``): the base holds what is true,
+        ``undefined`` the rows that are neither true nor false, which is warned of. So is a bound
+        ``max_rounds`` reached before the fixpoint. With ``since``, rows that came to a base that was at its fixpoint, rounds
         start from those alone; ``held`` are the parts that derived relations are kept in. With
         ``grouped`` off, all rules of a stratum run together, so that rounds are depths of proofs.
         """
         strata = stratify(rules)
         if not strata.stratified:
-            warnings.warn(strata.summary(), stacklevel=2)
+            return self._well_founded(rules, max_rounds, strata.summary(), beam is None and since is None and grouped)
         out = Derivation(Base(self.spark, self.relations, self.trace))
         events = self._event("derive", rules=len(rules))
         fresh = dict(since) if since is not None else None
         held = {} if held is None else held
         levels = sorted({strata.levels.get(r.head.key, 0) for r in rules})
         whole = [[r for r in rules if strata.levels.get(r.head.key, 0) == level] for level in levels]
-        for own in groups(rules) if strata.stratified and grouped else whole:
+        for own in groups(rules) if grouped else whole:
             self._group(own, out, max_rounds, naive, beam, fresh, held, events)
         if not out.fixpoint:
             warnings.warn(f"no fixpoint within {max_rounds} rounds: rows that follow are missing", stacklevel=2)
         return out
 
+    def _well_founded(self, rules: list[Rule], max_rounds: int | None, why: str, plain: bool) -> Derivation:
+        if not plain:
+            raise ValueError(f"{why}: beams, proofs and streams need strata")
+        self._event("derive", rules=len(rules))
+        model = well_founded(self, rules, max_rounds)
+        if model.undefined:
+            warnings.warn(f"{why}; undefined rows of {', '.join(sorted(k[0] for k in model.undefined))}", stacklevel=3)
+        if not model.fixpoint:
+            warnings.warn(f"no fixpoint within {max_rounds} rounds: rows are unsure", stacklevel=3)
+        return Derivation(model.base, model.per_round, model.fixpoint, model.undefined)
+
     def _group(
         self, rules: list[Rule], out: Derivation, max_rounds: int | None, naive: bool, beam: int | None,
         since: dict[Key, DataFrame] | None, held: dict[Key, Parts], events: tuple[str, ...],
@@ -264,15 +278,35 @@ class Base:
         if since is not None:
             since.update({key: reduce(DataFrame.union, parts) for key, parts in gathered.items()})
 
+    def demand(self, goal: Atom, rules: list[Rule], max_rounds: int | None = None) -> tuple[Derivation, Atom]:
+        """What a goal asks for, derived, and the goal over the predicate that holds it.
+
+        Absent atoms are asked for as others are, once all that can be asked is settled.
+        Predicates that sum up, and what they depend on, are derived whole; so is a program
+        without strata.
+        """
+        own = relevant(goal.key, rules)
+        if not stratify(own).stratified:
+            return self.derive(own, max_rounds), goal
+        start = Base(self.spark, self.relations, self.trace)
+        summed = {r.head.key for r in own if r.aggregates}
+        if summed:
+            whole = [r for key in summed for r in relevant(key, own)]
+            start = start.derive(list(dict.fromkeys(whole)), max_rounds).base
+            own = [r for r in own if r not in whole]
+        if goal.key not in {r.head.key for r in own}:
+            return Derivation(start), goal
+        inner, rewritten = demanded(goal, own)
+        if not stratify(rewritten).stratified:
+            inner, rewritten = demanded(goal, own, sideways=False)
+        seed, row = seed_of(goal)
+        start.register(seed, self.spark.range(1).select(*(F.lit(x).alias(f"a{i + 1}") for i, x in enumerate(row))))
+        return start.derive(rewritten, max_rounds), inner
+
     def answers(self, goal: Atom, rules: list[Rule], max_rounds: int | None = None) -> DataFrame:
         """The goal's variables, deriving only what the goal asks for."""
-        if stratify(rules).stratified and not any(a.absent for r in rules for a in r.body):
-            inner, rewritten = demanded(goal, relevant(goal.key, rules))
-            seed, row = seed_of(goal)
-            start = Base(self.spark, self.relations, self.trace)
-            start.register(seed, self.spark.range(1).select(*(F.lit(x).alias(f"a{i + 1}") for i, x in enumerate(row))))
-            return start.derive(rewritten, max_rounds).base.query(inner).drop("score")
-        return self.derive(relevant(goal.key, rules), max_rounds).base.query(goal).drop("score")
+        run, inner = self.demand(goal, rules, max_rounds)
+        return run.base.query(inner).drop("score")
 
     def prove(self, goal: Atom, rules: list[Rule], max_depth: int = 10) -> DataFrame:
         """The goal's variables, ``similarity`` 1 and ``depth`` of the shortest proof, facts having depth 0.

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.scores import probe_score
+from lodestar.operators.bands import band_join, has_band
 
 
 @dataclass(frozen=True)
@@ -57,22 +58,82 @@ def absent(predicate: str, *args: Any) -> Atom:
     return Atom(predicate, args, absent=True)
 
 
+#: Comparison, and the bounds of right - left that it implies.
+COMPARISONS = {"<": (0, None), "<=": (0, None), ">": (None, 0), ">=": (None, 0), "=": (0, 0), "!=": (None, None)}
+
+
+@dataclass(frozen=True)
+class Condition:
+    """A condition on bound values: ``left op right``, or with op ``within``, low <= right - left <= high."""
+
+    left: Any
+    op: str
+    right: Any
+    low: Any = None
+    high: Any = None
+
+    @property
+    def variables(self) -> list[str]:
+        return [x.name for x in (self.left, self.right) if isinstance(x, Var)]
+
+    @property
+    def condition(self) -> Column:
+        a, b = (F.col(x.name) if isinstance(x, Var) else F.lit(x) for x in (self.left, self.right))
+        if self.op == "within":
+            return (b >= a + F.lit(self.low)) & (b <= a + F.lit(self.high))
+        compared = {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "=": a == b, "!=": a != b}
+        return compared[self.op]
+
+
+def compare(left: Any, op: str, right: Any) -> Condition:
+    """A body's condition that two values compare so: one of <, <=, >, >=, =, !=. Nulls never do."""
+    if op not in COMPARISONS:
+        raise ValueError(f"no comparison {op}")
+    return Condition(left, op, right, *COMPARISONS[op])
+
+
+def within(left: Any, right: Any, low: Any, high: Any) -> Condition:
+    """A body's condition that ``low <= right - left <= high``; for times the bounds are intervals (``timedelta``)."""
+    return Condition(left, "within", right, low, high)
+
+
+@dataclass(frozen=True)
+class Aggregate:
+    """A head's argument that sums up a variable over the rows that the other arguments share."""
+
+    kind: str
+    over: Var
+
+
+def total(kind: str, over: Var) -> Aggregate:
+    """``count`` counts different values; ``sum`` and ``avg`` go over the body's different bindings; ``min``, ``max``."""
+    if kind not in ("count", "sum", "avg", "min", "max"):
+        raise ValueError(f"no aggregate {kind}")
+    return Aggregate(kind, over)
+
+
 @dataclass(frozen=True)
 class Rule:
     head: Atom
     body: tuple[Atom, ...]
+    tests: tuple[Condition, ...] = ()
 
     def __post_init__(self) -> None:
-        """Reject rules with a head variable that no positive atom binds."""
+        """Reject rules with a variable of the head or of a test that no positive atom binds."""
         bound = {v for a in self.body if not a.absent for v in a.variables}
-        if loose := [v for v in self.head.variables if v not in bound]:
+        asked = [*self.head.variables, *(x.over.name for x in self.aggregates), *(v for t in self.tests for v in t.variables)]
+        if loose := [v for v in asked if v not in bound]:
             raise ValueError(f"unsafe rule for {self.head.predicate}: {', '.join(loose)} not bound by a positive atom")
         if ANY in self.head.args or self.head.absent:
             raise ValueError("a head can't be open or absent")
 
+    @property
+    def aggregates(self) -> list[Aggregate]:
+        return [x for x in self.head.args if isinstance(x, Aggregate)]
+
 
-def rule(head: Atom, *body: Atom) -> Rule:
-    return Rule(head, body)
+def rule(head: Atom, *body: Atom | Condition) -> Rule:
+    return Rule(head, tuple(x for x in body if isinstance(x, Atom)), tuple(x for x in body if isinstance(x, Condition)))
 
 
 def matches(relation: DataFrame, a: Atom) -> DataFrame:
@@ -90,21 +151,29 @@ def matches(relation: DataFrame, a: Atom) -> DataFrame:
     return kept.select(*(F.col(c).alias(v) for v, c in first.items())) if first else kept.select(F.lit(1).alias("_found"))
 
 
-def without(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows that aren't among the known ones, column by column in order; nulls are equal."""
+def without(rows: DataFrame, known: DataFrame, kind: str = "left_anti") -> DataFrame:
+    """The rows that aren't among the known ones, by as many columns as those have, in order; nulls are equal."""
     other = known.select(*(F.col(c).alias(f"_known{i}") for i, c in enumerate(known.columns)))
-    same = (F.col(c).eqNullSafe(F.col(f"_known{i}")) for i, c in enumerate(rows.columns))
-    return rows.join(other, reduce(Column.__and__, same), "left_anti")
+    same = (F.col(c).eqNullSafe(F.col(k)) for c, k in zip(rows.columns, other.columns, strict=False))
+    return rows.join(other, reduce(Column.__and__, same), kind)
+
+
+def among(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows that are among the known ones; nulls are equal."""
+    return without(rows, known, "left_semi")
 
 
 Lookup = Callable[[Atom, int], DataFrame]
 
 
-def bindings(body: tuple[Atom, ...], relation: Lookup, scored: bool = False, beam: int | None = None) -> DataFrame:
+def bindings(
+    body: tuple[Atom, ...], relation: Lookup, scored: bool = False, beam: int | None = None, tests: tuple[Condition, ...] = ()
+) -> DataFrame:
     """Rows of variables that satisfy the body.
 
     Positive atoms are joined on shared variables in turn; one that brings no new variable
-    is a semi join, one that shares none a cross join. Absent atoms are anti joins on their
+    is a semi join, one that shares none a cross join, or, where a test ties it to what is
+    bound, a band join. Tests are applied as soon as their variables are bound. Absent atoms are anti joins on their
     bound variables, after the positive ones. ``scored`` adds ``score``, the product of the
     closed-form scores of the probed atoms; ``beam`` keeps the best rows after each join.
     """
@@ -127,7 +196,10 @@ def bindings(body: tuple[Atom, ...], relation: Lookup, scored: bool = False, bea
             elif shared:
                 found = found.join(rows, shared, "inner")
             else:
-                found = found.crossJoin(rows)
+                found = _apart(found, rows, new, tests)
+        for t in tests:
+            if all(v in found.columns for v in t.variables) and (i == positive[0][0] or not t.variables or any(v in new for v in t.variables)):
+                found = found.where(t.condition)
         score *= probe_score(len(a.args), known, len(new))
         if beam is not None:
             found = found.withColumn("score", F.lit(score)).orderBy(F.desc("score"), *a.variables).limit(beam).drop("score")
@@ -144,29 +216,68 @@ def bindings(body: tuple[Atom, ...], relation: Lookup, scored: bool = False, bea
     return found.withColumn("score", F.lit(score)) if scored else found
 
 
+def _apart(found: DataFrame, rows: DataFrame, new: list[str], tests: tuple[Condition, ...]) -> DataFrame:
+    """Rows without a variable in common: a band join if a test ties numbers or times of both, else a cross join."""
+    for t in tests:
+        if _ties(t, found.columns, new):
+            left, right = t.variables
+            one, other = (rows, found) if left in new else (found, rows)
+            if has_band(one, other, left, right):
+                return band_join(one, other, left, right, t.low, t.high)
+    return found.crossJoin(rows)
+
+
+def _ties(t: Condition, known: list[str], new: list[str]) -> bool:
+    """Whether a test with bounds stands between a variable that is known and a new one."""
+    if len(t.variables) < 2 or (t.low is None and t.high is None):
+        return False
+    left, right = t.variables
+    return (left in known and right in new) or (left in new and right in known)
+
+
 def derived(r: Rule, relation: Lookup, beam: int | None = None) -> DataFrame:
-    """The head's rows as ``a1 .. ak``, without repeats."""
-    found = bindings(r.body, relation, beam=beam)
+    """The head's rows as ``a1 .. ak``, without repeats; nothing follows from no rows, not even a count of 0."""
+    found = bindings(r.body, relation, beam=beam, tests=r.tests)
+    if r.aggregates:
+        made = {
+            f"_total{i}": F.count_distinct(x.over.name) if x.kind == "count" else getattr(F, x.kind)(x.over.name)
+            for i, x in enumerate(r.head.args)
+            if isinstance(x, Aggregate)
+        }
+        used = list(dict.fromkeys([*r.head.variables, *(x.over.name for x in r.aggregates)]))
+        # Bindings differ by all variables for sums; for the others, those used will do.
+        whole = any(x.kind in ("sum", "avg") for x in r.aggregates)
+        rows = found.distinct() if whole else found.select(*used).distinct()
+        sums = rows.groupBy(*r.head.variables).agg(F.count(F.lit(1)).alias("_rows"), *(c.alias(n) for n, c in made.items()))
+        columns = [
+            (F.col(x.name) if isinstance(x, Var) else F.col(f"_total{i}") if isinstance(x, Aggregate) else F.lit(x)).alias(f"a{i + 1}")
+            for i, x in enumerate(r.head.args)
+        ]
+        return sums.where("_rows > 0").select(*columns)
     columns = [
         (F.col(x.name) if isinstance(x, Var) else F.lit(x)).alias(f"a{i + 1}") for i, x in enumerate(r.head.args)
     ]
     return found.select(*columns).distinct()
 
 
-def demanded(goal: Atom, rules: list[Rule]) -> tuple[Atom, list[Rule]]:
+def demanded(goal: Atom, rules: list[Rule], sideways: bool = True) -> tuple[Atom, list[Rule]]:
     """Rewrite rules so that only what a goal with constants asks for is derived.
 
     Each predicate gets, per pattern of bound arguments, a relation of asked-for arguments;
-    a rule runs only on those, and asks on for its body from left to right. Returns the
-    goal over the rewritten predicate; its seed is the rule without a body that the caller
-    registers as facts: see ``seed_of``. Only positive rules are rewritten.
+    a rule runs only on those, and asks on for its body from left to right, for absent atoms
+    last. Returns the goal over the rewritten predicate; its seed is the rule without a body
+    that the caller registers as facts: see ``seed_of``.
+
+    What is asked for may depend on answers (``sideways``), which binds more but can put
+    absence on a cycle. Without, it follows from what was asked and from base facts alone, so
+    all of it is settled before anything is derived and the strata are those of the rules.
     """
     heads = {r.head.key for r in rules}
     out: list[Rule] = []
     done: set[tuple] = set()
 
     def name(a: Atom, bound: tuple[bool, ...]) -> str:
-        return f"{a.predicate}?{''.join('b' if b else 'f' for b in bound)}"
+        return f"{'~' * a.negated}{a.predicate}?{''.join('b' if b else 'f' for b in bound)}"
 
     def ask(a: Atom, bound: tuple[bool, ...]) -> Atom:
         return Atom(f"ask {name(a, bound)}", tuple(x for x, b in zip(a.args, bound, strict=True) if b) or (1,))
@@ -183,28 +294,32 @@ def demanded(goal: Atom, rules: list[Rule]) -> tuple[Atom, list[Rule]]:
         for r in rules:
             if r.head.key != a.key:
                 continue
-            if any(x.absent for x in r.body):
-                raise ValueError("demand needs rules without absent atoms")
             guard = ask(r.head, bound)
-            known, body = set(guard.variables), [guard]
-            for x in r.body:
-                if x.key in heads:
-                    inner = pattern(x, known)
-                    wanted = ask(x, inner)
-                    if wanted != guard:
-                        out.append(Rule(wanted, tuple(body)))
-                    todo.append((x, inner))
-                    x = Atom(name(x, inner), x.args)
-                body.append(x)
-                known |= set(x.variables)
-            out.append(Rule(Atom(name(r.head, bound), r.head.args), tuple(body)))
+            body, asking = [guard], [guard]
+            for x in sorted(r.body, key=lambda x: x.absent):
+                plain = Atom(x.predicate, x.args, x.negated and not x.absent)
+                if plain.key not in heads:
+                    body.append(x)
+                    asking += [] if x.absent else [x]
+                    continue
+                known = {v for y in asking for v in y.variables}
+                inner = pattern(plain, known)
+                wanted = ask(plain, inner)
+                if wanted != guard:
+                    tests = tuple(t for t in r.tests if all(v in known for v in t.variables))
+                    out.append(Rule(wanted, tuple(asking), tests))
+                todo.append((plain, inner))
+                found = Atom(name(plain, inner), x.args, absent=x.absent)
+                body.append(found)
+                asking += [found] if sideways and not x.absent else []
+            out.append(Rule(Atom(name(r.head, bound), r.head.args), tuple(body), r.tests))
         # Base facts of a derived predicate take part as well.
         plain = tuple(Var(f"X{i}") for i in range(len(a.args)))
-        out.append(Rule(Atom(name(a, bound), plain), (ask(Atom(a.predicate, plain), bound), Atom(a.predicate, plain, a.negated))))
+        out.append(Rule(Atom(name(a, bound), plain), (ask(Atom(a.predicate, plain, a.negated), bound), Atom(a.predicate, plain, a.negated))))
     return Atom(name(goal, pattern(goal, set())), goal.args), out
 
 
 def seed_of(goal: Atom) -> tuple[str, tuple]:
     """The predicate and the only row of what a goal asks for."""
     bound = "".join("f" if isinstance(x, Var) else "b" for x in goal.args)
-    return f"ask {goal.predicate}?{bound}", tuple(x for x in goal.args if not isinstance(x, Var)) or (1,)
+    return f"ask {'~' * goal.negated}{goal.predicate}?{bound}", tuple(x for x in goal.args if not isinstance(x, Var)) or (1,)
