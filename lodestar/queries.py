@@ -597,6 +597,26 @@ def live_closure(spark, sf_dir):
     return longs(live.base.query(atom("anc", X, Z)), x="X", z="Z")
 
 
+@query(f"""
+WITH RECURSIVE m AS (SELECT s_suppkey // 3 AS a, s_suppkey AS b FROM supplier WHERE s_suppkey > 0 AND s_suppkey % 10 <> 4),
+t AS (SELECT a, b FROM m UNION SELECT m.a, t.b FROM m JOIN t ON m.b = t.a),
+l AS (SELECT s_suppkey AS b FROM supplier WHERE s_suppkey NOT IN (SELECT b FROM t))
+SELECT a AS x, b AS z FROM t UNION ALL SELECT NULL, b FROM l""")
+def live_deletes(spark, sf_dir):
+    """The hierarchy arriving as a stream of inserts, and of deletes of every tenth link; who stands below nobody, by absence."""
+    parts = tables.Parts(spark, "live")
+    links = star(spark, sf_dir).relation(("manages", 2, False))
+    links.selectExpr("*", "false AS gone").write.parquet(f"{parts.base}/in/part=0")
+    links.where("a2 % 10 = 4").selectExpr("*", "true AS gone").write.parquet(f"{parts.base}/in/part=1")
+    base = Base(spark).register("supp", read(spark, sf_dir, "supplier"), ["s_suppkey"])
+    live = LiveBase(base, [*LINEAR, rule(atom("alone", X), atom("supp", X), absent("anc", ANY, X))], {"manages": "a1 long, a2 long"}, f"{parts.base}/held")
+    for part in (0, 1):
+        stream = spark.readStream.schema("a1 long, a2 long, gone boolean").parquet(f"{parts.base}/in/part={part}")
+        live.follow(stream, "manages", f"{parts.base}/checkpoint-{part}", "gone").awaitTermination()
+    alone = live.base.relation(("alone", 1, False)).select(F.lit(None).cast("long").alias("x"), F.col("a1").alias("z"))
+    return longs(live.base.query(atom("anc", X, Z)), x="X", z="Z").union(alone)
+
+
 # -- vectors ---------------------------------------------------------------------------------
 
 
@@ -707,8 +727,12 @@ def vec_decode_argument(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from lodestar import model_queries  # noqa: F401  (adds its own to the catalogue)
+
     return {name: f for name, (f, _) in CATALOGUE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from lodestar import model_queries  # noqa: F401
+
     return {name: sql.strip() for name, (_, sql) in CATALOGUE.items() if sql}

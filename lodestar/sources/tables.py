@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -24,6 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def write(df: DataFrame, path: str) -> None:
+    """All tables here are written by this."""
+    df.write.parquet(path)
+
+
 class Parts:
     """A relation kept as Parquet parts in the shared folder; each round of a loop adds one.
 
@@ -37,7 +43,7 @@ class Parts:
 
     def add(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/part-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        write(df, path)
         self.schema = self.schema or df.schema
         self.paths.append(path)
         return self.spark.read.schema(self.schema).parquet(path)
@@ -51,6 +57,60 @@ class Parts:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
 
+class Ledger:
+    """Versions of a set of tables in a shared folder; a version lists the files that hold each.
+
+    Files lie in folders of their own under ``parts``, and none is ever changed. A version is
+    one small file that is written aside and renamed, after all it lists is there: what a
+    failure leaves behind is listed nowhere, and goes with the next ``tidy``. One writer at a
+    time is expected.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def _path(self, place: str) -> tuple:
+        """A path of the cluster's file system, and that system."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(place)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _listed(self, place: str) -> list[str]:
+        path, files = self._path(place)
+        return sorted(str(x.getPath().getName()) for x in files.listStatus(path)) if files.exists(path) else []
+
+    def versions(self) -> list[int]:
+        return [int(x[1:]) for x in self._listed(f"{self.folder}/versions") if re.fullmatch(r"v\d+", x)]
+
+    def read(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.folder}/versions/v{version:012}", wholetext=True).first()[0])
+
+    def commit(self, version: int, content: dict) -> None:
+        aside, files = self._path(f"{self.folder}/versions/.new-{uuid.uuid4().hex}")
+        out = files.create(aside, True)
+        out.write(bytearray(json.dumps(content).encode()))
+        out.close()
+        there, _ = self._path(f"{self.folder}/versions/v{version:012}")
+        if files.exists(there) or not files.rename(aside, there):
+            raise RuntimeError(f"version {version} of {self.folder} is there already")
+
+    def part(self, df: DataFrame) -> list[str]:
+        """Write a table's rows into a folder of their own; its files."""
+        place = f"{self.folder}/parts/{uuid.uuid4().hex}"
+        write(df, place)
+        return [f"{place}/{x}" for x in self._listed(place) if x.endswith(".parquet")]
+
+    def tidy(self, keep: list[dict]) -> None:
+        """Remove parts that no version in ``keep`` lists, and versions that aren't among the last as many."""
+        listed = {file.rsplit("/", 2)[1] for content in keep for files in content["files"].values() for file in files}
+        for name in self._listed(f"{self.folder}/parts"):
+            if name not in listed:
+                path, files = self._path(f"{self.folder}/parts/{name}")
+                files.delete(path, True)
+        for version in self.versions()[: -len(keep)]:
+            path, files = self._path(f"{self.folder}/versions/v{version:012}")
+            files.delete(path, False)
+
+
 def drop(df: DataFrame) -> None:
     """Remove the scratch folders that a table written by ``Parts`` or ``settle`` lies in; it can't be read any more."""
     spark = df.sparkSession

@@ -11,8 +11,6 @@ from lodestar.operators import beliefs, consistency, traces, vectors
 from lodestar.plans.base import Base
 from lodestar.plans.rules import Var, absent, atom, rule
 from lodestar.sources import facts, tables
-from lodestar.streaming import ingest
-from lodestar.streaming.ingest import LiveBase
 
 X, Y, Z = (Var(v) for v in "XYZ")
 
@@ -109,30 +107,6 @@ def test_vectors_undo_and_read_off(spark):
     assert not vectors.is_novel(coded.select("id", "vec"), one, 0.9) and vectors.is_novel(coded.where("id = '2'").select("id", "vec"), one, 0.9)
 
 
-def test_live_base(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ingest, "MOST_PARTS", 3)
-    rules = [rule(atom("t", X, Y), atom("e", X, Y)), rule(atom("t", X, Z), atom("t", X, Y), atom("e", Y, Z))]
-    folder, feeds = f"{tmp_path}/in", {"e": "x string, y string"}
-    live = LiveBase(Base(spark), rules, feeds, f"{tmp_path}/held")
-    for n, pair in enumerate((("a", "b"), ("b", "c"), ("c", "d"), ("c", "d"), (None, "a"))):
-        if n == 3:  # a restart goes on from the folder
-            live = LiveBase(Base(spark), rules, feeds, f"{tmp_path}/held")
-        spark.createDataFrame([pair], "x string, y string").write.mode("append").parquet(folder)
-        stream = spark.readStream.schema("x string, y string").parquet(folder)
-        live.follow(stream, "e", f"{tmp_path}/checkpoint").awaitTermination()
-        assert all(len(p.paths) <= 4 for p in live.held.values())
-    got = sorted((tuple(r) for r in live.base.relation(("t", 2, False)).collect()), key=str)
-    assert got == sorted([(a, b) for a, b in ("ab", "bc", "cd", "ac", "bd", "ad")] + [(None, x) for x in "abcd"], key=str)
-    live.fold("e", spark.createDataFrame([("c", "d"), ("d", "e")], "x string, y string"))  # delivered again, with one new row
-    assert live.base.relation(("e", 2, False)).count() == 5 and live.base.relation(("t", 2, False)).count() == 15
-    given = LiveBase(Base(spark).insert("e", [("p", "q"), ("q", "r")]), rules, feeds, f"{tmp_path}/other")
-    assert given.base.relation(("t", 2, False)).count() == 3
-    with pytest.raises(ValueError):
-        LiveBase(Base(spark), [rule(atom("t", X), atom("e", X), absent("f", X))], {}, f"{tmp_path}/x")
-    with pytest.raises(ValueError):
-        LiveBase(Base(spark), rules, {"t": "x string, y string"}, f"{tmp_path}/y")
-
-
 def test_contradicted_rows_with_nulls_leave(spark):
     both = spark.createDataFrame([("a", None), ("b", "c")], "x string, y string")
     base = Base(spark).register("p", both).register("p", both.where("y is null"), negated=True)
