@@ -11,9 +11,10 @@ def bind(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x * y)
 
 
-def unbind(a: Column, b: Column) -> Column:
-    """Inverse of ``bind`` for components other than 0."""
-    return F.zip_with(a, b, lambda x, y: F.try_divide(x, y))
+def unbind(a: Column, b: Column, unit: bool = False) -> Column:
+    """Inverse of ``bind`` for components other than 0; with ``unit``, of length 1."""
+    found = F.zip_with(a, b, lambda x, y: F.try_divide(x, y))
+    return normalize(found) if unit else found
 
 
 def add(a: Column, b: Column) -> Column:

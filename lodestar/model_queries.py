@@ -7,10 +7,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.functions import phases
+from lodestar.operators import atoms, nearest
 from lodestar.plans import annotated, proofs, tabling
 from lodestar.plans.base import Base
 from lodestar.plans.rules import ANY, Var, absent, atom, compare, rule, total, within
-from lodestar.queries import LINEAR, TREE, longs, query, read, star
+from lodestar.queries import LINEAR, TREE, _flat, _sql_flat, _vectors, longs, query, read, star
 
 A, B, N, P, Q, R, S, X, Y, Z = (Var(v) for v in "ABNPQRSXYZ")
 
@@ -187,3 +189,85 @@ def band_open(spark, sf_dir):
     base = Base(spark).register("has", read(spark, sf_dir, "supplier"), ["s_suppkey", "s_acctbal"])
     less = rule(atom("less", A, total("count", B)), atom("has", A, X), atom("has", B, Y), compare(Y, "<", X))
     return longs(base.derive([less]).base.query(atom("less", S, N)), s="S", below="N")
+
+
+# -- phases, blind decoding, indexed cleanup ---------------------------------------------------
+
+_WRAP = "({0}) - 2 * pi() * floor((({0}) + pi()) / (2 * pi()))"
+_NEXT = "v[(i - 2 + 64) % 64 + 1]"
+
+
+def _shifted(vec):
+    from lodestar.functions import vectors as V
+
+    return V.permute(vec, 1)
+
+
+@query(_sql_flat(_WRAP.format(f"4 * v[i] + 4 * {_NEXT}")))
+def phase_bind(spark, sf_dir):
+    """Embeddings as angles, each bound to itself shifted by one."""
+    angles = phases.power(F.col("vec"), 4)
+    return _flat(_vectors(spark, sf_dir).withColumn("vec", phases.bind(angles, phases.power(_shifted(F.col("vec")), 4))))
+
+
+@query(_sql_flat(_WRAP.format(f"v[i] - {_NEXT}")))
+def phase_unbind(spark, sf_dir):
+    return _flat(_vectors(spark, sf_dir).withColumn("vec", phases.unbind(F.col("vec"), _shifted(F.col("vec")))))
+
+
+@query(_sql_flat(_WRAP.format("v[i] * 50")))
+def phase_power(spark, sf_dir):
+    return _flat(_vectors(spark, sf_dir).withColumn("vec", phases.power(F.col("vec"), 50)))
+
+
+@query("""
+WITH e AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT CAST(label AS BIGINT) AS label, CAST(i - 1 AS BIGINT) AS pos, round(sum(cos(4 * v[i])), 6) AS re, round(sum(sin(4 * v[i])), 6) + CAST(0 AS DOUBLE) AS im
+FROM (SELECT *, unnest(range(1, 65)) AS i FROM e) GROUP BY label, i""")
+def phase_bundle(spark, sf_dir):
+    """The complex sum of each label's embeddings as angles."""
+    rows = _vectors(spark, sf_dir).select("label", F.posexplode(phases.power(F.col("vec"), 4)).alias("pos", "t"))
+    sums = rows.groupBy("label", "pos").agg(F.sum(F.cos("t")).alias("re"), F.sum(F.sin("t")).alias("im"))
+    return sums.select(F.col("label").cast("long").alias("label"), F.col("pos").cast("long").alias("pos"), F.round("re", 6).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
+
+
+_COMPLEX = "list_sum(list_transform(range(1, 65), lambda i: {0}(4 * a.v[i] - 4 * b.v[i])))"
+
+
+@query(f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT b.vec_id, round(sqrt({_COMPLEX.format('cos')} ** 2 + {_COMPLEX.format('sin')} ** 2) / 64, 6) AS similarity FROM e a, e b WHERE a.vec_id = 0""")
+def phase_similarity(spark, sf_dir):
+    """How similar every embedding is to the first, both as angles."""
+    rows = _vectors(spark, sf_dir).select("vec_id", phases.complex_of(phases.power(F.col("vec"), 4)).alias("v"))
+    first = rows.where("vec_id = 0").select(F.col("v").alias("first"))
+    found = rows.join(F.broadcast(first.limit(1)))  # one row
+    return longs(found.withColumn("similarity", phases.similarity(F.col("v"), F.col("first"))), vec_id="vec_id", similarity="similarity")
+
+
+_ATOMS = """SELECT s_suppkey AS id, 'supp' || s_nationkey % 3 AS predicate, list_slice(['s' || s_suppkey, 'n' || s_nationkey,
+  CASE WHEN s_acctbal < 0 THEN 'owes' ELSE 'has' END, 'k' || s_suppkey % 7, 'z' || s_suppkey % 4], 1, 1 + s_suppkey % 5) AS args FROM supplier"""
+
+
+@query(f"SELECT CAST(id AS BIGINT) AS id, predicate, array_to_string(args, ' ') AS args FROM ({_ATOMS})")
+def vec_decode_atoms(spark, sf_dir):
+    """Facts of one to five arguments as single vectors, and read off them again, nothing being known of any."""
+    size = 1024
+    facts = read(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS id", "concat('supp', s_nationkey % 3) AS predicate",
+        "slice(array(concat('s', s_suppkey), concat('n', s_nationkey), if(s_acctbal < 0, 'owes', 'has'), concat('k', s_suppkey % 7),"
+        " concat('z', s_suppkey % 4)), 1, int(1 + s_suppkey % 5)) AS args",
+    )
+    predicates = atoms.symbols(facts.select("predicate"), "P", size)
+    entities = atoms.symbols(facts.select(F.explode("args").alias("name")), "E", size)
+    found = atoms.decode(atoms.encode(facts, size).select("id", "vec"), predicates, entities)
+    return found.select(F.col("id").cast("long").alias("id"), "predicate", F.array_join("args", " ").alias("args"))
+
+
+@query(None)
+def vec_indexed(spark, sf_dir):
+    """The five nearest of every twentieth embedding through hyperplane buckets; tests measure the recall."""
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "vec")
+    found = nearest.indexed_cleanup(asked, rows.select(F.col("vec_id").alias("name"), "vec"), 5, others=True)
+    return longs(found, query="query", rank="rank", name="name", similarity="similarity")

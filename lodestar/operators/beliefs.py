@@ -17,20 +17,32 @@ def checked(items: DataFrame) -> DataFrame:
     return items.withColumn("weight", F.when(F.coalesce(fine, F.lit(False)), F.col("weight")).otherwise(bad))
 
 
-def beliefs(items: DataFrame, by: list[str], weight: str = "weight", negated: str = "negated") -> DataFrame:
-    """``<by>, supp_pos, supp_neg, net_support, state`` of each literal: sums of weights, at most 1 each.
+def evidence(items: DataFrame, by: list[str], weight: str = "weight", negated: str = "negated") -> DataFrame:
+    """``<by>, pos, neg``: the weights for and against each literal, added up."""
+    own = [F.when(~F.col(negated), F.col(weight)).otherwise(0.0), F.when(F.col(negated), F.col(weight)).otherwise(0.0)]
+    return items.groupBy(*by).agg(F.sum(own[0]).alias("pos"), F.sum(own[1]).alias("neg"))
+
+
+def added(sums: DataFrame, more: DataFrame, by: list[str]) -> DataFrame:
+    """Evidence with that of later items added: only the new items are gone through, the sums are joined."""
+    return sums.union(more.select(*sums.columns)).groupBy(*by).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
 
-    Weights aren't negative, so the order of the sum doesn't matter. ``state`` is consistent
-    (only for), contradictory (both), unknown (neither) or denied (only against).
+def judged(sums: DataFrame, by: list[str]) -> DataFrame:
+    """``<by>, supp_pos, supp_neg, net_support, state`` from evidence: at most 1 each.
+
+    ``state`` is consistent (only for), contradictory (both), unknown (neither) or denied (only against).
     """
     one = F.lit(1.0)
-    sums = items.groupBy(*by).agg(
-        F.least(one, F.sum(F.when(~F.col(negated), F.col(weight)).otherwise(0.0))).alias("supp_pos"),
-        F.least(one, F.sum(F.when(F.col(negated), F.col(weight)).otherwise(0.0))).alias("supp_neg"),
-    )
+    found = sums.select(*by, F.least(one, "pos").alias("supp_pos"), F.least(one, "neg").alias("supp_neg"))
     pos, neg = F.col("supp_pos") > 0, F.col("supp_neg") > 0
     state = F.when(pos & neg, "contradictory").when(pos, "consistent").when(neg, "denied").otherwise("unknown")
-    return sums.withColumn("net_support", F.col("supp_pos") - F.col("supp_neg")).withColumn("state", state)
+    return found.withColumn("net_support", F.col("supp_pos") - F.col("supp_neg")).withColumn("state", state)
+
+
+def beliefs(items: DataFrame, by: list[str], weight: str = "weight", negated: str = "negated") -> DataFrame:
+    """What items say of each literal: see ``judged``. Weights aren't negative, so the order of the sum doesn't matter."""
+    return judged(evidence(items, by, weight, negated), by)
 
 
 def weighted_answers(items: DataFrame, bound: dict[str, object], free: list[str], k: int) -> DataFrame:

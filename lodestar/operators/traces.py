@@ -32,6 +32,12 @@ class Trace:
     def clear(self) -> None:
         self.events.clear()
 
+    @classmethod
+    def of(cls, events: DataFrame) -> Trace:
+        """A log of stored events, in order of time; a trace has a few rows a query."""
+        rows = events.select(*(x.split()[0] for x in SCHEMA.split(", "))).orderBy("ts", "id").collect()
+        return cls([(r.id, r.ts, r.type, r.payload, list(r.parent_ids)) for r in rows])
+
 
 def ancestors(events: DataFrame, event: str) -> DataFrame:
     """The ids of the events that led to one, itself included."""

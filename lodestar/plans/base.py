@@ -20,6 +20,8 @@ from lodestar.sources.facts import FACTS, long_form
 from lodestar.sources.tables import Parts
 
 Key = tuple[str, int, bool]
+#: Parts of a relation, one a round, beyond which they are written anew as one.
+MOST_PARTS = 64
 
 
 @dataclass
@@ -263,6 +265,8 @@ class Base:
                 else:
                     held[key].forget_last()
             for key in fresh:
+                if len(held[key].paths) > MOST_PARTS:
+                    held[key].compact()
                 base.relations[key] = held[key].all()
             for key in found:
                 base.relations.setdefault(key, held[key].all())

@@ -53,6 +53,12 @@ class Parts:
         if len(self.paths) > 1:
             self.paths.pop()
 
+    def compact(self) -> None:
+        """Write many parts anew as one; those who still read the old ones can."""
+        whole = self.all()
+        self.paths = []
+        self.add(whole)
+
     def all(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
 
