@@ -271,6 +271,10 @@ def demanded(goal: Atom, rules: list[Rule], sideways: bool = True) -> tuple[Atom
     What is asked for may depend on answers (``sideways``), which binds more but can put
     absence on a cycle. Without, it follows from what was asked and from base facts alone, so
     all of it is settled before anything is derived and the strata are those of the rules.
+
+    Where a goal's predicate is asked for only by rules that end in it and hand its free
+    arguments through, all that its asked-for arguments give are answers of the goal, so the
+    answers are derived at once from what was asked, and not passed back link by link.
     """
     heads = {r.head.key for r in rules}
     out: list[Rule] = []
@@ -285,18 +289,37 @@ def demanded(goal: Atom, rules: list[Rule], sideways: bool = True) -> tuple[Atom
     def pattern(a: Atom, known: set[str]) -> tuple[bool, ...]:
         return tuple(not isinstance(x, Var) or x.name in known for x in a.args)
 
-    todo = [(goal, pattern(goal, set()))]
+    def ordered(body: tuple[Atom, ...], guard: Atom) -> list[Atom]:
+        """Positive atoms, at each step the one with most bound arguments; then absent ones."""
+        left, known, out = [x for x in body if not x.absent], set(guard.variables), []
+        while left:
+            best = max(left, key=lambda x: sum(pattern(x, known)))
+            left.remove(best)
+            out.append(best)
+            known |= set(best.variables)
+        return out + [x for x in body if x.absent]
+
+    first = pattern(goal, set())
+    handed = _handed_through(goal, first, rules)
+    answer = f"{name(goal, first)} answers"
+    todo = [(goal, first)]
     while todo:
         a, bound = todo.pop()
         if (a.key, bound) in done:
             continue
         done.add((a.key, bound))
+        through = handed and a.key == goal.key
+        free = [i for i, b in enumerate(bound) if not b]
         for r in rules:
             if r.head.key != a.key:
                 continue
             guard = ask(r.head, bound)
             body, asking = [guard], [guard]
-            for x in sorted(r.body, key=lambda x: x.absent):
+            if through and (again := next((x for x in r.body if x.key == goal.key and not x.absent), None)):
+                wanted = ask(again, bound)
+                out += [Rule(wanted, (guard, *(x for x in r.body if x is not again)), r.tests)] if wanted != guard else []
+                continue
+            for x in ordered(r.body, guard):
                 plain = Atom(x.predicate, x.args, x.negated and not x.absent)
                 if plain.key not in heads:
                     body.append(x)
@@ -312,11 +335,56 @@ def demanded(goal: Atom, rules: list[Rule], sideways: bool = True) -> tuple[Atom
                 found = Atom(name(plain, inner), x.args, absent=x.absent)
                 body.append(found)
                 asking += [found] if sideways and not x.absent else []
-            out.append(Rule(Atom(name(r.head, bound), r.head.args), tuple(body), r.tests))
+            held = Atom(answer, tuple(r.head.args[i] for i in free)) if through else Atom(name(r.head, bound), r.head.args)
+            out.append(Rule(held, tuple(body), r.tests))
         # Base facts of a derived predicate take part as well.
         plain = tuple(Var(f"X{i}") for i in range(len(a.args)))
-        out.append(Rule(Atom(name(a, bound), plain), (ask(Atom(a.predicate, plain, a.negated), bound), Atom(a.predicate, plain, a.negated))))
-    return Atom(name(goal, pattern(goal, set())), goal.args), out
+        held = Atom(answer, tuple(plain[i] for i in free)) if through else Atom(name(a, bound), plain)
+        out.append(Rule(held, (ask(Atom(a.predicate, plain, a.negated), bound), Atom(a.predicate, plain, a.negated))))
+    if handed:
+        return Atom(answer, tuple(x for x, b in zip(goal.args, first, strict=True) if not b)), out
+    return Atom(name(goal, first), goal.args), out
+
+
+def _handed_through(goal: Atom, bound: tuple[bool, ...], rules: list[Rule]) -> bool:
+    """Whether rules for the goal that ask for its predicate again only hand its free arguments through.
+
+    Besides that atom they hold base facts alone, which don't name the free arguments, and the
+    bound ones stay bound; some rule asks again, and no predicate below the goal's asks for it.
+    """
+    heads = {r.head.key for r in rules}
+    own = [r for r in rules if r.head.key == goal.key]
+    below: set = set()
+    todo = [_of(x) for r in own for x in r.body if _of(x) != goal.key]
+    while todo:
+        if (key := todo.pop()) not in below:
+            below.add(key)
+            todo += [_of(x) for r in rules if r.head.key == key for x in r.body]
+    free = [i for i, b in enumerate(bound) if not b]
+    if goal.key in below or not free or len(free) == len(bound) or any(r.aggregates for r in own):
+        return False
+    recursive = False
+    for r in own:
+        again = [x for x in r.body if _of(x) == goal.key]
+        if not again:
+            continue
+        recursive = True
+        rest = [x for x in r.body if x is not again[0]]
+        kept = [r.head.args[i] for i in free]
+        names = {x.name for x in kept if isinstance(x, Var)}
+        known = {x.name for i, x in enumerate(r.head.args) if bound[i] and isinstance(x, Var)} | {v for x in rest if not x.absent for v in x.variables}
+        used = known | {v for x in rest for v in x.variables} | {v for t in r.tests for v in t.variables}
+        if (
+            len(again) > 1 or again[0].absent or any(_of(x) in heads for x in rest)
+            or len(names) < len(free) or names & used or [again[0].args[i] for i in free] != kept
+            or any(isinstance(x, Var) and x.name not in known for i, x in enumerate(again[0].args) if bound[i])
+        ):
+            return False
+    return recursive
+
+
+def _of(a: Atom) -> tuple[str, int, bool]:
+    return a.predicate, len(a.args), a.negated and not a.absent
 
 
 def seed_of(goal: Atom) -> tuple[str, tuple]:

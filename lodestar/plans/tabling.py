@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestar.plans.base import Base
 from lodestar.plans.rules import ANY, Atom, Rule, Var, matches
@@ -86,13 +87,8 @@ class Tabled:
             whole = _whole(goal)
             seen = self._seen(goal)
             run, inner = self.base.demand(whole, self.rules)
-            args = tuple(Var(f"F{i}") for i in range(len(goal.args)))
-            rows = matches(run.base.relation(inner.key), Atom(inner.predicate, args, inner.negated))
-            narrow = matches(rows.toDF(*(f"a{i + 1}" for i in range(len(args)))), whole)
-            columns = [narrow[x.name] if isinstance(x, Var) else None for x in whole.args]
-            from pyspark.sql import functions as F
-
-            kept = narrow.select(*((c if c is not None else F.lit(x)).alias(f"a{i + 1}") for i, (c, x) in enumerate(zip(columns, whole.args, strict=True))))
+            found = run.base.query(inner)
+            kept = found.select(*((F.col(x.name) if isinstance(x, Var) else F.lit(x)).alias(f"a{i + 1}") for i, x in enumerate(whole.args)))
             table = Table(whole, settle(kept.distinct(), "answers"), seen)
         else:
             self.hits += 1
