@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.sources.tables import drop
@@ -33,7 +33,7 @@ BINS_LOG2 = 7
 BINS = 1 << BINS_LOG2
 SIMILAR = 85
 ODD = np.uint64(0x9E3779B97F4A7C15)
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 #: Attempts at borrowing that are drawn at a time.
 ATTEMPTS = 64
 
@@ -171,52 +171,61 @@ Sets = Callable[[DataFrame], DataFrame]
 
 
 def linked(edges: DataFrame, distinct: DataFrame, sets: Sets, full: DataFrame | None, percent: int) -> DataFrame:
-    """The edges (``a, b``) whose full sets are so similar; sizes rule out most before sets are made.
+    """The edges (``a, b, na, nb``, with the sizes of the sets) whose full sets are so similar, as ``a, b``.
 
     ``full`` has the sets already, if they were made for these nodes.
     """
-    size = distinct.select("node", "n_shingles")
-    sized = edges.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    sized = settle(sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), "sized")
     own = full
     if full is None:
-        nodes = sized.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         own = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
-    rows = sized.join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a")
+    rows = edges.join(own.toDF("b", "sb"), "b").join(own.toDF("a", "sa"), "a")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     found = settle(rows.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
-    drop(sized)
     if full is None:
         drop(own)
     return found
 
 
-def alone(full: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
-    """The nodes that can't be linked with any other of ``full``: so many of their shingles none of those has.
+def most(shared: Column, size: Column, percent: int) -> Column:
+    """The largest set that one of a size can be linked with, if it has no more than ``shared`` shingles in common with any.
 
-    Where u of n shingles are a set's own, its similarity to any other is at most (n - u) / n.
+    Sets of sizes n and m with c in common are linked if (100 + percent) * c >= percent * (n + m).
     """
+    return F.floor(shared * (100 + percent) / percent).cast("long") - size
+
+
+def bounds(full: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
+    """``node, n, most`` of the nodes of ``full``: a shingle that no other of them has can't be shared with any."""
     each = full.select("node", F.explode("shingles").alias("shingle"))
     own = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    counted = own.groupBy("node").agg(F.count("*").alias("u")).join(distinct.select("node", "n_shingles"), "node")
-    return counted.where(100 * (F.col("n_shingles") - F.col("u")) < percent * F.col("n_shingles")).select("node")
+    counted = full.select("node").join(own.groupBy("node").agg(F.count("*").alias("u")), "node", "left")
+    sized = counted.join(distinct.select("node", F.col("n_shingles").alias("n")), "node")
+    return sized.select("node", "n", most(F.col("n") - F.coalesce("u", F.lit(0)), F.col("n"), percent).alias("most"))
+
+
+def _hopeful(members: DataFrame) -> DataFrame:
+    """Members that a set of their bucket's sizes may be linked with, as far as both sides' bounds go."""
+    of = members.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("most").alias("most_most"))
+    return members.join(of, "bucket").where("most >= least_n and n <= most_most").select(*members.columns)
 
 
 def _unsettled(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """``bucket, node``: members of buckets in which several components meet."""
+    """Members (``bucket, node, n, most``) of buckets in which several components meet, with their ``root``."""
     rooted = settle(_rooted(members, found), "rooted")
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    left = settle(rooted.join(apart, "bucket", "left_semi").select("bucket", "node"), "open")
+    left = settle(rooted.join(apart, "bucket", "left_semi"), "open")
     drop(rooted)
     return left
 
 
 def _rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """``bucket, node, root``: members with the root of their component so far."""
+    """Members with the root of their component so far."""
+    members = members.select("bucket", "node", "n", "most")
     if found is None:
-        return members.select("bucket", "node", F.col("node").alias("root"))
+        return members.withColumn("root", F.col("node"))
     joined = members.join(found.toDF("node", "root"), "node", "left")
-    return joined.select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    return joined.select(*members.columns, F.coalesce("root", "node").alias("root"))
 
 
 def merged(found: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -238,13 +247,15 @@ def links(distinct: DataFrame, sets: Sets, percent: int = SIMILAR) -> DataFrame:
     """``node, component`` over all links between distinct sets that share a bucket.
 
     ``distinct`` has ``node, key, n_shingles, buckets``; ``sets`` gives the full sets of nodes.
-    ``open`` holds the buckets with members not yet compared. Compared members leave it, and a
-    bucket leaves it once its members lie in one component. After a round, members that the
-    shingles no other open member has keep from any link leave too.
+    ``left`` holds the members of buckets that are not yet compared. Compared members leave it,
+    and a bucket does once its members lie in one component. Sets whose sizes, or whose
+    shingles that no other open member has, keep them from being alike are not compared; a
+    member that this keeps from every other in its bucket leaves too.
     """
-    spread = distinct.select("node", F.explode("buckets").alias("bucket"))
-    many = settle(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
-    left = settle(spread.join(small(many), "bucket", "left_semi"), "open")
+    spread = distinct.select("node", F.explode("buckets").alias("bucket"), F.col("n_shingles").alias("n"))
+    many = settle(spread.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1").select("bucket"), "shared")
+    size = spread.withColumn("most", F.floor(F.col("n") * 100 / percent).cast("long"))
+    left = settle(_rooted(size.join(small(many), "bucket", "left_semi"), None), "open")
     held: DataFrame | None = None
     found: DataFrame | None = None
     full: DataFrame | None = None
@@ -255,24 +266,27 @@ def links(distinct: DataFrame, sets: Sets, percent: int = SIMILAR) -> DataFrame:
         if held is not None:
             ends = held.select(F.explode(F.array("a", "b")).alias("node"))
             place = left.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left")
-        order = F.struct((-F.coalesce("links", F.lit(0))).alias("less"), F.xxhash64("node").alias("mix"), "node")
+        order = F.struct((-F.coalesce("links", F.lit(0))).alias("less"), F.xxhash64("node").alias("mix"), "node", "n", "most", "root")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 3 * turn))
-        centres = place.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("least"))
-        centres = settle(centres.select("bucket", F.col("least.node").alias("centre")), "centres")
-        rooted = settle(_rooted(left, found), "rooted")
-        mine = rooted.select("bucket", F.col("node").alias("centre"), F.col("root").alias("centre_root")).join(centres, ["bucket", "centre"], "left_semi")
-        met = rooted.join(mine, "bucket").where("root != centre_root")
-        edges = settle(met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "stars")
+        centres = place.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("c")).select("bucket", "c.*")
+        centres = settle(centres.select("bucket", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "most", "root"))), "centres")
+        fits = (left["bucket"] == centres["bucket"]) & F.expr("root != c_root and n <= c_most and c_n <= most")
+        first = F.col("node") < F.col("c_node")
+        ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in
+                (("node", "c_node", "a"), ("c_node", "node", "b"), ("n", "c_n", "na"), ("c_n", "n", "nb"))]
+        edges = settle(left.join(centres, fits).select(*ends).distinct(), "stars")
         new = linked(edges, distinct, sets, full, percent)
         found = merged(found, new)
         held = new if held is None else held.union(new)
-        before = [left, centres, rooted, edges, *([full] if full is not None else [])]
-        left = _unsettled(left.join(centres.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti"), found)
+        before = [left, centres, edges, *([full] if full is not None else [])]
+        rest = left.join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
+        left = _unsettled(rest, found)
         if not left.isEmpty():
             nodes = left.select("node").distinct()
             full = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
-            before.append(left)
-            left = _unsettled(left.join(alone(full, distinct, percent), "node", "left_anti"), found)
+            known = settle(bounds(full, distinct, percent), "bounds")
+            before += [left, known]
+            left = _unsettled(_hopeful(left.select("bucket", "node").join(known, "node")), found)
         for table in before:
             drop(table)
         turn += 1
