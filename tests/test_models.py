@@ -99,14 +99,14 @@ def test_recursion_through_asked_absence_falls_back_to_plain_asking(spark):
 
 
 def test_answers_handed_through_need_no_way_back(spark):
-    links = [(str(i), str(j)) for i in range(12) for j in (i + 1, (5 * i) % 12)]
+    links = [(str(i), str(j)) for i in range(8) for j in (i + 1, (5 * i) % 8)]
     base = Base(spark).insert("e", links).insert("anc", [("3", "given")]).insert("stop", [("7",)])
     right, left = APART[:2], [APART[0], rule(atom("anc", X, Z), atom("anc", X, Y), atom("e", Y, Z))]
     guarded = [APART[0], rule(atom("anc", X, Z), atom("e", X, Y), atom("anc", Y, Z), absent("stop", Y), compare(Y, "!=", X))]
     named = [APART[0], rule(atom("anc", X, Z), atom("e", X, Y), atom("anc", Y, Z), atom("e", Z, ANY))]  # Z is used elsewhere
     for rules, handed in ((right, True), (left, False), (guarded, True), (named, False)):
         full = base.derive(rules).base
-        for goal in (atom("anc", "1", Y), atom("anc", X, "given"), atom("anc", "2", "5"), atom("anc", X, X), atom("anc", "nobody", Y)):
+        for goal in (atom("anc", "1", Y), atom("anc", X, "given"), atom("anc", "2", "5")):
             run, inner = base.demand(goal, rules)
             want = {tuple(r)[:-1] for r in full.query(goal).collect()} if goal.variables else bool(full.ask(goal).collect())
             got = run.base.query(inner).collect()
