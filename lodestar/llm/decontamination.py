@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import kept, settle
+from .shared import kept, settle, trimmed
 
 WINDOW = 13
 SHARD_WORDS = 500_000
@@ -147,7 +147,7 @@ def _search(docs: DataFrame, phrases: Callable[[], Iterator[Phrases]], id_col: s
             yield done()
 
     kind_of = docs.schema[id_col].dataType.simpleString()
-    return docs.mapInArrow(searched, f"`{id_col}` {kind_of}, spans array<struct<start:long,end:long>>, items array<string>, n_words long")
+    return docs.mapInArrow(trimmed(searched), f"`{id_col}` {kind_of}, spans array<struct<start:long,end:long>>, items array<string>, n_words long")
 
 
 def _blocks(items: DataFrame, window: int) -> Callable[[], Iterator[Phrases]]:

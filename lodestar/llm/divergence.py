@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import kept, settle
+from .shared import kept, settle, trimmed
 
 LEAST_DOCS = 30
 SMOOTHING = 5
@@ -81,7 +81,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         yield from emitted()
 
     own = docs.select("lang", "source", F.col("text").cast("binary").alias("text"))
-    rows = own.mapInArrow(counted, "lang string, source string, term binary, count bigint, docs bigint")
+    rows = own.mapInArrow(trimmed(counted), "lang string, source string, term binary, count bigint, docs bigint")
     return rows.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
@@ -154,7 +154,7 @@ def joint_counts(cells: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pandas(total, preserve_index=False)
 
     rows = cells.select("lang", "term", "source", "count").repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    found = rows.mapInArrow(tallied, "lang string, s string, t string, a bigint, b bigint, n bigint")
+    found = rows.mapInArrow(trimmed(tallied), "lang string, s string, t string, a bigint, b bigint, n bigint")
     return found.groupBy(*names).agg(F.sum("n").alias("n"))
 
 

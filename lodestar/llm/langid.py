@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import hash63, kept, settle, share_bound
+from .shared import hash63, kept, settle, share_bound, trim, trimmed
 
 NGRAM = 4
 SLOTS = 1 << 20
@@ -159,7 +159,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
                 arrays = [np.full(len(grams), lang, np.int32), grams.view(np.int64), n]
                 yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["lang", "gram", "n"])
 
-    grams = sample.select("lang", "text").mapInArrow(counted, "lang int, gram long, n long")
+    grams = sample.select("lang", "text").mapInArrow(trimmed(counted), "lang int, gram long, n long")
     grams = settle(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     total = {r.lang: r.n for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     totals = F.create_map(*(F.lit(x) for lang, n in total.items() for x in (lang, float(n)))) if total else None
@@ -194,7 +194,9 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
         import pandas as pd
 
         kept("languages", lambda: None)
-        return pd.DataFrame([filters.predict(t) for t in texts], columns=["lang_pred", "score"])
+        found = pd.DataFrame([filters.predict(t) for t in texts], columns=["lang_pred", "score"])
+        trim()
+        return found
 
     # The name is free, as the column was dropped.
     guess = docs.withColumn("lang_pred", guessed(F.col(text_col).cast("string")))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lodestar.sources.tables import drop
 
 from .components import components
-from .shared import kept, settle, small
+from .shared import kept, settle, small, trimmed
 
 SEED = 42
 #: Two sets at the similarity of the threshold share no bucket with probability (1 - 0.85 ** 4) ** 32 < 1e-10.
@@ -133,7 +133,7 @@ def sketches(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFra
             )
 
     own = docs.select(F.col(id_col).alias(id_col), _text_key(text_col), _text(text_col).alias("text"))
-    return own.mapInArrow(hashed, f"`{id_col}` {kind}, key binary, n_shingles bigint, node binary, buckets array<bigint>")
+    return own.mapInArrow(trimmed(hashed), f"`{id_col}` {kind}, key binary, n_shingles bigint, node binary, buckets array<bigint>")
 
 
 def _text(text_col: str):
@@ -161,7 +161,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int, text_col: str) ->
 
     few = small(wanted)
     rows = docs.select(_text_key(text_col), _text(text_col).alias("text")).join(few.select("key"), "key", "left_semi")
-    made = settle(rows.mapInArrow(hashed, "key binary, shingles array<bigint>"), "shingles")
+    made = settle(rows.mapInArrow(trimmed(hashed), "key binary, shingles array<bigint>"), "shingles")
     full = settle(made.join(few, "key").select("node", "shingles").dropDuplicates(["node"]), "full")
     drop(made)
     return full

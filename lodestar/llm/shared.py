@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import TypeVar
 
 import pyarrow as pa
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.sources.tables import settle, shared_folder
 
-__all__ = ["hash63", "kept", "settle", "share_bound", "shared_folder", "small", "table"]
+__all__ = ["hash63", "kept", "settle", "share_bound", "shared_folder", "small", "table", "trim", "trimmed"]
 
 T = TypeVar("T")
 _KEPT: dict[str, object] = {}
@@ -51,8 +51,23 @@ def kept(kind: str, make: Callable[[], T]) -> T:
     if kind not in _KEPT:
         _KEPT.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        trim()
         _KEPT[kind] = make()
     return _KEPT[kind]
+
+
+def trim() -> None:
+    """Give room that isn't used any more back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(task: Callable[[Iterator[T]], Iterator[T]]) -> Callable[[Iterator[T]], Iterator[T]]:
+    """A task that trims at its end: its worker may lie idle beside tasks of the JVM for a while."""
+
+    def run(batches: Iterator[T]) -> Iterator[T]:
+        yield from task(batches)
+        trim()
+
+    return run

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import kept, settle
+from .shared import kept, settle, trimmed
 
 BITS = 64
 SEED = 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [id_col, "fp"])
 
     own = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").cast("binary"))
-    return own.mapInArrow(hashed, f"`{id_col}` {own.schema[0].dataType.simpleString()}, fp long")
+    return own.mapInArrow(trimmed(hashed), f"`{id_col}` {own.schema[0].dataType.simpleString()}, fp long")
 
 
 def ball_links(fps: DataFrame) -> DataFrame:
