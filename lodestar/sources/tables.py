@@ -6,6 +6,8 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,26 @@ def write(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
+#: Scratch folders of this process.
+_MADE: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made within are removed at the end; write what is to be kept before it.
+
+    ``with scratch(spark): query(spark).write.parquet(place)``.
+    """
+    first = len(_MADE)
+    try:
+        yield
+    finally:
+        for place in _MADE[first:]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        del _MADE[first:]
+
+
 class Parts:
     """A relation kept as Parquet parts in the shared folder; each round of a loop adds one.
 
@@ -40,6 +62,8 @@ class Parts:
     def __init__(self, spark: SparkSession, name: str, base: str | None = None) -> None:
         self.spark, self.paths, self.schema = spark, [], None
         self.base = base or f"{shared_folder(spark)}/lodestar-{name}-{uuid.uuid4().hex}"
+        if base is None:
+            _MADE.append(self.base)
 
     def add(self, df: DataFrame) -> DataFrame:
         path = f"{self.base}/part-{uuid.uuid4().hex}"

@@ -137,3 +137,19 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="share"):
         tables.shared_folder(Session())
+
+
+def test_scratch_tables_go_once_the_result_is_written(spark, tmp_path):
+    import os
+
+    x, y, z = Var("X"), Var("Y"), Var("Z")
+    rules = [rule(atom("t", x, y), atom("e", x, y)), rule(atom("t", x, z), atom("t", x, y), atom("e", y, z))]
+    kept = tables.settle(spark.range(3), "kept")
+    folder = tables.shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    with tables.scratch(spark):
+        base = Base(spark).insert("e", [("a", "b"), ("b", "c")])
+        base.derive(rules).base.relation(("t", 2, False)).write.parquet(f"{tmp_path}/t")
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before and kept.count() == 3
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 3
