@@ -210,24 +210,27 @@ def _hopeful(members: DataFrame) -> DataFrame:
     return members.join(of, "bucket").where("most >= least_n and n <= most_most").select(*members.columns)
 
 
-def _unsettled(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members (``bucket, node, n, most``) of buckets in which several components meet, with their ``root``."""
-    rooted = settle(_rooted(members, found), "rooted")
+def _unsettled(members: DataFrame, found: DataFrame, held: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The members (``bucket, node, n, most``) of buckets in which several components meet, with ``root`` and ``links``.
+
+    What is known of a node is joined to it once, beside the short list of its buckets;
+    ``known`` brings bounds, and members that they leave without hope go.
+    """
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1").select("bucket")
+    nodes = members.join(crowded, "bucket", "left_semi").groupBy("node")
+    nodes = nodes.agg(F.first("n").alias("n"), F.first("most").alias("most"), F.collect_list("bucket").alias("buckets"))
+    nodes = nodes if known is None else nodes.drop("n", "most").join(known, "node")
+    degree = held.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+    nodes = nodes.join(found.toDF("node", "root"), "node", "left").join(degree, "node", "left")
+    some = [F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links")]
+    rooted = nodes.select(F.explode("buckets").alias("bucket"), "node", "n", "most", *some)
+    rooted = settle(rooted if known is None else _hopeful(rooted), "rooted")
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
     left = settle(rooted.join(apart, "bucket", "left_semi"), "open")
     drop(rooted)
     return left
 
 
-def _rooted(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """Members with the root of their component so far."""
-    members = members.select("bucket", "node", "n", "most")
-    if found is None:
-        return members.withColumn("root", F.col("node"))
-    joined = members.join(found.toDF("node", "root"), "node", "left")
-    return joined.select(*members.columns, F.coalesce("root", "node").alias("root"))
-
-
 def merged(found: DataFrame | None, new: DataFrame) -> DataFrame:
     """``node, component`` after new links: only the components that they join are worked on."""
     if found is None:
@@ -255,20 +258,17 @@ def links(distinct: DataFrame, sets: Sets, percent: int = SIMILAR) -> DataFrame:
     spread = distinct.select("node", F.explode("buckets").alias("bucket"), F.col("n_shingles").alias("n"))
     many = settle(spread.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1").select("bucket"), "shared")
     size = spread.withColumn("most", F.floor(F.col("n") * 100 / percent).cast("long"))
-    left = settle(_rooted(size.join(small(many), "bucket", "left_semi"), None), "open")
+    left = size.join(small(many), "bucket", "left_semi").withColumns({"root": F.col("node"), "links": F.lit(0).cast("long")})
+    left = settle(left.select("bucket", "node", "n", "most", "root", "links"), "open")
     held: DataFrame | None = None
     found: DataFrame | None = None
     full: DataFrame | None = None
     turn = 0
     while not left.isEmpty():
         # Members with many links so far first: a text that many copies were made of is among them.
-        place = left.withColumn("links", F.lit(0).cast("long"))
-        if held is not None:
-            ends = held.select(F.explode(F.array("a", "b")).alias("node"))
-            place = left.join(ends.groupBy("node").agg(F.count("*").alias("links")), "node", "left")
-        order = F.struct((-F.coalesce("links", F.lit(0))).alias("less"), F.xxhash64("node").alias("mix"), "node", "n", "most", "root")
+        order = F.struct((-F.col("links")).alias("less"), F.xxhash64("node").alias("mix"), "node", "n", "most", "root")
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 3 * turn))
-        centres = place.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("c")).select("bucket", "c.*")
+        centres = left.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("c")).select("bucket", "c.*")
         centres = settle(centres.select("bucket", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "most", "root"))), "centres")
         fits = (left["bucket"] == centres["bucket"]) & F.expr("root != c_root and n <= c_most and c_n <= most")
         first = F.col("node") < F.col("c_node")
@@ -280,13 +280,13 @@ def links(distinct: DataFrame, sets: Sets, percent: int = SIMILAR) -> DataFrame:
         held = new if held is None else held.union(new)
         before = [left, centres, edges, *([full] if full is not None else [])]
         rest = left.join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
-        left = _unsettled(rest, found)
+        left = _unsettled(rest.select("bucket", "node", "n", "most"), found, held)
         if not left.isEmpty():
             nodes = left.select("node").distinct()
             full = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
             known = settle(bounds(full, distinct, percent), "bounds")
             before += [left, known]
-            left = _unsettled(_hopeful(left.select("bucket", "node").join(known, "node")), found)
+            left = _unsettled(left.select("bucket", "node", "n", "most"), found, held, known)
         for table in before:
             drop(table)
         turn += 1
