@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, settle
+from .shared import kept, settle, trimmed
 
 SIZE = 2048
 END_ID = 1
-CACHED_WORDS = 700_000
+CACHED_WORDS = 400_000
 #: Bytes of text whose words are looked up together; longer texts are taken in parts.
 TOGETHER = 4 << 20
 #: Words encoded in one call.
@@ -232,7 +232,7 @@ def pieces(
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
     own = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary"))
     kinds = ", ".join(f"`{n}` {'array<int>' if n == 'ids' else 'long'}" for n in names)
-    return own.mapInArrow(cut, kinds)
+    return own.mapInArrow(trimmed(cut), kinds)
 
 
 def pack_histogram(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
