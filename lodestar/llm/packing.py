@@ -27,11 +27,11 @@ from .shared import kept, settle, trimmed
 
 SIZE = 2048
 END_ID = 1
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 #: Bytes of text whose words are looked up together; longer texts are taken in parts.
-TOGETHER = 4 << 20
+TOGETHER = 3 << 20
 #: Words encoded in one call.
-ENCODED = 20_000
+ENCODED = 8_000
 #: Lower-cased words that the tokenizer's normaliser leaves alone and its pre-tokeniser takes as one run.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
