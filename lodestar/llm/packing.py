@@ -23,15 +23,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept, settle, trimmed
+from .shared import batches_of, kept, settle, trimmed
 
 SIZE = 2048
 END_ID = 1
 CACHED_WORDS = 300_000
 #: Bytes of text whose words are looked up together; longer texts are taken in parts.
-TOGETHER = 3 << 20
+TOGETHER = 1 << 20
 #: Words encoded in one call.
 ENCODED = 8_000
+#: Bytes of text that a worker is handed at a time.
+HANDED = 4 << 20
 #: Lower-cased words that the tokenizer's normaliser leaves alone and its pre-tokeniser takes as one run.
 PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
@@ -197,11 +199,13 @@ def pieces(
     keep_ids: bool = False,
     id_col: str = "doc_id",
     text_col: str = "text",
+    number: bool = False,
 ) -> DataFrame:
     """Whole texts as pieces of at most ``size`` ids: ``<id_col>, start, length, ids_crc32, doc_tokens``.
 
     A document is its ids and then the end id; a null text is empty. ``keep_ids`` adds the
-    ids themselves as ``ids array<int>``.
+    ids themselves as ``ids array<int>``, ``number`` the numbers of ``numbered``: the same
+    worker gives them, as a second one a task would come to hold tokenizers too.
     """
     end = np.array([END_ID], "<u4").tobytes()
 
@@ -230,9 +234,12 @@ def pieces(
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids]
+    def cut_and_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from counted(cut(batches), size)
+
     own = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").cast("binary"))
     kinds = ", ".join(f"`{n}` {'array<int>' if n == 'ids' else 'long'}" for n in names)
-    return own.mapInArrow(trimmed(cut), kinds)
+    return own.mapInArrow(trimmed(cut_and_count), f"{kinds}, {NUMBERS}") if number else own.mapInArrow(trimmed(cut), kinds)
 
 
 def pack_histogram(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int]]:
@@ -261,28 +268,32 @@ def pack_histogram(counts: dict[int, int], size: int = SIZE) -> list[tuple[int,
     return slots
 
 
+#: What ``numbered`` adds.
+NUMBERS = "_part long, _nth long"
+
+
+def counted(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """A task's batches with ``_part`` and ``_nth`` after their columns, of which ``length`` is one."""
+    part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+    for b in batches:
+        length = b.column("length").to_numpy(zero_copy_only=False)
+        order = np.argsort(length, kind="stable")
+        held = np.bincount(length, minlength=size + 1)
+        first = np.cumsum(held) - held
+        nth = np.empty(len(length), np.int64)
+        nth[order] = np.arange(len(length)) - first[length[order]] + seen[length[order]]
+        seen += held
+        arrays = [*b.columns, pa.array(np.full(len(nth), part)), pa.array(nth)]
+        yield pa.RecordBatch.from_arrays(arrays, [*b.schema.names, "_part", "_nth"])
+
+
 def numbered(table: DataFrame, size: int) -> DataFrame:
     """Add ``_part``, the task that a row was in, and ``_nth``, its number among the task's rows of its length, from 0.
 
     The caller settles the result, so the numbers are those of one run of each task.
     """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for b in batches:
-            length = b.column(at).to_numpy(zero_copy_only=False)
-            order = np.argsort(length, kind="stable")
-            held = np.bincount(length, minlength=size + 1)
-            first = np.cumsum(held) - held
-            nth = np.empty(len(length), np.int64)
-            nth[order] = np.arange(len(length)) - first[length[order]] + seen[length[order]]
-            seen += held
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(nth), part)), pa.array(nth)], [*names, "_part", "_nth"])
-
-    names = table.columns
-    at = names.index("length")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
-    return table.mapInArrow(count, f"{kinds}, _part long, _nth long")
+    return table.mapInArrow(lambda batches: counted(batches, size), f"{kinds}, {NUMBERS}")
 
 
 def pack(table: DataFrame, size: int = SIZE) -> DataFrame:
@@ -293,7 +304,13 @@ def pack(table: DataFrame, size: int = SIZE) -> DataFrame:
     in one place. At any time there are at most two patterns a length, so the number of slots
     depends on ``size`` alone and they are broadcast. An empty table gives an empty result.
     """
-    table = settle(numbered(table, size), "pieces")
+    return placed(numbered(table, size), size)
+
+
+def placed(table: DataFrame, size: int) -> DataFrame:
+    """A table of ``numbered`` pieces, packed."""
+    with batches_of(table.sparkSession, HANDED):
+        table = settle(table, "pieces")
     held = settle(table.groupBy("length", "_part").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = np.array(pack_histogram(counts, size), np.int64).reshape(-1, 5)
@@ -330,6 +347,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE, keep_
     id alone; which of several equally long pieces goes where is left to their places in the
     table. Columns of ``docs`` other than ``doc_id`` and ``text`` are left out.
     """
-    done = pack(pieces(docs, tokenizer_path, size, keep_ids), size)
+    done = placed(pieces(docs, tokenizer_path, size, keep_ids, number=True), size)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * keep_ids]
     return done.select(*names)

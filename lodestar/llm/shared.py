@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lodestar.sources.tables import settle, shared_folder
 
-__all__ = ["hash63", "kept", "settle", "share_bound", "shared_folder", "small", "table", "trim", "trimmed"]
+__all__ = ["batches_of", "hash63", "kept", "settle", "share_bound", "shared_folder", "small", "table", "trim", "trimmed"]
 
 T = TypeVar("T")
 _KEPT: dict[str, object] = {}
@@ -32,6 +32,21 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Jobs run within hand Python batches of about ``size`` bytes at most; the session's own limit holds again afterwards.
+
+    Both sides of the pipe hold a batch or two, and the JVM's grow by doubling. A row that is longer is a batch.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def hash63(column: str) -> Column:
     """A hash of 63 bits, which shares however small can be taken by."""
     return F.xxhash64(column).bitwiseAND(F.lit((1 << 63) - 1))

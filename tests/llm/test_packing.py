@@ -121,3 +121,21 @@ def test_equal_pieces_spread(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_one_worker_a_task_cuts_and_numbers_small_batches(spark, monkeypatch):
+    name, seen, settle = "spark.sql.execution.arrow.maxBytesPerBatch", {}, packing.settle
+
+    def seeing(table, what):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        seen[what] = (plan.count("MapInArrow"), int(spark.conf.get(name).rstrip("b")))
+        return settle(table, what)
+
+    monkeypatch.setattr(packing, "settle", seeing)
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(i, "some words here " * i) for i in range(50)], "doc_id long, text string")
+    got = packing.pack_documents(docs, PATH, 64).collect()
+    assert seen["pieces"] == (1, packing.HANDED) and spark.conf.get(name) == before
+    assert sum(r.length for r in got) == sum({r.doc_id: r.doc_tokens for r in got}.values())
+    held = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    assert all(x[1] + x[2] == y[1] if x[0] == y[0] else y[1] == 0 for x, y in zip(held, held[1:]))
