@@ -210,21 +210,29 @@ def _hopeful(members: DataFrame) -> DataFrame:
     return members.join(of, "bucket").where("most >= least_n and n <= most_most").select(*members.columns)
 
 
-def _unsettled(members: DataFrame, found: DataFrame, held: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """The members (``bucket, node, n, most``) of buckets in which several components meet, with ``root`` and ``links``.
+def _crowded(members: DataFrame) -> DataFrame:
+    """The members of buckets that have others."""
+    return members.join(members.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1").select("bucket"), "bucket", "left_semi")
 
-    What is known of a node is joined to it once, beside the short list of its buckets;
-    ``known`` brings bounds, and members that they leave without hope go.
+
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets in which several components meet."""
+    rooted = members.join(found.toDF("node", "root"), "node", "left").select("bucket", F.coalesce("root", "node").alias("root"))
+    apart = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
+    return members.join(apart, "bucket", "left_semi")
+
+
+def _unsettled(members: DataFrame, found: DataFrame, held: DataFrame, known: DataFrame) -> DataFrame:
+    """The members (``bucket, node``) of buckets in which several components meet, with ``n, most, root, links``.
+
+    What is known of a node, with the bounds that ``known`` brings, is joined to it once, beside the
+    short list of its buckets; members that the bounds leave without hope go.
     """
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1").select("bucket")
-    nodes = members.join(crowded, "bucket", "left_semi").groupBy("node")
-    nodes = nodes.agg(F.first("n").alias("n"), F.first("most").alias("most"), F.collect_list("bucket").alias("buckets"))
-    nodes = nodes if known is None else nodes.drop("n", "most").join(known, "node")
+    nodes = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets")).join(known, "node")
     degree = held.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     nodes = nodes.join(found.toDF("node", "root"), "node", "left").join(degree, "node", "left")
     some = [F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links")]
-    rooted = nodes.select(F.explode("buckets").alias("bucket"), "node", "n", "most", *some)
-    rooted = settle(rooted if known is None else _hopeful(rooted), "rooted")
+    rooted = settle(_hopeful(nodes.select(F.explode("buckets").alias("bucket"), "node", "n", "most", *some)), "rooted")
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
     left = settle(rooted.join(apart, "bucket", "left_semi"), "open")
     drop(rooted)
@@ -279,14 +287,18 @@ def links(distinct: DataFrame, sets: Sets, percent: int = SIMILAR) -> DataFrame:
         found = merged(found, new)
         held = new if held is None else held.union(new)
         before = [left, centres, edges, *([full] if full is not None else [])]
-        rest = left.join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
-        left = _unsettled(rest.select("bucket", "node", "n", "most"), found, held)
+        rest = left.join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
+        left = settle(_crowded(rest) if turn else _apart(rest, found), "rest")
         if not left.isEmpty():
-            nodes = left.select("node").distinct()
-            full = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
+            nodes = settle(left.select("node").distinct(), "nodes")
+            # Who is open later is open now, so the texts are hashed once.
+            if full is None:
+                full = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
+            else:
+                full = settle(full.join(small(nodes), "node", "left_semi"), "full")
             known = settle(bounds(full, distinct, percent), "bounds")
-            before += [left, known]
-            left = _unsettled(left.select("bucket", "node", "n", "most"), found, held, known)
+            before += [left, nodes, known]
+            left = _unsettled(left, found, held, known)
         for table in before:
             drop(table)
         turn += 1

@@ -98,6 +98,31 @@ def test_every_pair_of_a_bucket_is_settled(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_open_members_are_hashed_once_and_spread_once_a_turn(spark, monkeypatch):
+    """However many turns a bucket takes, and the components are those of all pairs."""
+    rng, made, settle = random.Random(4), [], minhash.settle
+    monkeypatch.setattr(minhash, "settle", lambda table, name: (made.append(name), settle(table, name))[1])
+    common = rng.sample(range(10_000), 100)
+    sets = {f"{i:02}": sorted({*common[: 100 - i % 14], *range(20_000 + 100 * (i // 2), 20_000 + 100 * (i // 2) + i % 14)}) for i in range(40)}
+    rows = [(k.encode(), k.encode(), len(s), s, [1, 2]) for k, s in sets.items()]
+    table = spark.createDataFrame(rows, "node binary, key binary, n_shingles long, shingles array<long>, buckets array<long>").cache()
+
+    def full(wanted):
+        made.append("hashed")
+        return settle(table.join(wanted.select("node"), "node", "left_semi").select("node", "shingles"), "full")
+
+    found = {bytes(r.node).decode(): bytes(r.component).decode() for r in minhash.links(table.drop("shingles"), full).collect()}
+    least = {k: k for k in sets}
+    for _ in sets:
+        for a, x in sets.items():
+            for b, y in sets.items():
+                if 100 * len({*x} & {*y}) >= 85 * len({*x} | {*y}):
+                    least[a] = min(least[a], least[b])
+    assert {k: found.get(k, k) for k in sets} == least and len(set(least.values())) > 1
+    turns = made.count("stars")
+    assert turns > 2 and made.count("hashed") == 2 and made.count("rooted") < turns
+
+
 def test_sketches_estimate_the_similarity():
     rng = np.random.default_rng(3)
     for size in (8, 60, 3000):
