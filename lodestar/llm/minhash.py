@@ -5,9 +5,10 @@ least hash. An empty bin borrows from a bin that a hash of its own number and of
 names, until one isn't empty, so the borrowed values are as good as drawn anew. Bands of bins
 are buckets. In a bucket every member is compared with one centre, not with every other;
 the links that hold on the full sets are joined to components, and a bucket whose members
-still lie in several components gets further centres, eight times as many each round, until no two
-members of different components are left uncompared. So all pairs that share a bucket are
-settled, and a group of near copies costs about as many comparisons as it has members.
+still lie in several components gets another centre, as long as that finds many links. What
+is left open then is settled exactly: pairs of different components are made from the rare
+shingles that two sets must share to be linked. So all pairs that share a bucket are settled,
+and a group of near copies costs about as many comparisons as it has members.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.sources.tables import drop
@@ -36,6 +37,9 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 CACHED_WORDS = 150_000
 #: Attempts at borrowing that are drawn at a time.
 ATTEMPTS = 64
+#: Turns that compare centres at least; a later one is the last if it compares more pairs a link than this.
+TURNS = 3
+FRUITFUL = 20
 
 
 class Words(dict):
@@ -195,50 +199,69 @@ def most(shared: Column, size: Column, percent: int) -> Column:
     return F.floor(shared * (100 + percent) / percent).cast("long") - size
 
 
-def bounds(full: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
-    """``node, n, most`` of the nodes of ``full``: a shingle that no other of them has can't be shared with any."""
-    each = full.select("node", F.explode("shingles").alias("shingle"))
-    own = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
-    counted = full.select("node").join(own.groupBy("node").agg(F.count("*").alias("u")), "node", "left")
-    sized = counted.join(distinct.select("node", F.col("n_shingles").alias("n")), "node")
-    return sized.select("node", "n", most(F.col("n") - F.coalesce("u", F.lit(0)), F.col("n"), percent).alias("most"))
+def _members(distinct: DataFrame) -> DataFrame:
+    """``bucket, node, n, crowd, root`` of the members of buckets that have others.
 
-
-def _hopeful(members: DataFrame) -> DataFrame:
-    """Members that a set of their bucket's sizes may be linked with, as far as both sides' bounds go."""
-    of = members.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("most").alias("most_most"))
-    return members.join(of, "bucket").where("most >= least_n and n <= most_most").select(*members.columns)
-
-
-def _crowded(members: DataFrame) -> DataFrame:
-    """The members of buckets that have others."""
-    return members.join(members.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1").select("bucket"), "bucket", "left_semi")
-
-
-def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets in which several components meet."""
-    rooted = members.join(found.toDF("node", "root"), "node", "left").select("bucket", F.coalesce("root", "node").alias("root"))
-    apart = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
-    return members.join(apart, "bucket", "left_semi")
-
-
-def _unsettled(members: DataFrame, found: DataFrame, held: DataFrame, known: DataFrame) -> DataFrame:
-    """The members (``bucket, node``) of buckets in which several components meet, with ``n, most, root, links``.
-
-    What is known of a node, with the bounds that ``known`` brings, is joined to it once, beside the
-    short list of its buckets; members that the bounds leave without hope go.
+    ``crowd`` sums the sizes of a node's buckets: of many near copies, the one that the others were made of meets most.
     """
-    nodes = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets")).join(known, "node")
-    degree = held.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    nodes = nodes.join(found.toDF("node", "root"), "node", "left").join(degree, "node", "left")
-    some = [F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).cast("long").alias("links")]
-    rooted = settle(_hopeful(nodes.select(F.explode("buckets").alias("bucket"), "node", "n", "most", *some)), "rooted")
+    spread = distinct.select("node", F.explode("buckets").alias("bucket"), F.col("n_shingles").alias("n"))
+    many = settle(spread.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1"), "shared")
+    crowd = F.sum("of").over(Window.partitionBy("node"))
+    members = settle(spread.join(small(many), "bucket").select("bucket", "node", "n", crowd.alias("crowd"), F.col("node").alias("root")), "open")
+    drop(many)
+    return members
+
+
+def _stars(left: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """``a, b, na, nb`` of every member and its bucket's centre, if they lie in different components and their sizes let them be linked."""
+    sizes = 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
+    fits = (left["bucket"] == centres["bucket"]) & F.expr("root != c_root") & sizes
+    first = F.col("node") < F.col("c_node")
+    ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in
+            (("node", "c_node", "a"), ("c_node", "node", "b"), ("n", "c_n", "na"), ("c_n", "n", "nb"))]
+    return left.join(centres, fits).select(*ends).distinct()
+
+
+def _unsettled(members: DataFrame, centres: DataFrame, found: DataFrame) -> DataFrame:
+    """The members but the centres, with their roots now, of buckets in which several components meet."""
+    rest = members.drop("root").join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti")
+    now = rest.join(found.toDF("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = settle(now.select(*members.columns), "rooted")
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("bucket")
     left = settle(rooted.join(apart, "bucket", "left_semi"), "open")
     drop(rooted)
     return left
 
 
+def rare_pairs(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """``a, b, na, nb`` of all pairs of ``nodes`` (``node, n, root``) that may be linked, of different roots; ``full`` has their sets.
+
+    Shingles are ordered by how many of the nodes have them, rarest first. If the first one
+    that two sets share has ``before`` others before it in one of them, they share ``n -
+    before`` at most, so they are paired only on a shingle that lies so early in both that
+    this, with both sizes, leaves them a chance. No pair that can be linked is lost.
+    """
+    few = small(nodes)
+    each = full.join(few.select("node"), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    # Settled, so that a shingle of very many sets is a plain join, which Spark can split.
+    often = settle(each.groupBy("shingle").agg(F.count("*").alias("of")).where("of > 1"), "often")
+    own = Window.partitionBy("node")
+    # Those that no other has come before all of these, so this is n - before.
+    rest = F.count("*").over(own) - F.row_number().over(own.orderBy("of", "shingle")) + 1
+    placed = each.join(often, "shingle").select("node", "shingle", rest.alias("rest")).join(few, "node")
+    early = placed.select("shingle", "node", "n", "root", most(F.col("rest"), F.col("n"), percent).alias("most"))
+    early = settle(early.where(100 * F.col("most") >= percent * F.col("n")), "early")
+    of = early.groupBy("shingle").agg(F.min("n").alias("least_n"), F.max("most").alias("most_most"), F.min("root").alias("x"), F.max("root").alias("y"))
+    spans = settle(of.where("x != y").drop("x", "y"), "spans")
+    hopeful = settle(early.join(spans, "shingle").where("most >= least_n and n <= most_most").select(*early.columns), "hopeful")
+    others = hopeful.toDF("shingle", *(f"o_{c}" for c in hopeful.columns[1:]))
+    pairs = hopeful.join(others, "shingle").where("node < o_node and root != o_root and n <= o_most and o_n <= most")
+    made = settle(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b"), F.col("n").alias("na"), F.col("o_n").alias("nb")).distinct(), "pairs")
+    for table in (often, early, spans, hopeful):
+        drop(table)
+    return made
+
+
 def merged(found: DataFrame | None, new: DataFrame) -> DataFrame:
     """``node, component`` after new links: only the components that they join are worked on."""
     if found is None:
@@ -258,51 +281,40 @@ def links(distinct: DataFrame, sets: Sets, percent: int = SIMILAR) -> DataFrame:
     """``node, component`` over all links between distinct sets that share a bucket.
 
     ``distinct`` has ``node, key, n_shingles, buckets``; ``sets`` gives the full sets of nodes.
-    ``left`` holds the members of buckets that are not yet compared. Compared members leave it,
-    and a bucket does once its members lie in one component. Sets whose sizes, or whose
-    shingles that no other open member has, keep them from being alike are not compared; a
-    member that this keeps from every other in its bucket leaves too.
+    ``left`` holds the members of buckets that are not yet compared. A turn compares a centre
+    with the others; it leaves the bucket then, and a bucket goes once its members lie in one
+    component. When a turn finds few links, all pairs that are left and may be linked are made
+    from rare shingles.
     """
-    spread = distinct.select("node", F.explode("buckets").alias("bucket"), F.col("n_shingles").alias("n"))
-    many = settle(spread.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1").select("bucket"), "shared")
-    size = spread.withColumn("most", F.floor(F.col("n") * 100 / percent).cast("long"))
-    left = size.join(small(many), "bucket", "left_semi").withColumns({"root": F.col("node"), "links": F.lit(0).cast("long")})
-    left = settle(left.select("bucket", "node", "n", "most", "root", "links"), "open")
-    held: DataFrame | None = None
+    left = _members(distinct)
     found: DataFrame | None = None
     full: DataFrame | None = None
     turn = 0
     while not left.isEmpty():
-        # Members with many links so far first: a text that many copies were made of is among them.
-        order = F.struct((-F.col("links")).alias("less"), F.xxhash64("node").alias("mix"), "node", "n", "most", "root")
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 3 * turn))
-        centres = left.groupBy("bucket", slot.alias("slot")).agg(F.min(order).alias("c")).select("bucket", "c.*")
-        centres = settle(centres.select("bucket", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "most", "root"))), "centres")
-        fits = (left["bucket"] == centres["bucket"]) & F.expr("root != c_root and n <= c_most and c_n <= most")
-        first = F.col("node") < F.col("c_node")
-        ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in
-                (("node", "c_node", "a"), ("c_node", "node", "b"), ("n", "c_n", "na"), ("c_n", "n", "nb"))]
-        edges = settle(left.join(centres, fits).select(*ends).distinct(), "stars")
+        if turn and full is None:
+            # Who is open later is open now, so the texts are hashed once.
+            nodes = left.select("node").distinct()
+            full = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
+        turn += 1
+        order = F.struct((-F.col("crowd")).alias("less"), F.xxhash64("node").alias("mix"), "node", "n", "root")
+        centres = left.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", "c.*")
+        centres = settle(centres.select("bucket", *(F.col(c).alias(f"c_{c}") for c in ("node", "n", "root"))), "centres")
+        edges = settle(_stars(left, centres, percent), "stars")
         new = linked(edges, distinct, sets, full, percent)
         found = merged(found, new)
-        held = new if held is None else held.union(new)
-        before = [left, centres, edges, *([full] if full is not None else [])]
-        rest = left.join(centres.select("bucket", F.col("c_node").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node")
-        left = settle(_crowded(rest) if turn else _apart(rest, found), "rest")
-        if not left.isEmpty():
-            nodes = settle(left.select("node").distinct(), "nodes")
-            # Who is open later is open now, so the texts are hashed once.
-            if full is None:
-                full = sets(settle(distinct.select("node", "key").join(nodes, "node", "left_semi"), "wanted"))
-            else:
-                full = settle(full.join(small(nodes), "node", "left_semi"), "full")
-            known = settle(bounds(full, distinct, percent), "bounds")
-            before += [left, nodes, known]
-            left = _unsettled(left, found, held, known)
+        if turn >= TURNS and new.count() * FRUITFUL < edges.count():
+            break
+        before = [left, centres, edges]
+        left = _unsettled(left, centres, found)
         for table in before:
             drop(table)
-        turn += 1
-    return found if found is not None else distinct.select("node", F.col("node").alias("component")).limit(0)
+    if found is None:
+        return distinct.select("node", F.col("node").alias("component")).limit(0)
+    if left.isEmpty():
+        return found
+    nodes = left.select("node", "n").distinct().join(found.toDF("node", "root"), "node", "left")
+    nodes = settle(nodes.select("node", "n", F.coalesce("root", "node").alias("root")), "nodes")
+    return merged(found, linked(rare_pairs(nodes, full, percent), distinct, sets, full, percent))
 
 
 def near_duplicates(

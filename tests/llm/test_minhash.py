@@ -123,6 +123,47 @@ def test_open_members_are_hashed_once_and_spread_once_a_turn(spark, monkeypatch)
     assert turns > 2 and made.count("hashed") == 2 and made.count("rooted") < turns
 
 
+def test_copies_about_the_threshold_are_not_all_compared(spark, monkeypatch):
+    """Copies of one text, most too far from it and from each other, that share what they changed with the next ones only."""
+    rng, compared, plain_linked = random.Random(6), [], minhash.linked
+    monkeypatch.setattr(minhash, "linked", lambda edges, *more: (compared.append(edges.count()), plain_linked(edges, *more))[1])
+    common = list(range(100))
+    sets = {"original": common}
+    for i in range(150):
+        gone = rng.sample(common, 3 if i % 5 == 0 else rng.randrange(9, 14))
+        near = [1000 + 10 * i + k for k in range(5)] + [1000 + 10 * (i + 1) + k for k in range(9)]
+        sets[f"{i:03}"] = sorted({*common} - {*gone}) + near[: len(gone)]
+        if i % 20 == 7:  # alike to that one alone
+            sets[f"{i:03}+"] = sorted({*sets[f"{i:03}"][1:], 9000 + i})
+    rows = [(k.encode(), k.encode(), len(s), s, [1, 2]) for k, s in sets.items()]
+    table = spark.createDataFrame(rows, "node binary, key binary, n_shingles long, shingles array<long>, buckets array<long>").cache()
+    from lodestar.llm.shared import settle
+
+    got = minhash.links(table.drop("shingles"), lambda wanted: settle(table.join(wanted.select("node"), "node", "left_semi").select("node", "shingles"), "full"))
+    found = {bytes(r.node).decode(): bytes(r.component).decode() for r in got.collect()}
+    least, pairs = {k: k for k in sets}, [(a, b) for a, x in sets.items() for b, y in sets.items() if 100 * len({*x} & {*y}) >= 85 * len({*x} | {*y})]
+    for _ in range(9):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {k: found.get(k, k) for k in sets} == least and len(set(least.values())) > 50
+    assert sum(compared) < 8 * len(sets)
+
+
+def test_rare_pairs_lose_no_link(spark):
+    """All pairs that are linked, of different roots, for sets of many sizes that share common and rare elements."""
+    rng, sets = random.Random(8), {}
+    for i in range(160):
+        base = sets[rng.choice(sorted(sets))] if sets and rng.random() < 0.7 else rng.sample(range(60), rng.randrange(1, 40))
+        sets[f"{i:03}"] = sorted({*rng.sample(base, max(1, len(base) - rng.randrange(4))), *rng.sample(range(400), rng.randrange(4))})
+    for percent in (85, 60):
+        wanted = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and int(a) % 7 != int(b) % 7 and 100 * len({*x} & {*y}) >= percent * len({*x} | {*y})}
+        nodes = spark.createDataFrame([(k.encode(), len(s), str(int(k) % 7).encode()) for k, s in sets.items()], "node binary, n long, root binary")
+        full = spark.createDataFrame([(k.encode(), s) for k, s in sets.items()], "node binary, shingles array<long>")
+        made = {(bytes(r.a).decode(), bytes(r.b).decode()): (r.na, r.nb) for r in minhash.rare_pairs(nodes, full, percent).collect()}
+        assert wanted and wanted <= made.keys() and all((len(sets[a]), len(sets[b])) == v for (a, b), v in made.items())
+        assert all(int(a) % 7 != int(b) % 7 for a, b in made)
+
+
 def test_sketches_estimate_the_similarity():
     rng = np.random.default_rng(3)
     for size in (8, 60, 3000):
