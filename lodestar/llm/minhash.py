@@ -212,14 +212,19 @@ def _members(distinct: DataFrame) -> DataFrame:
     return members
 
 
+def _ends(rows: DataFrame, node: str, n: str) -> DataFrame:
+    """``a, b, na, nb`` of pairs of a ``node`` of size ``n`` and another, once each, the smaller node first."""
+    first = F.col("node") < F.col(node)
+    ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in
+            (("node", node, "a"), (node, "node", "b"), ("n", n, "na"), (n, "n", "nb"))]
+    return rows.select(*ends).distinct()
+
+
 def _stars(left: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
     """``a, b, na, nb`` of every member and its bucket's centre, if they lie in different components and their sizes let them be linked."""
     sizes = 100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n")
     fits = (left["bucket"] == centres["bucket"]) & F.expr("root != c_root") & sizes
-    first = F.col("node") < F.col("c_node")
-    ends = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for x, y, name in
-            (("node", "c_node", "a"), ("c_node", "node", "b"), ("n", "c_n", "na"), ("c_n", "n", "nb"))]
-    return left.join(centres, fits).select(*ends).distinct()
+    return _ends(left.join(centres, fits), "c_node", "c_n")
 
 
 def _unsettled(members: DataFrame, centres: DataFrame, found: DataFrame) -> DataFrame:
@@ -251,12 +256,15 @@ def rare_pairs(nodes: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     placed = each.join(often, "shingle").select("node", "shingle", rest.alias("rest")).join(few, "node")
     early = placed.select("shingle", "node", "n", "root", most(F.col("rest"), F.col("n"), percent).alias("most"))
     early = settle(early.where(100 * F.col("most") >= percent * F.col("n")), "early")
-    of = early.groupBy("shingle").agg(F.min("n").alias("least_n"), F.max("most").alias("most_most"), F.min("root").alias("x"), F.max("root").alias("y"))
-    spans = settle(of.where("x != y").drop("x", "y"), "spans")
-    hopeful = settle(early.join(spans, "shingle").where("most >= least_n and n <= most_most").select(*early.columns), "hopeful")
-    others = hopeful.toDF("shingle", *(f"o_{c}" for c in hopeful.columns[1:]))
-    pairs = hopeful.join(others, "shingle").where("node < o_node and root != o_root and n <= o_most and o_n <= most")
-    made = settle(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b"), F.col("n").alias("na"), F.col("o_n").alias("nb")).distinct(), "pairs")
+    roots = early.groupBy("shingle", "root").agg(F.count("*").alias("of"), F.min("n").alias("n"), F.max("most").alias("most"))
+    span = [F.count("*").alias("roots"), F.max_by("root", "of").alias("main"), F.min("n").alias("least_n"), F.max("most").alias("most_most")]
+    spans = settle(roots.groupBy("shingle").agg(*span).where("roots > 1"), "spans")
+    hopeful = early.join(spans, "shingle").where("most >= least_n and n <= most_most")
+    hopeful = settle(hopeful.select(*early.columns, "main"), "hopeful")
+    # One of a pair is outside the commonest component, so the members of that aren't matched with each other.
+    others = hopeful.drop("main").toDF("shingle", "o_node", "o_n", "o_root", "o_most")
+    pairs = hopeful.where("root != main").join(others, "shingle").where("root != o_root and n <= o_most and o_n <= most")
+    made = settle(_ends(pairs.where("o_root = main or node < o_node"), "o_node", "o_n"), "pairs")
     for table in (often, early, spans, hopeful):
         drop(table)
     return made
