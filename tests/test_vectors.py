@@ -118,3 +118,34 @@ def test_traces_round_trip(spark, tmp_path):
     trace.record("chaining", {"x": [1, "é"]}, (one,))
     trace.frame(spark).write.parquet(f"{tmp_path}/trace")
     assert traces.Trace.of(spark.read.parquet(f"{tmp_path}/trace")).events == trace.events
+
+
+def test_many_vectors_are_read_at_once_and_the_rest_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(atoms, "SAMPLE", 12)
+    rounds = []
+    monkeypatch.setattr(atoms, "_in_rounds", lambda rows, *more, inner=atoms._in_rounds: rounds.append(rows.count()) or inner(rows, *more))
+    facts = [(i, f"p{i % 2}", [f"s{i}", f"n{i % 2}", "has", f"k{i % 2}"][: 1 + i % 4]) for i in range(80)]
+    facts += [(100, "p1", ["s1", "s2"]), (101, "p0", ["n1", "s3", "s4", "has"]), (102, "p1", ["n1", None, "has"]), (103, "p0", ["has", "has", "s9"])]
+    size = 512
+    table = spark.createDataFrame(facts, "id long, predicate string, args array<string>")
+    noise = np.random.default_rng(2).normal(size=2 * size).tolist()
+    coded = atoms.encode(table, size).select("id", "vec").union(spark.createDataFrame([(900, noise), (901, None), (902, [0.0] * 2 * size)], "id long, vec array<double>"))
+    predicates, entities = atoms.symbols(table.select("predicate"), "P", size), atoms.symbols(table.select(F.explode("args")), "E", size)
+    found = {r.id: (r.predicate, list(r.args), r.similarity) for r in atoms.decode(coded, predicates, entities).collect()}
+    want = {i: (p, a if None not in a else a[: a.index(None)]) for i, p, a in facts}
+    assert {i: (p, a) for i, (p, a, _) in found.items()} == want
+    assert len(rounds) == 2 and rounds[1] < 15  # the sample, and what isn't explained at once
+    plain = {r.id: r.similarity for r in atoms._in_rounds(atoms._packed(coded), predicates, entities, atoms.THRESHOLD, 5).collect()}
+    assert all(abs(plain[i] - v[2]) < 1e-6 for i, v in found.items())
+
+
+def test_equal_vectors_tie_in_order_of_names(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "FEW", 0)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(7, 64))
+    symbols = spark.createDataFrame([(i, base[i % 7].tolist()) for i in range(700)], "name long, vec array<double>")
+    queries = spark.createDataFrame([(i, (base[i] + rng.normal(size=64) * 0.1).tolist()) for i in range(7)], "query long, vec array<double>")
+    for block in (4096, 50):
+        monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
+        found = vectors.cleanup(queries, symbols, 5).collect()
+        assert {(r.query, r.rank): r.name for r in found} == {(q, k + 1): q + 7 * k for q in range(7) for k in range(5)}
