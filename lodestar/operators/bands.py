@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import timedelta
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.sources.tables import settle
+
 #: Rows of one side in a bucket beyond which it is split.
 SPLIT = 50_000
 #: Buckets of a band without an end.
@@ -90,3 +92,45 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, low: Any, high:
     if high is not None:
         fits = fits & (F.col("_y") <= F.col("_x") + F.lit(high))
     return rows.join(others, ["_bucket", "_part"]).where(fits).select(*left.columns, *right.columns)
+
+
+#: Types whose values compare as they are sorted.
+SORTED = {"tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz", "string"}
+
+
+def can_rank(left: DataFrame, right: DataFrame, a: str, b: str) -> bool:
+    """Whether columns are of one type, or both whole numbers, that ``counted_beyond`` can put in order."""
+    one, other = dict(left.dtypes)[a], dict(right.dtypes)[b]
+    return {one, other} <= WHOLE or (one == other and (one in SORTED or one.startswith("decimal")))
+
+
+def counted_beyond(left: DataFrame, right: DataFrame, by: list[str], a: str, b: str, over: str, op: str) -> DataFrame:
+    """``*by, _total``: how many different ``over`` of the right have ``right.b op left.a`` for a row of the group.
+
+    Groups that meet no row of the right are left out, and a null ``over`` isn't counted. No pair
+    is made: a group's farthest value says whom it meets, a counted thing's nearest value by whom
+    it is met, so both are put in one order and numbers are added up along it, first within
+    ranges of values, then over the ranges. Nulls and NaN meet nothing.
+    """
+    up = op in ("<", "<=")
+    fine = lambda df, c: df.where(F.col(c).isNotNull() & (~F.isnan(c) if dict(df.dtypes)[c] in ("float", "double") else F.lit(True)))
+    kind = "bigint" if {dict(left.dtypes)[a], dict(right.dtypes)[b]} <= WHOLE else dict(left.dtypes)[a]
+    farthest, nearest = (F.max, F.min) if up else (F.min, F.max)
+    groups = fine(left.select(*by, F.col(a).cast(kind).alias("_v")), "_v").groupBy(*by).agg(farthest("_v").alias("_v"))
+    things = fine(right.select(F.col(over).alias("_over"), F.col(b).cast(kind).alias("_v")), "_v").groupBy("_over").agg(nearest("_v").alias("_v"))
+    # A thing without a name is met, but not counted.
+    steps = things.groupBy("_v").agg(F.count("_over").alias("_n"), F.count("*").alias("_all"))
+    asked = groups.select("_v").distinct().select("_v", F.lit(0).cast("bigint").alias("_n"), F.lit(0).cast("bigint").alias("_all"))
+    values = steps.union(asked).groupBy("_v").agg(F.sum("_n").alias("_n"), F.sum("_all").alias("_all"))
+    # Settled with the number of its range, so that both passes see the same ranges.
+    dealt = values.repartitionByRange("_v" if up else F.desc("_v")).withColumn("_range", F.spark_partition_id())
+    dealt = settle(dealt, "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_range").agg(F.sum("_n").alias("_n"), F.sum("_all").alias("_all"))  # a row for each range
+    starts = sums.select("_range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_all")))
+    within = Window.partitionBy("_range").orderBy("_v" if up else F.desc("_v"))
+    within = within.rowsBetween(Window.unboundedPreceding, Window.currentRow if op in ("<=", ">=") else -1)
+    placed = dealt.join(F.broadcast(starts), "_range").select(
+        "_v", *((F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"{c}_before")).alias(c) for c in ("_n", "_all"))
+    )
+    return groups.join(placed.where("_all > 0"), "_v").select(*by, F.col("_n").alias("_total"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.scores import probe_score
-from lodestar.operators.bands import band_join, has_band
+from lodestar.operators.bands import band_join, can_rank, counted_beyond, has_band
 
 
 @dataclass(frozen=True)
@@ -237,6 +237,8 @@ def _ties(t: Condition, known: list[str], new: list[str]) -> bool:
 
 def derived(r: Rule, relation: Lookup, beam: int | None = None) -> DataFrame:
     """The head's rows as ``a1 .. ak``, without repeats; nothing follows from no rows, not even a count of 0."""
+    if beam is None and (counted := _counted(r, relation)) is not None:
+        return counted
     found = bindings(r.body, relation, beam=beam, tests=r.tests)
     if r.aggregates:
         made = {
@@ -260,6 +262,33 @@ def derived(r: Rule, relation: Lookup, beam: int | None = None) -> DataFrame:
     return found.select(*columns).distinct()
 
 
+def _counted(r: Rule, relation: Lookup) -> DataFrame | None:
+    """The head's rows where it counts what lies on one side of a value, without the pairs; None for other rules.
+
+    Those are rules of two atoms without a common variable, tied by one comparison, whose head
+    has one count of a variable of the one atom, and else variables of the other.
+    """
+    if len(r.body) != 2 or any(x.absent for x in r.body) or len(r.tests) != 1 or [x.kind for x in r.aggregates] != ["count"]:
+        return None
+    test, over = r.tests[0], r.aggregates[0].over.name
+    if test.op not in ("<", "<=", ">", ">=") or len(test.variables) < 2 or set(r.body[0].variables) & set(r.body[1].variables):
+        return None
+    i = next(i for i, x in enumerate(r.body) if over in x.variables)
+    other, own = r.body[1 - i], r.body[i]
+    (a,), (b,) = ([v for v in test.variables if v in x.variables] or [None] for x in (other, own)) if _ties(test, other.variables, own.variables) else ((None,), (None,))
+    if a is None or b is None or not r.head.variables or not set(r.head.variables) <= set(other.variables):
+        return None
+    left, right = matches(relation(other, 1 - i), other), matches(relation(own, i), own)
+    if not can_rank(left, right, a, b):
+        return None
+    op = test.op if test.variables == [b, a] else {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[test.op]
+    rows = counted_beyond(left, right, r.head.variables, a, b, over, op)
+    return rows.select(*(
+        (F.col("_total") if isinstance(x, Aggregate) else F.col(x.name) if isinstance(x, Var) else F.lit(x)).alias(f"a{j + 1}")
+        for j, x in enumerate(r.head.args)
+    ))
+
+
 def demanded(goal: Atom, rules: list[Rule], sideways: bool = True) -> tuple[Atom, list[Rule]]:
     """Rewrite rules so that only what a goal with constants asks for is derived.
 

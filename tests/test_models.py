@@ -187,3 +187,23 @@ def test_comparisons_in_bodies(spark):
     assert got["named"] == {(x, y) for x in "pr" for y in "pqr" if x >= y}
     with pytest.raises(ValueError):
         compare(X, "~", Y)
+
+
+def test_counts_beyond_a_value_make_no_pairs(spark, monkeypatch):
+    from lodestar.plans import rules
+
+    rng = random.Random(5)
+    values = [*(float(rng.randrange(6)) for _ in range(40)), None, float("nan"), -0.0]
+    has = [(rng.randrange(12), v) for v in values]
+    of = [(rng.randrange(9) if i % 7 else None, v) for i, v in enumerate(values)]
+    base = Base(spark).register("has", spark.createDataFrame(has, "k int, v double")).register("of", spark.createDataFrame(of, "k int, v double"))
+    fine = lambda v: v is not None and v == v
+    ops = {"<": lambda y, x: y < x, "<=": lambda y, x: y <= x, ">": lambda y, x: y > x, ">=": lambda y, x: y >= x}
+    monkeypatch.setattr(rules, "band_join", None)  # no pair may be made
+    for op, holds in ops.items():
+        pairs = [(k, t) for k, x in has for t, y in of if fine(x) and fine(y) and holds(y, x)]
+        want = {(k, len({t for g, t in pairs if g == k and t is not None}), "c") for k in {k for k, _ in pairs}}
+        for test in (compare(Y, op, X), compare(X, {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[op], Y)):
+            for body in ((atom("has", Z, X), atom("of", N, Y)), (atom("of", N, Y), atom("has", Z, X))):
+                run = base.derive([rule(atom("n", Z, total("count", N), "c"), *body, test)])
+                assert sorted(map(tuple, run.base.relation(("n", 3, False)).collect())) == sorted(want)
