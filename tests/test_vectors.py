@@ -149,3 +149,17 @@ def test_equal_vectors_tie_in_order_of_names(spark, monkeypatch):
         monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
         found = vectors.cleanup(queries, symbols, 5).collect()
         assert {(r.query, r.rank): r.name for r in found} == {(q, k + 1): q + 7 * k for q in range(7) for k in range(5)}
+
+
+def test_rows_are_sent_to_blocks_not_to_buckets(spark):
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 64)))], "name long, vec array<double>")
+    queries = frame.selectExpr("name AS query", "vec").where("query % 20 = 0")
+    found = nearest.indexed_cleanup(queries, frame, 3, others=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan  # before, a row for each bucket was joined
+    met = {}
+    for r in nearest.candidates(queries, frame).collect():
+        if r.query != r.name:
+            met.setdefault(r.query, []).append((-r.similarity, r.name))
+    assert {(r.query, r.rank): r.name for r in found.collect()} == {(q, i + 1): n for q, v in met.items() for i, (_, n) in enumerate(sorted(v)[:3])}
