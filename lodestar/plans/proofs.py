@@ -184,3 +184,70 @@ def proofs(base: Base, rules: list[Rule], goal: Atom | None = None) -> Proofs:
     steps = steps.select(F.md5(F.concat_ws(" ", "fact", F.col("rule").cast("string"), F.array_join("parents", " "))).alias("step"), "*")
     known = reduce(DataFrame.union, given) if given else spark.createDataFrame([], "text string")
     return Proofs(model, settle(steps.dropDuplicates(["step"]), "steps"), settle(known.select(F.md5("text").alias("fact"), "text"), "given"))
+
+
+def counted(base: Base, rules: list[Rule], goal: Atom, max_height: int | None = None) -> DataFrame:
+    """The goal's ``a1 .. ak`` with ``height, proofs``: what ``Proofs.counts`` says of its predicate, without a table of steps.
+
+    Facts stay rows of their own values. A proof of a height has a part whose height is one
+    less, so each round joins only the proofs that the last one found: at one place those of
+    that height, before it lower ones, after it all so far. Given facts that no rule derives
+    are joined as they are. ``max_height`` is needed where facts rest on themselves.
+    """
+    own = relevant(goal.key, rules)
+    if not stratify(own).stratified or any(r.aggregates for r in own):
+        raise ValueError("proofs need rules with strata and without heads that sum up")
+    heads = {r.head.key for r in own}
+    model = base.derive(own).base if any(a.absent for r in own for a in r.body) else base
+    given = {key: df.distinct() for key, df in base.relations.items() if key in heads | {a.key for r in own for a in r.body if not a.absent} | {goal.key}}
+    held: dict[tuple, Parts] = {}
+
+    def add(key: tuple, rows: DataFrame, height: int) -> bool:
+        kept = held.setdefault(key, Parts(base.spark, "counted"))
+        if kept.schema is not None:
+            rows = rows.select(*(F.col(c).cast(f.dataType).alias(c) for c, f in zip(rows.columns, kept.schema, strict=False)))
+        new = not kept.add(rows.withColumn("height", F.lit(height))).isEmpty()
+        if not new:
+            kept.forget_last()
+        return new
+
+    def found(r: Rule, bounds: dict[int, Column]) -> DataFrame | None:
+        """Heads and proofs of a rule, a derived atom at a place having heights within its bounds."""
+        body = [a if a.absent else replace(a, args=tuple(Var(f"_open{i}_{j}") if x == ANY else x for j, x in enumerate(a.args))) for i, a in enumerate(r.body)]
+        places = {i: f"_proofs{i}" for i in bounds}
+        if any(not a.absent and a.key not in (held if i in places else given) for i, a in enumerate(body)):
+            return None
+
+        def rows(a: Atom, i: int) -> DataFrame:
+            if a.absent:
+                return model.relation((a.predicate, len(a.args), False))
+            return held[a.key].all().where(bounds[i]).drop("height") if i in places else given[a.key]
+
+        # The number of proofs is one more argument of a derived atom.
+        wide = tuple(replace(a, args=(*a.args, Var(places[i]))) if i in places else a for i, a in enumerate(body))
+        lookup = lambda a, i: rows(body[i], i)
+        product = reduce(lambda x, y: (x * y).cast(COUNT), (F.col(c) for c in places.values()), F.lit(1).cast(COUNT))
+        head = [(F.col(x.name) if isinstance(x, Var) else F.lit(x)).alias(f"a{j + 1}") for j, x in enumerate(r.head.args)]
+        return bindings(wide, lookup, tests=r.tests).select(*head, product.alias("proofs"))
+
+    for key in heads & set(given) | ({goal.key} & set(given)):
+        add(key, given[key].withColumn("proofs", F.lit(1).cast(COUNT)), 0)
+    for height in count(1) if max_height is None else range(1, max_height + 1):
+        ways: dict[tuple, list[DataFrame]] = {}
+        for r in own:
+            derived = [i for i, a in enumerate(r.body) if not a.absent and a.key in heads]
+            turns = [{i: F.col("height") == 0 for i in derived}] if height == 1 else []
+            if height > 1:
+                for place in derived:
+                    turns.append({i: F.col("height") == height - 1 if i == place else F.col("height") < height - (i < place) for i in derived})
+            for turn in turns:
+                if (rows := found(r, turn)) is not None:
+                    ways.setdefault(r.head.key, []).append(rows)
+        more = False
+        for key, parts in ways.items():
+            rows = reduce(DataFrame.union, parts)
+            names = [c for c in rows.columns if c != "proofs"]
+            more |= add(key, rows.groupBy(*names).agg(F.sum("proofs").cast(COUNT).alias("proofs")), height)
+        if not more:
+            break
+    return held[goal.key].all() if goal.key in held else base.relation(goal.key).limit(0).withColumns({"proofs": F.lit(0).cast(COUNT), "height": F.lit(0)})

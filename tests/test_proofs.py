@@ -129,3 +129,25 @@ def test_what_covers_what():
     for general, narrow in ((("a", X), (X, "b")), ((X, X), ("a", "b")), ((X, X), (ANY, ANY)), ((X, X), (X, Y)), ((1, X), ("1", X)), ((True, X), (1, X))):
         assert not tabling.covers(atom("t", *general), atom("t", *narrow)), (general, narrow)
     assert not tabling.covers(atom("t", X), atom("u", X))
+
+
+def test_counted_facts_equal_counts_of_steps(spark):
+    from lodestar.plans.proofs import counted
+
+    edges = [(i, i + 1) for i in range(5)] + [(i, i + 2) for i in range(4)]
+    base = Base(spark).insert("e", [*edges, (0, 1)]).insert("t", [(1, 2), (0, 5)]).insert("bad", [("3",)])
+    for rules in (PATHS, PAIRED, [*PATHS, rule(atom("t", X, Y), atom("t", X, Y), atom("e", X, ANY), absent("bad", Y))][:2] + [rule(atom("t", X, X), atom("e", X, ANY), absent("bad", X))]):
+        made = proofs(base, rules, atom("t", X, Y))
+        most = 4 if len(rules) > 2 else None  # facts that rest on themselves
+        names = {r.fact: r.text for r in made.steps.select("fact", "text").union(made.given.select("fact", "text")).collect()}
+        want = {(names[r.fact], r.height): int(r.proofs) for r in made.counts(most).collect() if names[r.fact].startswith("t[")}
+        found = {(f't["{r.a1}","{r.a2}"]', r.height): int(r.proofs) for r in counted(base, rules, atom("t", X, Y), most).collect()}
+        assert found == want and len(want) > 10
+
+
+def test_counting_proofs_writes_no_steps(spark, monkeypatch):
+    from lodestar import model_queries
+    from lodestar.plans import proofs as module
+
+    monkeypatch.setattr(module, "proofs", None)
+    assert model_queries.proof_counts(spark, "/root/testdata/sf0.001").count() > 10
