@@ -307,6 +307,15 @@ class Base:
         start.register(seed, self.spark.range(1).select(*(F.lit(x).alias(f"a{i + 1}") for i, x in enumerate(row))))
         return start.derive(rewritten, max_rounds), inner
 
+    def follows(self, r: Rule) -> DataFrame:
+        """What one rule gives over the facts that are known, as ``a1 .. ak`` without repeats.
+
+        It is neither settled nor counted, so rows that are only handed on are made once, where they are used.
+        """
+        if any(a.key == r.head.key for a in r.body) or r.head.key in self.relations:
+            raise ValueError(f"{r.head.predicate} needs rounds, or is known: derive it")
+        return derived(r, lambda a, _: self.relation(_key(a)))
+
     def answers(self, goal: Atom, rules: list[Rule], max_rounds: int | None = None) -> DataFrame:
         """The goal's variables, deriving only what the goal asks for."""
         run, inner = self.demand(goal, rules, max_rounds)

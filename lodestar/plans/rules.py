@@ -259,7 +259,18 @@ def derived(r: Rule, relation: Lookup, beam: int | None = None) -> DataFrame:
     columns = [
         (F.col(x.name) if isinstance(x, Var) else F.lit(x)).alias(f"a{i + 1}") for i, x in enumerate(r.head.args)
     ]
-    return found.select(*columns).distinct()
+    return found.select(*columns) if _differ(r, relation) else found.select(*columns).distinct()
+
+
+def _differ(r: Rule, relation: Lookup) -> bool:
+    """Whether the head's rows differ as they are made: those of two atoms without a common variable, if the head's own of each occur once there."""
+    if len(r.body) != 2 or any(x.absent for x in r.body) or set(r.body[0].variables) & set(r.body[1].variables):
+        return False
+    for i, x in enumerate(r.body):
+        own = [v for v in x.variables if v in r.head.variables]
+        if not own or not matches(relation(x, i), x).groupBy(*own).count().where("count > 1").isEmpty():
+            return False
+    return True
 
 
 def _counted(r: Rule, relation: Lookup) -> DataFrame | None:

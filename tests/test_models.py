@@ -207,3 +207,18 @@ def test_counts_beyond_a_value_make_no_pairs(spark, monkeypatch):
             for body in ((atom("has", Z, X), atom("of", N, Y)), (atom("of", N, Y), atom("has", Z, X))):
                 run = base.derive([rule(atom("n", Z, total("count", N), "c"), *body, test)])
                 assert sorted(map(tuple, run.base.relation(("n", 3, False)).collect())) == sorted(want)
+
+
+def test_pairs_of_what_occurs_once_are_not_dealt_out_again(spark):
+    rows = [(i, i % 13, i % 5) for i in range(60)]
+    soon = rule(atom("soon", X, Y), atom("p", X, Z, ANY), atom("q", Y, N, ANY), within(Z, N, 0, 2))
+    for more in ([], [(7, 8, 1), (7, 7, 2)], [(None, 3, 1), (None, 4, 1)]):
+        p, q = (spark.createDataFrame(x, "k int, v int, w int") for x in (rows + more, rows))
+        found = Base(spark).register("p", p).register("q", q).follows(soon)
+        want = {(a, b) for a, v, _ in rows + more for b, w, _ in rows if 0 <= w - v <= 2}
+        got = list(map(tuple, found.collect()))
+        assert len(got) == len(want) and set(got) == want
+        assert ("Aggregate [a1" in found._jdf.queryExecution().optimizedPlan().toString()) == bool(more)
+    base = Base(spark).register("p", p).register("q", q)
+    with pytest.raises(ValueError):
+        base.follows(rule(atom("p", X, Y, Z), atom("p", X, Y, Z)))
