@@ -80,9 +80,11 @@ SELECT a AS x, b AS z, CAST(min(d) AS BIGINT) AS height, CAST(min(d) AS BIGINT)
 def proof_least(spark, sf_dir):
     """A least proof of everyone above everyone: its height, and how many given facts it ends in."""
     found = proofs.proofs(star(spark, sf_dir), LINEAR, atom("anc", X, Z)).trees(atom("anc", X, Z))
-    leaves = found.groupBy("root").agg(F.sum((F.col("height") == 0).cast("long")).alias("leaves"))
-    tops = found.where("fact = root").join(leaves, "root")
-    return tops.select(*_args("text"), F.col("height").cast("long").alias("height"), "leaves")
+    # The goal's own row of a tree, whose text alone is parsed, and the tree's leaves in one pass.
+    top = F.col("fact") == F.col("root")
+    own = {"x": _args("text")[0], "z": _args("text")[1], "height": F.col("height").cast("long")}
+    leaves = F.sum((F.col("height") == 0).cast("long")).alias("leaves")
+    return found.groupBy("root").agg(*(F.max(F.when(top, value)).alias(name) for name, value in own.items()), leaves).drop("root")
 
 
 _TWO = """m AS (SELECT s_suppkey // 3 AS a, s_suppkey AS b FROM supplier WHERE s_suppkey > 0

@@ -41,37 +41,39 @@ class Proofs:
     steps: DataFrame
     given: DataFrame
 
-    def heights(self) -> DataFrame:
+    def heights(self, by_step: bool = False) -> DataFrame:
         """``fact, height``: the least height of a proof of every fact, given ones having 0.
 
-        In each round the steps all of whose parents are known give their facts; a step's known
-        parents are counted as they become known.
+        With ``by_step``, ``fact, height, step``: every step that ends such a proof, null for given facts.
+
+        In each round the steps all of whose parents are known give their facts. A step goes on
+        to the next round with the parents it still lacks, unless its fact is known by then.
         """
-        spark = self.steps.sparkSession
-        needs = settle(self.steps.select("step", "fact", F.explode(F.array_distinct("parents")).alias("parent")), "needs")
-        wanted = settle(self.steps.select("step", "fact", F.size(F.array_distinct("parents")).alias("n")), "wanted")
-        found, met = Parts(spark, "heights"), Parts(spark, "met")
-        new = found.add(self.given.select("fact", F.lit(0).alias("height")).distinct())
+        found = Parts(self.steps.sparkSession, "heights")
+        new = found.add(self.given.select("fact", F.lit(0).alias("height"), F.lit(None).cast("string").alias("step")).distinct())
+        lacking, before = self.steps.select("step", "fact", F.array_distinct("parents").alias("parents")), None
         for height in count(1):
-            met.add(needs.join(new.select(F.col("fact").alias("parent")), "parent").groupBy("step").agg(F.count("*").alias("n")))
-            ready = met.all().groupBy("step").agg(F.sum("n").alias("met")).join(wanted, "step").where("met = n")
-            rows = ready.select("fact").distinct().join(found.all().select("fact"), "fact", "left_anti")
-            new = found.add(rows.select("fact", F.lit(height).alias("height")))
+            known = new.select(F.col("fact").alias("parent"), F.lit(True).alias("known")).distinct()
+            useful = lacking.join(new.select("fact"), "fact", "left_anti")
+            each = useful.select("step", "fact", F.explode("parents").alias("parent")).join(known, "parent", "left")
+            # A body has few atoms, so what a step lacks is a short array.
+            turn = each.groupBy("step", "fact").agg(F.collect_list(F.when(F.col("known").isNull(), F.col("parent"))).alias("parents"))
+            turn = settle(turn.withColumn("lacks", F.size("parents")), "lacking")
+            if before is not None:
+                drop(before)
+            new = found.add(turn.where("lacks = 0").select("fact", F.lit(height).alias("height"), "step"))
             if new.isEmpty():
                 break
-        drop(needs)
-        drop(wanted)
-        return found.all()
+            lacking, before = turn.where("lacks > 0").select("step", "fact", "parents"), turn
+        drop(turn)
+        return found.all() if by_step else found.all().select("fact", "height").distinct()
 
     def least(self) -> DataFrame:
         """``fact, text, height, step, rule, parents``: of every fact a proof's last step of least height, the first in order.
 
         Every parent's height is less, so going on from parents to their least steps ends at given facts.
         """
-        heights = settle(self.heights(), "heights")
-        each = self.steps.select("step", F.explode("parents").alias("parent"))
-        high = each.join(heights.toDF("parent", "h"), "parent").groupBy("step").agg((F.max("h") + 1).cast("int").alias("height"))
-        told = self.steps.join(high, "step").join(heights.toDF("fact", "of_fact"), "fact").where("height = of_fact")
+        told = self.steps.join(self.heights(by_step=True).select("step", "height"), "step")
         best = F.min_by(F.struct("step", "rule", "parents", "text"), F.struct("rule", "parents"))
         chosen = told.groupBy("fact", "height").agg(best.alias("s"))
         return settle(chosen.select("fact", "s.text", "height", "s.step", "s.rule", "s.parents"), "least")
@@ -83,11 +85,6 @@ class Proofs:
         that a proof rests on in several places is listed once.
         """
         least = self.least()
-        nodes = least.select("fact", "text", "height", "rule", "parents").union(
-            self.given.select("fact", "text", F.lit(0), F.lit(None).cast("int"), F.array().cast("array<string>"))
-        )
-        # A given fact needs no step, even if it has one.
-        nodes = settle(nodes.groupBy("fact").agg(F.min_by(F.struct("text", "height", "rule", "parents"), "height").alias("n")).select("fact", "n.*"), "nodes")
         from lodestar.plans.rules import matches
 
         names = tuple(Var(f"A{i}") for i in range(len(goal.args)))
@@ -99,12 +96,28 @@ class Proofs:
                 if isinstance(x, Var) and x != ANY and goal.args[j] == x:
                     rows = rows.where(F.col(names[i].name) == F.col(names[j].name))
         roots = rows.select(F.md5(_fact(Atom(goal.predicate, names, goal.negated))).alias("root")).distinct()
-        kept = Parts(self.steps.sparkSession, "trees")
-        new = kept.add(roots.join(nodes, roots["root"] == nodes["fact"]))
+        # From a fact to those it rests on that aren't given, and the rounds until all that lead there are through.
+        lower = least.select(F.col("fact").alias("parent"), F.col("height").alias("lower"))
+        below = least.select("fact", "height", F.explode(F.array_distinct("parents")).alias("parent")).join(lower, "parent")
+        below = settle(below.select("fact", "parent", (F.col("height") - 1 - F.col("lower")).alias("wait")), "below")
+        spark = self.steps.sparkSession
+        met = Parts(spark, "met")
+        roots = settle(roots, "roots")
+        new = met.add(roots.join(least, roots["root"] == least["fact"]).select("root", "fact", F.lit(0).alias("wait")))
+        # A fact goes on when its height comes, so once in every tree, and no round looks at what is found.
         while not new.isEmpty():
-            below = new.select("root", F.explode("parents").alias("below")).distinct()
-            rows = below.join(nodes, F.col("below") == F.col("fact")).drop("below")
-            new = kept.add(rows.join(kept.all().select("root", "fact"), ["root", "fact"], "left_anti").select(*new.columns))
+            on = new.where("wait = 0").select("root", "fact").join(below, "fact").select("root", F.col("parent").alias("fact"), "wait")
+            waiting = new.where("wait > 0").select("root", "fact", (F.col("wait") - 1).alias("wait"))
+            new = met.add(on.union(waiting).distinct())
+        kept = Parts(spark, "trees")
+        inner = met.all().where("wait = 0").select("root", "fact").join(least, "fact")
+        inner = kept.add(inner.select("root", "fact", "text", "height", "rule", "parents"))
+        ends = inner.select("root", F.explode("parents").alias("fact")).union(roots.select("root", F.col("root").alias("fact"))).distinct()
+        kept.add(ends.join(self.given, "fact").select(
+            "root", "fact", "text", F.lit(0).alias("height"), F.lit(None).cast("int").alias("rule"), F.array().cast("array<string>").alias("parents")
+        ))
+        for table in (below, roots, met.all()):
+            drop(table)
         return kept.all()
 
     def counts(self, max_height: int | None = None) -> DataFrame:
@@ -172,18 +185,19 @@ def proofs(base: Base, rules: list[Rule], goal: Atom | None = None) -> Proofs:
             F.array(*(F.md5(_fact(a)) for a in body if not a.absent)).alias("parents"),
             (F.array(*missing) if missing else F.array().cast("array<string>")).alias("absent"),
         )
-        parts.append(rows.distinct())
+        parts.append(rows)
     given = [
-        df.select(text_of(Atom(p, (), neg), [F.col(c) for c in df.columns]).alias("text")).distinct()
+        df.select(text_of(Atom(p, (), neg), [F.col(c) for c in df.columns]).alias("text"))
         for (p, n, neg), df in base.relations.items()
         if (p, n, neg) in {a.key for r in own for a in (r.head, *r.body) if not a.absent} or (goal is not None and (p, n, neg) == goal.key)
     ]
     spark = base.spark
     empty = spark.createDataFrame([], "fact string, text string, rule int, parents array<string>, absent array<string>")
-    steps = reduce(DataFrame.union, parts) if parts else empty
+    # A step's number, text and absent atoms follow from its fact, rule and parents, so whole rows differ as steps do.
+    steps = (reduce(DataFrame.union, parts) if parts else empty).distinct()
     steps = steps.select(F.md5(F.concat_ws(" ", "fact", F.col("rule").cast("string"), F.array_join("parents", " "))).alias("step"), "*")
-    known = reduce(DataFrame.union, given) if given else spark.createDataFrame([], "text string")
-    return Proofs(model, settle(steps.dropDuplicates(["step"]), "steps"), settle(known.select(F.md5("text").alias("fact"), "text"), "given"))
+    known = (reduce(DataFrame.union, given) if given else spark.createDataFrame([], "text string")).distinct()
+    return Proofs(model, settle(steps, "steps"), settle(known.select(F.md5("text").alias("fact"), "text"), "given"))
 
 
 def counted(base: Base, rules: list[Rule], goal: Atom, max_height: int | None = None) -> DataFrame:

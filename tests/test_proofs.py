@@ -151,3 +151,66 @@ def test_counting_proofs_writes_no_steps(spark, monkeypatch):
 
     monkeypatch.setattr(module, "proofs", None)
     assert model_queries.proof_counts(spark, "/root/testdata/sf0.001").count() > 10
+
+
+def test_trees_and_heights_of_odd_programs_equal_plain_walks(spark):
+    """Facts met at several depths of a tree, given facts that have steps, cycles, repeated and null arguments."""
+    rng = random.Random(5)
+    edges = [(str(a), str(rng.randrange(a + 1, min(a + 5, 13)))) for a in range(12) for _ in range(2)]
+    rows = spark.createDataFrame([*edges, *edges[:3], ("3", "3"), (None, "4"), ("5", None), (None, None)], "x string, y string")
+    for rules, goal in ((PAIRED, atom("t", X, Y)), (PATHS, atom("t", "1", Y)), (PAIRED, atom("t", X, X)), (PATHS, atom("e", X, Y))):
+        base = Base(spark).register("e", rows).insert("t", [("2", "9"), ("2", "9"), ("7", "0")])
+        made = proofs(base, rules, goal)
+        steps, given = made.steps.collect(), {r.fact: r.text for r in made.given.collect()}
+        assert len({r.step for r in steps}) == len({(r.fact, r.rule, tuple(r.parents)) for r in steps}) == len(steps) and len(given) == made.given.count()
+        height = dict.fromkeys(given, 0)
+        for n in itertools.count(1):
+            new = {r.fact for r in steps if r.fact not in height and all(p in height for p in r.parents)}
+            if not new:
+                break
+            height |= dict.fromkeys(new, n)
+        found = made.heights().collect()
+        assert {r.fact: r.height for r in found} == height and len(found) == len(height)
+        last = {}
+        for r in steps:
+            if all(p in height for p in r.parents) and height[r.fact] == 1 + max(height[p] for p in r.parents):
+                last[r.fact] = min(last.get(r.fact, (r.rule, r.parents, r.text)), (r.rule, r.parents, r.text))
+        assert {r.fact: (r.rule, r.parents, r.text) for r in made.least().collect()} == last
+        name = lambda a: a.predicate + "[" + ",".join("null" if x is None else f'"{x}"' for x in a.args) + "]"
+        model = {tuple(r) for r in made.base.relation(goal.key).collect()}
+        asked = {name(atom(goal.predicate, *r)) for r in model if all(isinstance(g, Var) or g == v for g, v in zip(goal.args, r, strict=True))}
+        asked -= {name(atom(goal.predicate, *r)) for r in model if goal.args[0] == goal.args[1] and (r[0] != r[1] or r[0] is None)}
+        texts = {**given, **{f: v[2] for f, v in last.items()}}
+        want = set()
+        for root in (f for f in height if texts[f] in asked):
+            todo = [root]
+            while todo:
+                fact = todo.pop()
+                rule_, parents, _ = last.get(fact, (None, [], None))
+                if (row := (root, fact, texts[fact], height[fact], rule_, tuple(parents))) not in want:
+                    want.add(row)
+                    todo += parents
+        trees = [(r.root, r.fact, r.text, r.height, r.rule, tuple(r.parents)) for r in made.trees(goal).collect()]
+        assert len(trees) == len(want) and set(trees) == want and want
+
+
+def test_rounds_of_a_tree_read_no_earlier_round(spark, monkeypatch):
+    """However long the chains are, the parts of all rounds are read as a whole as often."""
+    from lodestar.plans import proofs as module
+
+    def whole_reads(n):
+        made = proofs(Base(spark).insert("e", [(i, i + 1) for i in range(n)]), PATHS, atom("t", X, Y))
+        seen, plain = [], module.Parts.all
+        with monkeypatch.context() as m:
+            m.setattr(module.Parts, "all", lambda self: (seen.append(self.base), plain(self))[1])
+            assert made.trees(atom("t", X, Y)).count() == sum((n - k) * (2 * k + 2) for k in range(n))
+        return len(seen)
+
+    assert whole_reads(3) == whole_reads(6)
+
+
+def test_proof_least_goes_over_the_trees_once(spark):
+    from lodestar import model_queries
+
+    plan = model_queries.proof_least(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
