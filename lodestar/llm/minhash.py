@@ -203,11 +203,14 @@ def _members(distinct: DataFrame) -> DataFrame:
     """``bucket, node, n, crowd, root`` of the members of buckets that have others.
 
     ``crowd`` sums the sizes of a node's buckets: of many near copies, the one that the others were made of meets most.
+    All buckets of all nodes are dealt out here, and most have no other, so a node's number goes with them, not its digest.
     """
-    spread = distinct.select("node", F.explode("buckets").alias("bucket"), F.col("n_shingles").alias("n"))
+    spread = distinct.select("number", F.explode("buckets").alias("bucket"))
     many = settle(spread.groupBy("bucket").agg(F.count("*").alias("of")).where("of > 1"), "shared")
-    crowd = F.sum("of").over(Window.partitionBy("node"))
-    members = settle(spread.join(small(many), "bucket").select("bucket", "node", "n", crowd.alias("crowd"), F.col("node").alias("root")), "open")
+    crowd = F.sum("of").over(Window.partitionBy("number"))
+    met = spread.join(small(many), "bucket").select("bucket", "number", crowd.alias("crowd"))
+    nodes = distinct.select("number", "node", F.col("n_shingles").alias("n"))
+    members = settle(met.join(nodes, "number").select("bucket", "node", "n", "crowd", F.col("node").alias("root")), "open")
     drop(many)
     return members
 
@@ -288,12 +291,15 @@ def merged(found: DataFrame | None, new: DataFrame) -> DataFrame:
 def links(distinct: DataFrame, sets: Sets, percent: int = SIMILAR) -> DataFrame:
     """``node, component`` over all links between distinct sets that share a bucket.
 
-    ``distinct`` has ``node, key, n_shingles, buckets``; ``sets`` gives the full sets of nodes.
+    ``distinct`` has ``node, key, n_shingles, buckets``, and ``number`` if its nodes are numbered
+    already; ``sets`` gives the full sets of nodes.
     ``left`` holds the members of buckets that are not yet compared. A turn compares a centre
     with the others; it leaves the bucket then, and a bucket goes once its members lie in one
     component. When a turn finds few links, all pairs that are left and may be linked are made
     from rare shingles.
     """
+    if "number" not in distinct.columns:
+        distinct = settle(distinct.withColumn("number", F.monotonically_increasing_id()), "numbered")
     left = _members(distinct)
     found: DataFrame | None = None
     full: DataFrame | None = None
@@ -339,7 +345,9 @@ def near_duplicates(
     """
     own = settle(sketches(docs, width, id_col, text_col), "sketches")
     sets_of = own.where("node is not null").groupBy("node")
-    distinct = settle(sets_of.agg(F.min(id_col).alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets")), "distinct")
+    distinct = sets_of.agg(F.min(id_col).alias("least"), F.min("key").alias("key"), F.first("n_shingles").alias("n_shingles"), F.first("buckets").alias("buckets"))
+    # Settled with the numbers, so that they are the same wherever they are read.
+    distinct = settle(distinct.withColumn("number", F.monotonically_increasing_id()), "distinct")
     found = links(distinct.drop("least"), lambda wanted: full_sets(docs, wanted, width, text_col), percent)
     least = distinct.select("node", "least")
     rooted = least.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root"))

@@ -164,6 +164,23 @@ def test_rare_pairs_lose_no_link(spark):
         assert all(int(a) % 7 != int(b) % 7 for a, b in made)
 
 
+def test_buckets_are_dealt_out_with_numbers_and_members_are_those_of_plain_counts(spark, monkeypatch):
+    """Without digests until it is known who meets; a bucket that one node has twice counts twice, as it always did."""
+    rng, plans, settle = random.Random(2), {}, minhash.settle
+    monkeypatch.setattr(minhash, "small", lambda keys: keys)
+    monkeypatch.setattr(minhash, "settle", lambda table, name: (plans.update({name: table._jdf.queryExecution().optimizedPlan().toString()}), settle(table, name))[1])
+    held = {f"{i:03}": [rng.randrange(150) for _ in range(3)] for i in range(60)} | {"none": [], "twice": [-1, -1], "alone": [-2]}
+    rows = [(k.encode(), k.encode(), len(k), b) for k, b in held.items()]
+    table = spark.createDataFrame(rows, "node binary, key binary, n_shingles long, buckets array<long>")
+    table = settle(table.selectExpr("*", "monotonically_increasing_id() AS number"), "numbered")
+    found = sorted((r.bucket, bytes(r.node).decode(), r.n, r.crowd, bytes(r.root).decode()) for r in minhash._members(table).collect())
+    of = {b: sum(x.count(b) for x in held.values()) for bs in held.values() for b in bs}
+    crowd = {k: sum(of[b] for b in bs if of[b] > 1) for k, bs in held.items()}
+    assert found == sorted((b, k, len(k), crowd[k], k) for k, bs in held.items() for b in bs if of[b] > 1) and len(found) > 60
+    dealt = [re.findall(r"\w+(?=#)", line) for line in re.findall(r"Generate explode.*\n\W*(.*)", plans["open"])]
+    assert dealt and all(set(columns) == {"number", "buckets"} for columns in dealt), plans["open"]
+
+
 def test_sketches_estimate_the_similarity():
     rng = np.random.default_rng(3)
     for size in (8, 60, 3000):
