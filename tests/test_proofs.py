@@ -214,3 +214,12 @@ def test_proof_least_goes_over_the_trees_once(spark):
 
     plan = model_queries.proof_least(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1 and "Join" not in plan
+
+
+def test_proofs_open_only_relations_that_rules_name(spark):
+    def opened():
+        raise AssertionError("opened")
+
+    base = Base(spark).declare("other", ["x", "y"], opened).insert("e", [("a", "b"), ("b", "c")])
+    made = proofs(base, PATHS, atom("t", X, Y))
+    assert {r.text for r in made.given.collect()} == {'e["a","b"]', 'e["b","c"]'} and made.trees(atom("t", X, Y)).count() == 8
